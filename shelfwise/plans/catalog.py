@@ -165,3 +165,63 @@ FROM tx JOIN prod USING (product_id) GROUP BY category ORDER BY rev DESC""",
 def q_category_join_rollup(spark, sf_dir):
     t = tpch.retail_tables(spark, sf_dir)
     return D.category_join_rollup(t.transactions, t.products)
+
+
+# ------------------------------------------------------------------------ RFM
+
+from shelfwise.operators import rfm as R  # noqa: E402
+from shelfwise.plans.oracle import RFM, TIER_SUMMARY, at_risk_cte  # noqa: E402
+
+
+def _rfm(spark, sf_dir):
+    return R.compute_rfm(tpch.transactions(spark, sf_dir))
+
+
+@query("reference_date", with_ctes(TX) + "SELECT max(purchase_date) AS reference_date FROM tx")
+def q_reference_date(spark, sf_dir):
+    return R.reference_date(tpch.transactions(spark, sf_dir))
+
+
+@query("rfm", with_ctes(TX, RFM) + "SELECT * FROM rfm ORDER BY customer_id")
+def q_rfm(spark, sf_dir):
+    return _rfm(spark, sf_dir)
+
+
+@query("tier_summary", with_ctes(TX, RFM, TIER_SUMMARY) + "SELECT * FROM tsum")
+def q_tier_summary(spark, sf_dir):
+    return R.tier_summary(_rfm(spark, sf_dir))
+
+
+@query("at_risk_customers", with_ctes(TX, RFM, at_risk_cte()) + "SELECT * FROM at_risk")
+def q_at_risk_customers(spark, sf_dir):
+    return R.at_risk_customers(_rfm(spark, sf_dir))
+
+
+@query(
+    "at_risk_revenue",
+    with_ctes(TX, RFM, at_risk_cte())
+    + """SELECT count(*) AS customers,
+       CAST(coalesce(sum(CAST(monetary AS DECIMAL(38,4))), 0) AS DOUBLE) AS dollars_at_risk,
+       CAST(sum(CAST(monetary AS DECIMAL(38,4))) AS DOUBLE) / NULLIF(CAST(count(*) AS DOUBLE), 0)
+         AS avg_customer_value
+FROM at_risk""",
+)
+def q_at_risk_revenue(spark, sf_dir):
+    return R.at_risk_revenue(R.at_risk_customers(_rfm(spark, sf_dir)))
+
+
+@query(
+    "rfm_tier_lookup",
+    with_ctes(TX, RFM, TIER_SUMMARY)
+    + """SELECT t.tier_order, t.tier, coalesce(s.customers, 0) AS customers, s.revenue,
+       s.avg_monetary, s.avg_frequency, s.avg_recency_days, s.revenue_share, s.customer_share
+FROM (VALUES (0, 'Platinum'), (1, 'Gold'), (2, 'Silver'), (3, 'Bronze')) t(tier_order, tier)
+LEFT JOIN tsum s USING (tier) ORDER BY t.tier_order""",
+)
+def q_rfm_tier_lookup(spark, sf_dir):
+    return R.tier_lookup(R.tier_summary(_rfm(spark, sf_dir)))
+
+
+@query("rfm_sample")
+def q_rfm_sample(spark, sf_dir):
+    return R.rfm_sample(_rfm(spark, sf_dir), 5000, 42)

@@ -57,3 +57,67 @@ EVENTS = """ev AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def _qscore(col: str, q: str) -> str:
+    return (f"(1 + CAST({col} > {q}[1] AS INTEGER) + CAST({col} > {q}[2] AS INTEGER)"
+            f" + CAST({col} > {q}[3] AS INTEGER))")
+
+
+# RFM over the adapter's transactions: per-customer base, reference date,
+# linear quartile cut points, right-closed quartile scores, tiers.
+RFM = f"""base AS (
+  SELECT customer_id, count(DISTINCT invoice_id) AS frequency,
+         CAST(sum(net_revenue) AS DOUBLE) AS monetary,
+         min(purchase_date) AS first_purchase, max(purchase_date) AS last_purchase
+  FROM tx GROUP BY customer_id
+), rb AS (
+  SELECT *, CAST(date_diff('day', last_purchase, (SELECT max(last_purchase) FROM base))
+                 AS INTEGER) AS recency_days
+  FROM base
+), qs AS (
+  SELECT quantile_cont(recency_days, [0.25, 0.5, 0.75]) AS qr,
+         quantile_cont(frequency, [0.25, 0.5, 0.75]) AS qf,
+         quantile_cont(monetary, [0.25, 0.5, 0.75]) AS qm
+  FROM rb
+), sc AS (
+  SELECT rb.*,
+         CAST(5 - {_qscore('recency_days', 'qr')} AS INTEGER) AS r_score,
+         CAST({_qscore('frequency', 'qf')} AS INTEGER) AS f_score,
+         CAST({_qscore('monetary', 'qm')} AS INTEGER) AS m_score
+  FROM rb, qs
+), rfm AS (
+  SELECT customer_id, recency_days, frequency, monetary, first_purchase, last_purchase,
+         r_score, f_score, m_score, r_score + f_score + m_score AS rfm_score,
+         CASE WHEN r_score + f_score + m_score >= 10 THEN 'Platinum'
+              WHEN r_score + f_score + m_score >= 8 THEN 'Gold'
+              WHEN r_score + f_score + m_score >= 6 THEN 'Silver'
+              ELSE 'Bronze' END AS tier
+  FROM sc
+)"""
+
+TIER_SUMMARY = """tsum AS (
+  SELECT tier, customers, CAST(revenue_x AS DOUBLE) AS revenue,
+         CAST(revenue_x AS DOUBLE) / customers AS avg_monetary,
+         CAST(frequency_x AS DOUBLE) / customers AS avg_frequency,
+         CAST(recency_x AS DOUBLE) / customers AS avg_recency_days,
+         CAST(revenue_x AS DOUBLE) / NULLIF(CAST(sum(revenue_x) OVER () AS DOUBLE), 0)
+           AS revenue_share,
+         CAST(customers AS DOUBLE) / NULLIF(CAST(sum(customers) OVER () AS DOUBLE), 0)
+           AS customer_share
+  FROM (SELECT tier, count(*) AS customers,
+               sum(CAST(monetary AS DECIMAL(38,4))) AS revenue_x,
+               sum(frequency) AS frequency_x, sum(recency_days) AS recency_x
+        FROM rfm GROUP BY tier)
+)"""
+
+
+def at_risk_cte(days: int = 90, pct: float = 0.75) -> str:
+    return f"""thr AS (
+  SELECT monetary AS t FROM (
+    SELECT monetary, row_number() OVER (ORDER BY monetary) - 1 AS rn, count(*) OVER () AS n
+    FROM rfm WHERE monetary IS NOT NULL)
+  WHERE rn = CAST(floor((n - 1) * {pct} + 0.5) AS BIGINT)
+), at_risk AS (
+  SELECT rfm.* FROM rfm, thr WHERE recency_days >= {days} AND monetary >= t
+)"""
