@@ -225,3 +225,41 @@ def q_rfm_tier_lookup(spark, sf_dir):
 @query("rfm_sample")
 def q_rfm_sample(spark, sf_dir):
     return R.rfm_sample(_rfm(spark, sf_dir), 5000, 42)
+
+
+# --------------------------------------------------------------------- cohort
+
+from shelfwise.operators import cohort as C  # noqa: E402
+from shelfwise.plans.oracle import COHORT, cohort_pivot_sql  # noqa: E402
+
+
+@query(
+    "first_purchase_month",
+    with_ctes(TX)
+    + """SELECT customer_id, min(month_start) AS cohort_month FROM tx
+WHERE customer_id IS NOT NULL GROUP BY customer_id""",
+)
+def q_first_purchase_month(spark, sf_dir):
+    return C.first_purchase_month(tpch.transactions(spark, sf_dir))
+
+
+@query("cohort_matrix", with_ctes(TX, COHORT) + "SELECT * FROM cm ORDER BY 1, 4")
+def q_cohort_matrix(spark, sf_dir):
+    return C.monthly_cohort_matrix(tpch.transactions(spark, sf_dir))
+
+
+@query("cohort_pivot", with_ctes(TX, COHORT) + cohort_pivot_sql(12))
+def q_cohort_pivot(spark, sf_dir):
+    return C.cohort_heatmap_pivot(C.monthly_cohort_matrix(tpch.transactions(spark, sf_dir)), 12)
+
+
+@query(
+    "retention_curve",
+    with_ctes(TX, COHORT)
+    + """SELECT months_since, round(avg(retention), 12) AS avg_retention
+FROM cm WHERE months_since <= 12 GROUP BY months_since ORDER BY months_since""",
+)
+def q_retention_curve(spark, sf_dir):
+    return C.average_retention_curve(
+        C.monthly_cohort_matrix(tpch.transactions(spark, sf_dir)), 12
+    )

@@ -121,3 +121,28 @@ def at_risk_cte(days: int = 90, pct: float = 0.75) -> str:
 ), at_risk AS (
   SELECT rfm.* FROM rfm, thr WHERE recency_days >= {days} AND monetary >= t
 )"""
+
+
+COHORT = """am AS (
+  SELECT DISTINCT customer_id, month_start FROM tx WHERE customer_id IS NOT NULL
+), fc AS (
+  SELECT customer_id, min(month_start) AS cohort_month FROM am GROUP BY customer_id
+), cm AS (
+  SELECT a.cohort_month, a.period_month, a.active_customers,
+         CAST((year(a.period_month) - year(a.cohort_month)) * 12
+              + month(a.period_month) - month(a.cohort_month) AS INTEGER) AS months_since,
+         s.cohort_size,
+         CAST(a.active_customers AS DOUBLE) / CAST(s.cohort_size AS DOUBLE) AS retention
+  FROM (SELECT cohort_month, month_start AS period_month, count(*) AS active_customers
+        FROM am JOIN fc USING (customer_id) GROUP BY 1, 2) a
+  JOIN (SELECT cohort_month, count(*) AS cohort_size FROM fc GROUP BY 1) s USING (cohort_month)
+)"""
+
+
+def cohort_pivot_sql(max_periods: int = 12) -> str:
+    cols = ",\n       ".join(
+        f'first(retention) FILTER (WHERE months_since = {i}) AS "{i}"'
+        for i in range(max_periods + 1)
+    )
+    return (f"SELECT cohort_month,\n       {cols}\nFROM cm WHERE months_since <= {max_periods}"
+            " GROUP BY cohort_month ORDER BY cohort_month")
