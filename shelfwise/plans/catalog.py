@@ -263,3 +263,86 @@ def q_retention_curve(spark, sf_dir):
     return C.average_retention_curve(
         C.monthly_cohort_matrix(tpch.transactions(spark, sf_dir)), 12
     )
+
+
+# ------------------------------------------------------------------- forecast
+
+from pyspark.sql import Window as _W  # noqa: E402
+from pyspark.sql import functions as _F  # noqa: E402
+
+from shelfwise.operators import forecast as FC  # noqa: E402
+from shelfwise.plans.oracle import DAILY, TOP_SKUS  # noqa: E402
+
+
+@query("top_skus", with_ctes(TX, TOP_SKUS) + "SELECT product_id FROM top")
+def q_top_skus(spark, sf_dir):
+    return FC.top_skus_by_revenue(tpch.transactions(spark, sf_dir), 50)
+
+
+@query(
+    "top_skus_labels",
+    with_ctes(TX, PROD, TOP_SKUS)
+    + """SELECT DISTINCT product_id, sku FROM tx LEFT JOIN prod USING (product_id)
+WHERE product_id IN (SELECT product_id FROM top)""",
+)
+def q_top_skus_labels(spark, sf_dir):
+    t = tpch.retail_tables(spark, sf_dir)
+    return FC.top_skus_with_labels(enrich(t.transactions, products=t.products), 50)
+
+
+@query("daily_units", with_ctes(TX, DAILY) + "SELECT product_id, ds, y FROM dense")
+def q_daily_units(spark, sf_dir):
+    return FC.daily_units(tpch.transactions(spark, sf_dir))
+
+
+@query(
+    "forecast_accuracy",
+    with_ctes(TX, DAILY)
+    + """, pairs AS (
+  SELECT product_id, CAST(y AS DOUBLE) AS actual,
+         CAST(lag(y, 7) OVER (PARTITION BY product_id ORDER BY ds) AS DOUBLE) AS predicted
+  FROM dense
+)
+SELECT product_id,
+       round(avg(abs(actual - predicted)
+                 / CASE WHEN abs(actual) < 1e-9 THEN 1.0 ELSE abs(actual) END) * 100.0, 6) AS mape,
+       round(sqrt(avg((actual - predicted) * (actual - predicted))), 6) AS rmse
+FROM pairs WHERE predicted IS NOT NULL GROUP BY product_id""",
+)
+def q_forecast_accuracy(spark, sf_dir):
+    """F4 scored on a prediction both engines can reproduce: each day's
+    units against the units 7 days earlier on the dense series."""
+    dense = FC.daily_units(tpch.transactions(spark, sf_dir))
+    pairs = dense.select(
+        "product_id",
+        _F.col("y").cast("double").alias("actual"),
+        _F.lag("y", 7).over(_W.partitionBy("product_id").orderBy("ds")).cast("double")
+        .alias("predicted"),
+    ).filter(_F.col("predicted").isNotNull())
+    return FC.forecast_accuracy(pairs, "actual", "predicted")
+
+
+@query("hw_fixed_params")
+def q_hw_fixed_params(spark, sf_dir):
+    return FC.fixed_parameter_fit(tpch.transactions(spark, sf_dir), 0.3, 0.05, 0.1)
+
+
+def _forecast_rows(spark, sf_dir, horizon=30):
+    return FC.forecast_rows(tpch.transactions(spark, sf_dir), None, horizon, 30)
+
+
+@query("forecast_many")
+def q_forecast_many(spark, sf_dir):
+    return FC.forecasts(_forecast_rows(spark, sf_dir), tpch.products(spark, sf_dir))
+
+
+@query("forecast_backtest")
+def q_forecast_backtest(spark, sf_dir):
+    return FC.backtest(_forecast_rows(spark, sf_dir), tpch.products(spark, sf_dir))
+
+
+@query("history_and_forecast")
+def q_history_and_forecast(spark, sf_dir):
+    tx = tpch.transactions(spark, sf_dir)
+    fc = FC.forecasts(FC.forecast_rows(tx, None, 30, 30))
+    return FC.history_and_forecast(FC.daily_units(tx), fc)

@@ -146,3 +146,19 @@ def cohort_pivot_sql(max_periods: int = 12) -> str:
     )
     return (f"SELECT cohort_month,\n       {cols}\nFROM cm WHERE months_since <= {max_periods}"
             " GROUP BY cohort_month ORDER BY cohort_month")
+
+
+DAILY = """d AS (
+  SELECT product_id, purchase_date AS ds, CAST(sum(quantity) AS BIGINT) AS y
+  FROM tx GROUP BY 1, 2
+), dense AS (
+  SELECT s.product_id, s.ds, CAST(coalesce(d.y, 0) AS BIGINT) AS y
+  FROM (SELECT product_id, CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 DAY)) AS DATE) AS ds
+        FROM d GROUP BY product_id) s
+  LEFT JOIN d USING (product_id, ds)
+)"""
+
+TOP_SKUS = """top AS (
+  SELECT product_id FROM tx GROUP BY product_id
+  ORDER BY sum(net_revenue) DESC, product_id LIMIT 50
+)"""
