@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwise.operators import descriptive as D
 from shelfwise.plans.oracle import CUST, EVENTS, PROD, TX, with_ctes
@@ -346,3 +347,181 @@ def q_history_and_forecast(spark, sf_dir):
     tx = tpch.transactions(spark, sf_dir)
     fc = FC.forecasts(FC.forecast_rows(tx, None, 30, 30))
     return FC.history_and_forecast(FC.daily_units(tx), fc)
+
+
+# --------------------------------------------------------------- prescriptive
+
+from shelfwise.operators import prescriptive as X  # noqa: E402
+
+
+def _reorder(spark, sf_dir, lead_time=14):
+    """Forecast horizon = lead time, as the reorder screen does."""
+    tx = tpch.transactions(spark, sf_dir)
+    prod = tpch.products(spark, sf_dir)
+    # Both the forecast and the backtest branch read the fitted rows: persist
+    # them so the grouped UDF runs once (a lost block is recomputed; the fit
+    # is deterministic).
+    rows = FC.forecast_rows(tx, None, lead_time, 30).persist()
+    return X.reorder_report(FC.forecasts(rows, prod), FC.backtest(rows), prod, lead_time, 1.65)
+
+
+@query("reorder_report")
+def q_reorder_report(spark, sf_dir):
+    return _reorder(spark, sf_dir)
+
+
+@query("status_counts")
+def q_status_counts(spark, sf_dir):
+    return X.status_counts(_reorder(spark, sf_dir))
+
+
+@query("flag_status")
+def q_flag_status(spark, sf_dir):
+    return X.flag_status(_reorder(spark, sf_dir))
+
+
+def _dead_sql(lookback: int, min_value: float) -> str:
+    return with_ctes(TX, PROD) + f""", recent AS (
+  SELECT product_id, CAST(sum(quantity) AS BIGINT) AS recent_units FROM tx
+  WHERE purchase_date >= (SELECT max(purchase_date) FROM tx) - INTERVAL {lookback} DAY
+  GROUP BY product_id
+), dead AS (
+  SELECT p.*, CAST(coalesce(r.recent_units, 0) AS BIGINT) AS recent_units,
+         p.stock_on_hand * p.unit_price AS parked_value
+  FROM prod p LEFT JOIN recent r USING (product_id)
+  WHERE coalesce(r.recent_units, 0) = 0 AND p.stock_on_hand * p.unit_price >= {min_value}
+)
+"""
+
+
+@query("dead_stock", _dead_sql(180, 100.0) + "SELECT * FROM dead ORDER BY parked_value DESC")
+def q_dead_stock(spark, sf_dir):
+    return X.dead_stock(tpch.transactions(spark, sf_dir), tpch.products(spark, sf_dir), 180)
+
+
+@query(
+    "dead_stock_total",
+    _dead_sql(180, 100.0)
+    + """SELECT CAST(coalesce(sum(CAST(parked_value AS DECIMAL(38,4))), 0) AS DOUBLE)
+         AS total_parked_value,
+       count(*) AS products
+FROM dead""",
+)
+def q_dead_stock_total(spark, sf_dir):
+    return X.dead_stock_total(
+        X.dead_stock(tpch.transactions(spark, sf_dir), tpch.products(spark, sf_dir), 180)
+    )
+
+
+# --------------------------------------------------------------- data quality
+
+from shelfwise.operators import invoices as I  # noqa: E402
+from shelfwise.operators import quality as Q  # noqa: E402
+
+
+@query(
+    "dq_orphans",
+    with_ctes(TX, CUST, PROD)
+    + """SELECT (SELECT count(*) FROM tx WHERE NOT EXISTS
+          (SELECT 1 FROM cust c WHERE c.customer_id = tx.customer_id)) AS orphan_customers,
+       (SELECT count(*) FROM tx WHERE NOT EXISTS
+          (SELECT 1 FROM prod p WHERE p.product_id = tx.product_id)) AS orphan_products""",
+)
+def q_dq_orphans(spark, sf_dir):
+    t = tpch.retail_tables(spark, sf_dir)
+    return Q.orphans(t.transactions, t.customers, t.products)
+
+
+@query(
+    "dq_pre_signup",
+    with_ctes(TX, CUST)
+    + """SELECT count(CASE WHEN purchase_date < signup_date THEN 1 END) AS pre_signup_rows
+FROM tx JOIN cust USING (customer_id)""",
+)
+def q_dq_pre_signup(spark, sf_dir):
+    t = tpch.retail_tables(spark, sf_dir)
+    return Q.pre_signup(t.transactions, t.customers)
+
+
+@query(
+    "dq_positive",
+    with_ctes(TX)
+    + """SELECT count(CASE WHEN net_revenue <= 0 THEN 1 END) AS non_positive_revenue,
+       count(CASE WHEN quantity < 1 THEN 1 END) AS quantity_below_one,
+       CAST(min(net_revenue) AS DOUBLE) AS min_net_revenue,
+       min(quantity) AS min_quantity
+FROM tx""",
+)
+def q_dq_positive(spark, sf_dir):
+    return Q.positive_measures(tpch.transactions(spark, sf_dir))
+
+
+@query(
+    "dq_bounds",
+    with_ctes(TX)
+    + """SELECT rows, target, lo, hi, rows >= lo AND rows <= hi AS within_bounds
+FROM (SELECT (SELECT count(*) FROM tx) AS rows, t.target,
+             CAST(floor(t.target * 0.75) AS BIGINT) AS lo,
+             CAST(ceil(t.target * 1.25) AS BIGINT) AS hi
+      FROM (SELECT CAST(4 * count(*) AS BIGINT) AS target FROM orders) t)""",
+)
+def q_dq_bounds(spark, sf_dir):
+    """Row count within ±25 % of a target of four lines per order."""
+    orders = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+    target = orders.agg((F.count(F.lit(1)) * 4).alias("target"))
+    return Q.row_bounds_near(tpch.transactions(spark, sf_dir), target, 0.25)
+
+
+@query(
+    "dq_unique_keys",
+    with_ctes(CUST, PROD)
+    + """SELECT 'customers' AS "table", CAST(coalesce(sum(n), 0) AS BIGINT) AS rows,
+       count(customer_id) AS distinct_keys, count(CASE WHEN n > 1 THEN 1 END) AS duplicated_keys
+FROM (SELECT customer_id, count(*) AS n FROM cust GROUP BY customer_id)
+UNION ALL
+SELECT 'products', CAST(coalesce(sum(n), 0) AS BIGINT), count(product_id),
+       count(CASE WHEN n > 1 THEN 1 END)
+FROM (SELECT product_id, count(*) AS n FROM prod GROUP BY product_id)""",
+)
+def q_dq_unique_keys(spark, sf_dir):
+    t = tpch.retail_tables(spark, sf_dir)
+    return Q.duplicate_keys(t.customers, "customer_id", "customers").unionByName(
+        Q.duplicate_keys(t.products, "product_id", "products")
+    )
+
+
+# ---------------------------------------------------------- invoices, measures
+
+@query(
+    "invoice_ids",
+    with_ctes(TX)
+    + """SELECT printf('INV-%08d', dense_rank() OVER (ORDER BY customer_id, purchase_date))
+         AS invoice_id, customer_id, purchase_date, lines, units
+FROM (SELECT customer_id, purchase_date, count(*) AS lines, CAST(sum(quantity) AS BIGINT) AS units
+      FROM tx GROUP BY customer_id, purchase_date)""",
+)
+def q_invoice_ids(spark, sf_dir):
+    """Invoices re-keyed as one per customer and day, with their line and
+    unit counts."""
+    tx = I.assign_invoice_ids(tpch.transactions(spark, sf_dir))
+    return tx.groupBy("invoice_id", "customer_id", "purchase_date").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("quantity").cast("long").alias("units")
+    )
+
+
+@query(
+    "line_measures",
+    with_ctes(TX, PROD)
+    + """SELECT invoice_id, product_id, quantity,
+       tx.unit_price * quantity * (1 - discount_pct) AS net_revenue,
+       tx.unit_price * quantity * (1 - discount_pct) * margin_pct AS profit
+FROM tx LEFT JOIN prod USING (product_id)""",
+)
+def q_line_measures(spark, sf_dir):
+    t = tpch.retail_tables(spark, sf_dir)
+    base = t.transactions.select(
+        "invoice_id", "product_id", "quantity", "unit_price", "discount_pct"
+    ).join(t.products.select("product_id", "margin_pct"), "product_id", "left")
+    return I.line_measures(base).select(
+        "invoice_id", "product_id", "quantity", "net_revenue", "profit"
+    )
