@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.calendar import bucket
-from shelfwise.functions.measures import as_double, money_sum, safe_div
+from shelfwise.functions.measures import as_double, money_sum, order_key, safe_div
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def dataset_summary(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         F.count_distinct("customer_id").alias("customers"),
         F.count_distinct("product_id").alias("products"),
-        F.count_distinct("invoice_id").alias("orders"),
+        F.count_distinct(order_key(df)).alias("orders"),
         as_double(money_sum("net_revenue")).alias("gross_revenue"),
         as_double(money_sum("profit")).alias("gross_profit"),
         F.min("purchase_date").alias("first_day"),
@@ -43,7 +43,7 @@ def _buckets(df: DataFrame, grain: str) -> DataFrame:
         .agg(
             F.sum("net_revenue").alias("revenue_x"),
             F.sum("profit").alias("profit_x"),
-            F.count_distinct("invoice_id").alias("orders"),
+            F.count_distinct(order_key(df)).alias("orders"),
             F.count_distinct("customer_id").alias("customers"),
             F.sum("quantity").cast("long").alias("units"),
         )
@@ -105,7 +105,7 @@ def revenue_by_category(df: DataFrame) -> DataFrame:
         F.sum("net_revenue").alias("revenue_x"),
         F.sum("profit").alias("profit_x"),
         F.sum("quantity").cast("long").alias("units"),
-        F.count_distinct("invoice_id").alias("orders"),
+        F.count_distinct(order_key(df)).alias("orders"),
     )
     total = F.sum("revenue_x").over(Window.partitionBy())
     return g.select(
@@ -165,14 +165,15 @@ def top_products(df: DataFrame, n: int = 20) -> DataFrame:
 def category_join_rollup(tx: DataFrame, products: DataFrame) -> DataFrame:
     """Inner join transactions × products, then per category: rev,
     profit, orders — rev descending."""
+    key = order_key(tx)
     return (
-        tx.select("product_id", "net_revenue", "profit", "invoice_id")
+        tx.select("product_id", "net_revenue", "profit", key)
         .join(products.select("product_id", "category"), "product_id", "inner")
         .groupBy("category")
         .agg(
             as_double(F.sum("net_revenue")).alias("rev"),
             as_double(F.sum("profit")).alias("profit"),
-            F.count_distinct("invoice_id").alias("orders"),
+            F.count_distinct(key).alias("orders"),
         )
         .orderBy(F.desc_nulls_first("rev"), F.asc_nulls_first("category"))
     )

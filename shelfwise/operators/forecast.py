@@ -4,8 +4,8 @@ Plan for ``forecast_rows``:
 
 1. daily units per (product, day) — partial + final aggregate; a product
    with a third of all rows still yields one row per day;
-2. a batch key ``product_id div 64`` groups at most 64 products, so a group
-   is bounded by 64 series × days of history, independent of volume;
+2. a batch key ``product_id div 256`` groups at most 256 products, so a
+   group is bounded by 256 series × days of history, independent of volume;
 3. ``groupBy(batch).applyInPandas`` densifies each series (missing days → 0)
    and fits all series of the batch together (``functions.holtwinters``):
    a fit on the series minus its last ``test_days`` for the backtest, and a
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.calendar import daily_range
 from shelfwise.functions.holtwinters import fit_many, run_fixed
 
-BATCH_PRODUCTS = 64
+BATCH_PRODUCTS = 256
 MIN_HISTORY_DAYS = 60
 SEASON = 7
 
@@ -97,15 +97,20 @@ def _batched(daily: DataFrame) -> DataFrame:
 
 
 def _dense(g: pd.DataFrame):
-    """Split a batch frame into dense per-product series."""
-    g = g.sort_values(["product_id", "ds"])
+    """Split a batch frame into dense per-product series:
+    [(product_id, first day as datetime64[D], units per day)]."""
+    pid = g["product_id"].to_numpy(dtype=np.int64)
+    day = pd.to_datetime(g["ds"]).to_numpy().astype("datetime64[D]").astype(np.int64)
+    y = g["y"].to_numpy(dtype=float)
+    order = np.lexsort((day, pid))
+    pid, day, y = pid[order], day[order], y[order]
+    cut = np.flatnonzero(np.r_[True, pid[1:] != pid[:-1], True])
     out = []
-    for pid, s in g.groupby("product_id", sort=True):
-        days = pd.to_datetime(s["ds"]).values.astype("datetime64[D]")
-        start, end = days[0], days[-1]
-        y = np.zeros(int((end - start).astype(int)) + 1)
-        y[(days - start).astype(int)] = s["y"].to_numpy(dtype=float)
-        out.append((int(pid), start, y))
+    for a, b in zip(cut[:-1], cut[1:]):
+        d0 = day[a]
+        dense = np.zeros(int(day[b - 1] - d0) + 1)
+        np.add.at(dense, day[a:b] - d0, y[a:b])
+        out.append((int(pid[a]), np.datetime64(int(d0), "D"), dense))
     return out
 
 
@@ -119,33 +124,41 @@ def _forecast_batch(horizon: int, test_days: int, min_history: int):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         series = [s for s in _dense(g) if len(s[2]) >= min_history]
         if not series:
-            return pd.DataFrame(columns=ROWS_SCHEMA_COLUMNS)
-        tds = [backtest_days(len(y), test_days) for _, _, y in series]
+            return pd.DataFrame({c: [] for c in ROWS_SCHEMA_COLUMNS})
+        pids = np.array([p for p, _, _ in series], dtype=np.int64)
+        starts = np.array([d for _, d, _ in series], dtype="datetime64[D]")
+        ns = np.array([len(y) for _, _, y in series])
+        tds = np.array([backtest_days(int(n), test_days) for n in ns])
         train = [y[:-td] for (_, _, y), td in zip(series, tds)]
         full = [y for _, _, y in series]
-        fit = fit_many(train + full, SEASON)
+        # The backtest fit searches the grid; the fit on the whole series
+        # (train + test days) starts from its parameters.
+        tfit = fit_many(train, SEASON)
+        ffit = fit_many(full, SEASON, start=(tfit.alpha, tfit.beta, tfit.gamma), refine_rounds=1)
+        bt = tfit.forecast(int(tds.max()))
+        fc = ffit.forecast(horizon)
         k = len(series)
-        parts = []
-        max_td = max(tds)
-        bt = fit.forecast(max_td)[:k]
-        fc = fit.forecast(horizon)[k:]
-        for i, ((pid, start, y), td) in enumerate(zip(series, tds)):
-            n = len(y)
-            steps = np.arange(1, td + 1)
-            parts.append(pd.DataFrame({
-                "product_id": pid, "kind": "backtest", "step": steps,
-                "ds": start + (n - td - 1 + steps).astype("timedelta64[D]"),
-                "actual": y[n - td:], "yhat": bt[i, :td], "sigma": np.nan,
-            }))
-            hs = np.arange(1, horizon + 1)
-            parts.append(pd.DataFrame({
-                "product_id": pid, "kind": "forecast", "step": hs,
-                "ds": start + (n - 1 + hs).astype("timedelta64[D]"),
-                "actual": np.nan, "yhat": fc[i], "sigma": fit.sigma[k + i],
-            }))
-        out = pd.concat(parts, ignore_index=True)
-        out["ds"] = pd.to_datetime(out["ds"]).dt.date
-        out["step"] = out["step"].astype("int32")
+        # backtest rows: the last td days of each series
+        b_step = np.concatenate([np.arange(1, td + 1) for td in tds])
+        b_idx = np.repeat(np.arange(k), tds)
+        b_off = (ns - tds - 1)[b_idx] + b_step
+        b_actual = np.concatenate([y[len(y) - td:] for (_, _, y), td in zip(series, tds)])
+        b_yhat = bt[b_idx, b_step - 1]
+        # forecast rows: horizon days after each series' last day
+        f_step = np.tile(np.arange(1, horizon + 1), k)
+        f_idx = np.repeat(np.arange(k), horizon)
+        f_off = (ns - 1)[f_idx] + f_step
+        nb, nf = len(b_step), len(f_step)
+        out = pd.DataFrame({
+            "product_id": np.concatenate([pids[b_idx], pids[f_idx]]),
+            "kind": np.array(["backtest"] * nb + ["forecast"] * nf, dtype=object),
+            "step": np.concatenate([b_step, f_step]).astype("int32"),
+            "ds": np.concatenate([starts[b_idx] + b_off, starts[f_idx] + f_off]),
+            "actual": np.concatenate([b_actual, np.full(nf, np.nan)]),
+            "yhat": np.concatenate([b_yhat, fc.reshape(-1)]),
+            "sigma": np.concatenate([np.full(nb, np.nan), ffit.sigma[f_idx]]),
+        })
+        out["ds"] = out["ds"].dt.date
         return out
 
     return run
@@ -247,17 +260,20 @@ def _fixed_batch(alpha: float, beta: float, gamma: float):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         series = _dense(g)
         if not series:
-            return pd.DataFrame(columns=["product_id", "t", "ds", "y", "fitted"])
+            return pd.DataFrame({c: [] for c in ["product_id", "t", "ds", "y", "fitted"]})
         fitted, _ = run_fixed([y for _, _, y in series], alpha, beta, gamma, SEASON)
-        parts = []
-        for i, (pid, start, y) in enumerate(series):
-            t = np.arange(len(y))
-            parts.append(pd.DataFrame({
-                "product_id": pid, "t": t.astype("int32"),
-                "ds": start + t.astype("timedelta64[D]"), "y": y, "fitted": fitted[i, : len(y)],
-            }))
-        out = pd.concat(parts, ignore_index=True)
-        out["ds"] = pd.to_datetime(out["ds"]).dt.date
+        ns = np.array([len(y) for _, _, y in series])
+        idx = np.repeat(np.arange(len(series)), ns)
+        t = np.concatenate([np.arange(n) for n in ns])
+        starts = np.array([d for _, d, _ in series], dtype="datetime64[D]")
+        out = pd.DataFrame({
+            "product_id": np.array([p for p, _, _ in series], dtype=np.int64)[idx],
+            "t": t.astype("int32"),
+            "ds": starts[idx] + t,
+            "y": np.concatenate([y for _, _, y in series]),
+            "fitted": fitted[idx, t],
+        })
+        out["ds"] = out["ds"].dt.date
         return out
 
     return run

@@ -15,7 +15,7 @@ def assign_invoice_ids(
     """One invoice per distinct key (by default a customer's day):
     'INV-' + the key's dense rank zero-padded to 8 digits (longer numbers are
     kept whole). Rows with a null key get a null id."""
-    ranked = with_dense_rank(df.drop("invoice_id"), list(keys), "_inv_rank")
+    ranked = with_dense_rank(df.drop("invoice_id", "invoice_no"), list(keys), "_inv_rank")
     return ranked.withColumn(
         "invoice_id",
         F.when(F.col("_inv_rank").isNotNull(), padded_id("INV-", "_inv_rank", 8)),

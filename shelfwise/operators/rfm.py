@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.measures import as_double, safe_div
+from shelfwise.functions.measures import as_double, order_key, safe_div
 from shelfwise.functions.stats import exact_money, quantiles, quartile_score
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -42,7 +42,7 @@ def customer_base(df: DataFrame) -> DataFrame:
     """Per customer: frequency (distinct invoices), monetary, first and last
     purchase. One shuffle on customer_id, partial aggregation map-side."""
     return df.groupBy("customer_id").agg(
-        F.count_distinct("invoice_id").alias("frequency"),
+        F.count_distinct(order_key(df)).alias("frequency"),
         as_double(F.sum("net_revenue")).alias("monetary"),
         F.min("purchase_date").alias("first_purchase"),
         F.max("purchase_date").alias("last_purchase"),

@@ -525,3 +525,30 @@ def q_line_measures(spark, sf_dir):
     return I.line_measures(base).select(
         "invoice_id", "product_id", "quantity", "net_revenue", "profit"
     )
+
+
+# ------------------------------------------------------------------- enriched
+
+@query(
+    "enriched",
+    with_ctes(TX, CUST, PROD)
+    + """SELECT tx.invoice_id, tx.customer_id, tx.product_id, tx.purchase_ts, tx.quantity,
+       tx.unit_price, tx.discount_pct, CAST(tx.net_revenue AS DOUBLE) AS net_revenue,
+       CAST(tx.profit AS DOUBLE) AS profit, tx.purchase_date, tx.year, tx.month, tx.weekday,
+       tx.hour, tx.month_start, c.signup_date, c.country, p.sku, p.category, p.margin_pct,
+       p.stock_on_hand
+FROM tx LEFT JOIN cust c USING (customer_id) LEFT JOIN prod p USING (product_id)""",
+)
+def q_enriched(spark, sf_dir):
+    """I0 + S1: the canonical 21-column frame (money shown as double)."""
+    t = tpch.retail_tables(spark, sf_dir)
+    e = enrich(t.transactions, t.customers, t.products)
+    return e.withColumns(
+        {"net_revenue": F.col("net_revenue").cast("double"),
+         "profit": F.col("profit").cast("double")}
+    ).select(
+        "invoice_id", "customer_id", "product_id", "purchase_ts", "quantity", "unit_price",
+        "discount_pct", "net_revenue", "profit", "purchase_date", "year", "month", "weekday",
+        "hour", "month_start", "signup_date", "country", "sku", "category", "margin_pct",
+        "stock_on_hand",
+    )

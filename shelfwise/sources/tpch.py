@@ -7,6 +7,7 @@ expect:
 =================  ==========================================================
 transactions       lineitem ⋈ orders on the order key; one row per line
   invoice_id       'INV-%08d' of the order key
+  invoice_no       the order key itself (distinct counts use it)
   customer_id      o_custkey
   product_id       l_partkey
   purchase_ts      o_orderdate (the order date, not the ship date)
@@ -80,8 +81,12 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1) - F.col("l_discount").cast("decimal(4,2)")
     )
     margin = (margin_pct_points(F.col("l_partkey")) * F.lit(0.01)).cast("decimal(4,2)")
-    tx = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "inner").select(
+    # Both sides grow with the data, so this is a sort-merge join at scale;
+    # the hint keeps that plan at small scale too, where it also spreads the
+    # per-line work over all shuffle partitions instead of the scan tasks.
+    tx = li.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"), "inner").select(
         padded_id("INV-", "l_orderkey", 8).alias("invoice_id"),
+        F.col("l_orderkey").alias("invoice_no"),
         F.col("o_custkey").alias("customer_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("purchase_ts"),
