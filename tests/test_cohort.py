@@ -1,0 +1,44 @@
+"""Cohort matrix, pivot, retention curve."""
+
+from __future__ import annotations
+
+from shelfwise.operators import cohort as C
+from tests.conftest import d, sale
+
+
+def _tx(make_tx):
+    return make_tx([
+        sale("A", 1, 1, "2022-11-05"), sale("B", 1, 1, "2023-01-20"),   # months 0 and 2
+        sale("C", 2, 1, "2022-11-10"), sale("D", 2, 1, "2022-12-01"),   # months 0 and 1
+        sale("E", 3, 1, "2022-12-24"),
+        sale("F", None, 1, "2022-12-24"),                               # no customer: ignored
+    ])
+
+
+def test_matrix(make_tx):
+    m = {(str(r.cohort_month), r.months_since): r for r in C.monthly_cohort_matrix(_tx(make_tx)).collect()}
+    assert m[("2022-11-01", 0)].cohort_size == 2 and m[("2022-11-01", 0)].retention == 1.0
+    assert m[("2022-11-01", 1)].active_customers == 1 and m[("2022-11-01", 1)].retention == 0.5
+    assert m[("2022-11-01", 2)].period_month == d("2023-01-01")  # across the year end
+    assert m[("2022-12-01", 0)].cohort_size == 1
+    assert ("2022-12-01", 1) not in m  # no activity → no row, not a zero
+
+
+def test_month_zero_is_one(spark):
+    from shelfwise.sources import tpch
+    from tests.conftest import SF_SMALL
+
+    m = C.monthly_cohort_matrix(tpch.transactions(spark, SF_SMALL))
+    assert {r.retention for r in m.filter("months_since = 0").collect()} == {1.0}
+    for c in C.MATRIX_COLUMNS:
+        assert c in m.columns
+
+
+def test_pivot_and_curve(make_tx):
+    m = C.monthly_cohort_matrix(_tx(make_tx))
+    p = C.cohort_heatmap_pivot(m, 6)
+    assert p.columns == ["cohort_month"] + [str(i) for i in range(7)]
+    rows = {str(r.cohort_month): r for r in p.collect()}
+    assert rows["2022-12-01"]["1"] is None and rows["2022-11-01"]["2"] == 0.5
+    curve = {r.months_since: r.avg_retention for r in C.average_retention_curve(m, 6).collect()}
+    assert curve[0] == 1.0 and curve[1] == 0.5  # unweighted mean over cohorts

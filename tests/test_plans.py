@@ -1,0 +1,43 @@
+"""Plan shapes: pruning, pushdown, no single-partition steps on fact data."""
+
+from __future__ import annotations
+
+from shelfwise.operators import cohort as C
+from shelfwise.operators import descriptive as D
+from shelfwise.operators import rfm as R
+from shelfwise.plans import inspect as P
+from shelfwise.sources import enrich, tpch
+from tests.conftest import SF_SMALL
+
+
+def test_column_pruning_reaches_scan(spark):
+    q = D.revenue_over_time(tpch.transactions(spark, SF_SMALL), "month")
+    schemas = P.read_schemas(q)
+    li = [s for s in schemas if "l_orderkey" in s][0]
+    assert "l_shipdate" not in li and "l_returnflag" not in li and "l_tax" not in li
+
+
+def test_date_filter_pushed_to_orders_scan(spark):
+    from datetime import date
+
+    from pyspark.sql import functions as F
+
+    tx = tpch.transactions(spark, SF_SMALL)
+    q = tx.filter(F.col("purchase_date") >= F.lit(date(2000, 1, 1))).groupBy("product_id").count()
+    assert any("o_orderdate" in f for f in P.pushed_filters(q))
+
+
+def test_fact_join_is_sort_merge(spark):
+    assert P.has_operator(tpch.transactions(spark, SF_SMALL), "SortMergeJoin")
+
+
+def test_no_single_partition_before_aggregation(spark):
+    tx = tpch.transactions(spark, SF_SMALL)
+    assert P.single_partition_exchanges(R.customer_base(tx)) == 0
+    assert P.single_partition_exchanges(C.monthly_cohort_matrix(tx).drop("cohort_size")) == 0
+
+
+def test_top_k_is_take_ordered(spark):
+    t = tpch.retail_tables(spark, SF_SMALL)
+    q = D.top_products(enrich(t.transactions, products=t.products), 20)
+    assert P.has_operator(q, "TakeOrderedAndProject")

@@ -1,0 +1,73 @@
+"""RFM scoring, tiers, win-back list."""
+
+from __future__ import annotations
+
+import pytest
+
+from shelfwise.operators import rfm as R
+from shelfwise.sources import tpch
+from tests.conftest import SF_SMALL, d, sale
+
+
+@pytest.fixture(scope="module")
+def rfm_small(spark):
+    return R.compute_rfm(tpch.transactions(spark, SF_SMALL)).cache()
+
+
+def test_scores_and_tiers(rfm_small):
+    rows = rfm_small.collect()
+    assert {r.tier for r in rows} <= set(R.TIERS)
+    assert min(r.r_score for r in rows) >= 1 and max(r.r_score for r in rows) <= 4
+    assert all(r.rfm_score == r.r_score + r.f_score + r.m_score for r in rows)
+    assert min(r.recency_days for r in rows) == 0  # reference date is the last day itself
+
+
+def test_platinum_beats_bronze(rfm_small):
+    avg = {r.tier: r.avg_monetary for r in R.tier_summary(rfm_small).collect()}
+    assert avg["Platinum"] > avg["Bronze"]
+
+
+def test_tier_summary_shares_sum_to_one(rfm_small):
+    s = R.tier_summary(rfm_small).collect()
+    assert abs(sum(r.customer_share for r in s) - 1) < 1e-9
+    assert abs(sum(r.revenue_share for r in s) - 1) < 1e-9
+
+
+def test_at_risk_meets_thresholds(rfm_small):
+    ar = R.at_risk_customers(rfm_small, 60, 0.5).collect()
+    assert all(r.recency_days >= 60 for r in ar)
+    mons = [r.monetary for r in ar]
+    assert mons == sorted(mons, reverse=True)
+    tot = R.at_risk_revenue(R.at_risk_customers(rfm_small, 60, 0.5)).first()
+    assert tot.customers == len(ar)
+
+
+def test_at_risk_revenue_empty(rfm_small):
+    tot = R.at_risk_revenue(rfm_small.limit(0)).first()
+    assert tot.customers == 0 and tot.dollars_at_risk == 0.0 and tot.avg_customer_value is None
+
+
+def test_rfm_by_hand(make_tx):
+    # Customer 1 bought on the last day (recency 0); customer 4 long ago.
+    rows = [sale("A", 1, 1, "2023-03-31", price=100.0), sale("B", 1, 1, "2023-03-30", price=100.0),
+            sale("C", 2, 1, "2023-03-01", price=50.0),
+            sale("D", 3, 1, "2023-02-01", price=20.0),
+            sale("E", 4, 1, "2023-01-01", price=10.0)]
+    r = {x.customer_id: x for x in R.compute_rfm(make_tx(rows)).collect()}
+    assert r[1].recency_days == 0 and r[1].frequency == 2 and r[1].monetary == 200.0
+    assert r[1].r_score == 4 and r[4].r_score == 1
+    assert r[1].tier == "Platinum" and r[4].tier == "Bronze"
+    assert r[1].last_purchase == d("2023-03-31") and r[1].first_purchase == d("2023-03-30")
+
+
+def test_sample_is_exact_and_repeatable(rfm_small):
+    a = [r.customer_id for r in R.rfm_sample(rfm_small, 50).collect()]
+    b = [r.customer_id for r in R.rfm_sample(rfm_small.repartition(3), 50).collect()]
+    assert len(a) == 50 and a == b
+
+
+def test_tier_lookup_keeps_empty_tiers(spark, make_tx):
+    rows = [sale("A", 1, 1, "2023-03-31")]
+    look = R.tier_lookup(R.tier_summary(R.compute_rfm(make_tx(rows)))).collect()
+    assert [r.tier for r in look] == R.TIERS
+    assert sum(r.customers for r in look) == 1
