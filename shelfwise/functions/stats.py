@@ -137,6 +137,7 @@ def quantiles(
     probs: dict[str, list[float]],
     method: str = "linear",
     approx_accuracy: int | None = None,
+    stats: dict[str, tuple[int, float, float]] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles per column.
 
@@ -144,6 +145,7 @@ def quantiles(
     ``nearest``: v[round(h)].
     ``approx_accuracy`` switches to ``percentile_approx`` (one job, relative
     rank error 1/accuracy) for inputs where exactness is not needed.
+    ``stats`` may carry a ``column_stats`` result computed earlier.
     """
     if approx_accuracy:
         row = df.agg(
@@ -154,7 +156,8 @@ def quantiles(
         ).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(ps)
                 for c, ps in probs.items()}
-    stats = column_stats(df, list(probs))
+    if stats is None or any(c not in stats for c in probs):
+        stats = column_stats(df, list(probs))
     wanted: dict[str, list[int]] = {}
     for c, ps in probs.items():
         n = stats[c][0]

@@ -22,7 +22,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.calendar import daily_range
 from shelfwise.functions.holtwinters import fit_many, run_fixed
 
 BATCH_PRODUCTS = 256
@@ -66,15 +65,37 @@ def daily_sales(df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 
 def daily_units(df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """product_id, ds, y — every day from each product's own first to
-    last sale, days without sales as 0."""
+    last sale, days without sales as 0.
+
+    One shuffle on product_id gathers each product's daily sales (bounded by
+    its days of history, not by its number of transactions). The dense series
+    is built in linear time from the sorted sales: each sale contributes the
+    zeros since the previous sale followed by its own units; ``posexplode``
+    turns the array back into rows. No spine join, no second shuffle.
+    """
     daily = daily_sales(df, ids)
-    spine = (
-        daily.groupBy("product_id")
-        .agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
-        .select("product_id", F.explode(daily_range("lo", "hi")).alias("ds"))
+    per = daily.groupBy("product_id").agg(
+        F.min("ds").alias("lo"),
+        F.array_sort(
+            F.collect_list(F.struct(F.unix_date("ds").alias("d"), F.col("y").alias("y")))
+        ).alias("s"),
+    )
+    days = F.transform("s", lambda e: e["d"])
+    prev = F.concat(
+        F.array(F.unix_date("lo") - F.lit(1)), F.slice(days, 1, F.size("s") - F.lit(1))
+    )
+    dense = F.flatten(
+        F.zip_with(
+            "s",
+            prev,
+            lambda e, p: F.concat(
+                F.array_repeat(F.lit(0).cast("long"), (e["d"] - p - F.lit(1)).cast("int")),
+                F.array(e["y"]),
+            ),
+        )
     )
-    return spine.join(daily, ["product_id", "ds"], "left").select(
-        "product_id", "ds", F.coalesce(F.col("y"), F.lit(0)).cast("long").alias("y")
+    return per.select("product_id", "lo", F.posexplode(dense).alias("i", "y")).select(
+        "product_id", F.date_add("lo", F.col("i")).alias("ds"), F.col("y").cast("long").alias("y")
     )
 
 

@@ -9,16 +9,17 @@ projection of the base with those numbers as literals.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.measures import as_double, order_key, safe_div
-from shelfwise.functions.stats import exact_money, quantiles, quartile_score
+from shelfwise.functions.stats import column_stats, exact_money, quantiles, quartile_score
 
 QUARTILES = [0.25, 0.5, 0.75]
+EPOCH = date(1970, 1, 1)
 
 # Tier names with the minimum composite score of each, best
 # first; anything below the last threshold is Bronze.
@@ -66,25 +67,35 @@ def compute_rfm(
     scores (r = 5 − quartile of recency), rfm_score 3..12 and tier.
 
     Quartile cut points interpolate linearly between order statistics; bins
-    are right-closed. Runs a few small jobs (reference date, selection
-    rounds); the returned frame is lazy over the persisted base.
+    are right-closed. Recency is ref − last purchase, so its cut points are
+    those of −day(last purchase) shifted by the reference day; one statistics
+    job yields the reference day (the latest purchase) together with the
+    counts and ranges the selection starts from. The returned frame is lazy
+    over the persisted base.
     """
-    base = customer_base(df).persist(StorageLevel.MEMORY_AND_DISK)
+    base = (
+        customer_base(df)
+        .withColumn("_neg_lp", -F.unix_date("last_purchase"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    cols = ["_neg_lp", "frequency", "monetary"]
+    stats = None if approx_accuracy else column_stats(base, cols)
     if ref_date is None:
-        ref_date = base.agg(F.max("last_purchase")).first()[0]
+        if stats is None:
+            ref_date = base.agg(F.max("last_purchase")).first()[0]
+        elif stats["_neg_lp"][1] is not None:
+            ref_date = EPOCH + timedelta(days=int(-stats["_neg_lp"][1]))
+    q = quantiles(base, {c: QUARTILES for c in cols}, approx_accuracy=approx_accuracy,
+                  stats=stats)
     if ref_date is None:  # empty input
-        rec = F.lit(None).cast("int")
+        rec, rec_q = F.lit(None).cast("int"), [None] * 3
     else:
+        ref_days = (ref_date - EPOCH).days
         rec = F.datediff(F.lit(ref_date), F.col("last_purchase"))
-    base = base.withColumn("recency_days", rec)
-    q = quantiles(
-        base,
-        {"recency_days": QUARTILES, "frequency": QUARTILES, "monetary": QUARTILES},
-        approx_accuracy=approx_accuracy,
-    )
-    scored = base.withColumns(
+        rec_q = [None if v is None else ref_days + v for v in q["_neg_lp"]]
+    scored = base.withColumn("recency_days", rec).withColumns(
         {
-            "r_score": (F.lit(5) - quartile_score("recency_days", q["recency_days"])).cast("int"),
+            "r_score": (F.lit(5) - quartile_score("recency_days", rec_q)).cast("int"),
             "f_score": quartile_score("frequency", q["frequency"]),
             "m_score": quartile_score("monetary", q["monetary"]),
         }
