@@ -4,8 +4,8 @@ Plan for ``forecast_rows``:
 
 1. daily units per (product, day) — partial + final aggregate; a product
    with a third of all rows still yields one row per day;
-2. a batch key ``product_id div 256`` groups at most 256 products, so a
-   group is bounded by 256 series × days of history, independent of volume;
+2. a batch key ``product_id div 512`` groups at most 512 products, so a
+   group is bounded by 512 series × days of history, independent of volume;
 3. ``groupBy(batch).applyInPandas`` densifies each series (missing days → 0)
    and fits all series of the batch together (``functions.holtwinters``):
    a fit on the series minus its last ``test_days`` for the backtest, and a
@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.holtwinters import fit_many, run_fixed
+from shelfwise.session import ship_package
 
-BATCH_PRODUCTS = 256
+BATCH_PRODUCTS = 512
 MIN_HISTORY_DAYS = 60
 SEASON = 7
 
@@ -108,6 +109,7 @@ def _batched(daily: DataFrame) -> DataFrame:
     shuffle (the partitioning already clusters by batch).
     """
     spark = daily.sparkSession
+    ship_package(spark)
     n = max(
         spark.sparkContext.defaultParallelism,
         int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
@@ -155,7 +157,7 @@ def _forecast_batch(horizon: int, test_days: int, min_history: int):
         # The backtest fit searches the grid; the fit on the whole series
         # (train + test days) starts from its parameters.
         tfit = fit_many(train, SEASON)
-        ffit = fit_many(full, SEASON, start=(tfit.alpha, tfit.beta, tfit.gamma), refine_rounds=1)
+        ffit = fit_many(full, SEASON, start=(tfit.alpha, tfit.beta, tfit.gamma), refine_rounds=0)
         bt = tfit.forecast(int(tds.max()))
         fc = ffit.forecast(horizon)
         k = len(series)

@@ -63,3 +63,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``shelfwise`` importable in Python workers (once per application).
+
+    Grouped pandas UDFs reference functions of this package; workers import
+    them by name. When the package is not installed on the executors (or
+    passed with ``--py-files``), a zip of it is added with ``addPyFile``,
+    which Spark distributes to every executor.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+    from pathlib import Path
+
+    pkg = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="shelfwise-pkg-")
+    path = os.path.join(folder, "shelfwise.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(pkg.rglob("*.py")):
+            z.write(f, f.relative_to(pkg.parent).as_posix())
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
