@@ -106,12 +106,16 @@ def _batched(daily: DataFrame) -> DataFrame:
     The explicit partition count keeps the Python stage parallel: the daily
     table is small in bytes, and AQE would otherwise coalesce it into a few
     partitions, serialising the fits. The grouped UDF then needs no further
-    shuffle (the partitioning already clusters by batch).
+    shuffle (the partitioning already clusters by batch). The package is
+    shipped to the workers first.
     """
     spark = daily.sparkSession
     ship_package(spark)
+    # More partitions than cores, so the scheduler can even out batches of
+    # unequal cost (hashing few batch keys into as many partitions as cores
+    # leaves some tasks with twice the average work).
     n = max(
-        spark.sparkContext.defaultParallelism,
+        4 * spark.sparkContext.defaultParallelism,
         int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
     )
     return daily.withColumn(
