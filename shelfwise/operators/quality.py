@@ -15,22 +15,15 @@ from shelfwise.sources.schemas import SCHEMAS, schema_problems, type_family
 
 def orphans(tx: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
     """Q1: fact rows whose customer / product is missing from its dimension
-    (anti joins; a null key counts as an orphan)."""
+    (anti joins; a null key counts as an orphan). The second count is a
+    scalar subquery next to the first, not a join."""
     oc = tx.select("customer_id").join(
         customers.select("customer_id"), "customer_id", "left_anti"
     ).agg(F.count(F.lit(1)).alias("orphan_customers"))
     op = tx.select("product_id").join(
         products.select("product_id"), "product_id", "left_anti"
     ).agg(F.count(F.lit(1)).alias("orphan_products"))
-    return _one_row(oc, op)
-
-
-def _one_row(*frames: DataFrame) -> DataFrame:
-    """Side by side columns of one-row aggregates (joined on a constant)."""
-    out = frames[0].withColumn("_k", F.lit(0))
-    for f in frames[1:]:
-        out = out.join(F.broadcast(f.withColumn("_k", F.lit(0))), "_k")
-    return out.drop("_k")
+    return oc.select("orphan_customers", op.scalar().alias("orphan_products"))
 
 
 def pre_signup(tx: DataFrame, customers: DataFrame) -> DataFrame:
@@ -69,12 +62,12 @@ def row_bounds(tx: DataFrame, lo: int, hi: int) -> DataFrame:
 
 def row_bounds_near(tx: DataFrame, target: DataFrame, tolerance: float = 0.25) -> DataFrame:
     """Q4 with a computed target: rows within ±tolerance of ``target``'s
-    single ``target`` value."""
-    got = tx.agg(F.count(F.lit(1)).alias("rows"))
-    t = target.select(F.col("target").cast("long").alias("target"))
+    single ``target`` value (read as a scalar subquery)."""
+    t = target.select(F.col("target").cast("long").alias("target")).scalar()
+    got = tx.agg(F.count(F.lit(1)).alias("rows")).select("rows", t.alias("target"))
     lo = F.floor(F.col("target") * F.lit(1 - tolerance)).cast("long")
     hi = F.ceil(F.col("target") * F.lit(1 + tolerance)).cast("long")
-    return _one_row(got, t).select(
+    return got.select(
         "rows", "target", lo.alias("lo"), hi.alias("hi"),
         ((F.col("rows") >= lo) & (F.col("rows") <= hi)).alias("within_bounds"),
     )

@@ -17,7 +17,7 @@ def formatted_plan(df: DataFrame) -> str:
 
 
 def single_partition_exchanges(df: DataFrame) -> int:
-    return len(re.findall(r"Exchange SinglePartition", formatted_plan(df)))
+    return len(re.findall(r"Arguments: SinglePartition", formatted_plan(df)))
 
 
 def pushed_filters(df: DataFrame) -> list[str]:
