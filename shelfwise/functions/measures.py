@@ -82,3 +82,12 @@ def line_measures(
     return df.withColumn("net_revenue", net).withColumn(
         "profit", F.col("net_revenue") * _c(margin)
     )
+
+
+def distinct_count(col: str | Column, rsd: float | None = None) -> Column:
+    """Exact ``count(DISTINCT …)``, or with ``rsd`` the HyperLogLog++
+    estimate (relative standard deviation ``rsd``), which needs no
+    (key, value) pre-aggregation shuffle — the opt-in for very large inputs.
+    Both skip nulls."""
+    c = _c(col)
+    return F.approx_count_distinct(c, rsd) if rsd else F.count_distinct(c)

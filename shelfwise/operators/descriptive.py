@@ -12,22 +12,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.calendar import bucket
-from shelfwise.functions.measures import as_double, money_sum, order_key, safe_div
+from shelfwise.functions.measures import (
+    as_double,
+    distinct_count,
+    money_sum,
+    order_key,
+    safe_div,
+)
 
 
-def dataset_summary(df: DataFrame) -> DataFrame:
+def dataset_summary(df: DataFrame, approx_rsd: float | None = None) -> DataFrame:
     """K1: one row — rows, customers, products, orders, gross_revenue (Σ net
     revenue), gross_profit, first_day, last_day.
 
     Three exact distinct counts in one aggregate are planned by Catalyst as an
     ``Expand`` (one copy of each row per distinct column) feeding a two-level
     aggregate; the copies are pre-aggregated per partition before the shuffle.
+    ``approx_rsd`` switches the three counts to HyperLogLog++ (no Expand).
     """
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("customer_id").alias("customers"),
-        F.count_distinct("product_id").alias("products"),
-        F.count_distinct(order_key(df)).alias("orders"),
+        distinct_count("customer_id", approx_rsd).alias("customers"),
+        distinct_count("product_id", approx_rsd).alias("products"),
+        distinct_count(order_key(df), approx_rsd).alias("orders"),
         as_double(money_sum("net_revenue")).alias("gross_revenue"),
         as_double(money_sum("profit")).alias("gross_profit"),
         F.min("purchase_date").alias("first_day"),
@@ -35,7 +42,7 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def _buckets(df: DataFrame, grain: str) -> DataFrame:
+def _buckets(df: DataFrame, grain: str, approx_rsd: float | None = None) -> DataFrame:
     """Per-bucket sums, money still in the input type (``revenue_x``)."""
     return (
         df.withColumn("bucket", bucket("purchase_ts", grain))
@@ -43,18 +50,20 @@ def _buckets(df: DataFrame, grain: str) -> DataFrame:
         .agg(
             F.sum("net_revenue").alias("revenue_x"),
             F.sum("profit").alias("profit_x"),
-            F.count_distinct(order_key(df)).alias("orders"),
-            F.count_distinct("customer_id").alias("customers"),
+            distinct_count(order_key(df), approx_rsd).alias("orders"),
+            distinct_count("customer_id", approx_rsd).alias("customers"),
             F.sum("quantity").cast("long").alias("units"),
         )
     )
 
 
-def revenue_over_time(df: DataFrame, grain: str = "day") -> DataFrame:
+def revenue_over_time(
+    df: DataFrame, grain: str = "day", approx_rsd: float | None = None
+) -> DataFrame:
     """Bucket, revenue, profit, orders, customers, units — sorted by bucket,
     only buckets that had sales."""
     return (
-        _buckets(df, grain)
+        _buckets(df, grain, approx_rsd)
         .select(
             "bucket",
             as_double("revenue_x").alias("revenue"),
@@ -94,7 +103,7 @@ def rolling_revenue(df: DataFrame, window_days: int = 7, grain: str = "day") ->
     )
 
 
-def revenue_by_category(df: DataFrame) -> DataFrame:
+def revenue_by_category(df: DataFrame, approx_rsd: float | None = None) -> DataFrame:
     """D3: category, revenue, profit, units, orders, revenue_share,
     profit_margin — revenue descending.
 
@@ -105,7 +114,7 @@ def revenue_by_category(df: DataFrame) -> DataFrame:
         F.sum("net_revenue").alias("revenue_x"),
         F.sum("profit").alias("profit_x"),
         F.sum("quantity").cast("long").alias("units"),
-        F.count_distinct(order_key(df)).alias("orders"),
+        distinct_count(order_key(df), approx_rsd).alias("orders"),
     )
     total = F.sum("revenue_x").over(Window.partitionBy())
     return g.select(
@@ -119,14 +128,14 @@ def revenue_by_category(df: DataFrame) -> DataFrame:
     ).orderBy(F.desc_nulls_first("revenue"), F.asc_nulls_first("category"))
 
 
-def revenue_by_country(df: DataFrame) -> DataFrame:
+def revenue_by_country(df: DataFrame, approx_rsd: float | None = None) -> DataFrame:
     """Country, revenue, profit, customers — revenue descending."""
     return (
         df.groupBy("country")
         .agg(
             as_double(F.sum("net_revenue")).alias("revenue"),
             as_double(F.sum("profit")).alias("profit"),
-            F.count_distinct("customer_id").alias("customers"),
+            distinct_count("customer_id", approx_rsd).alias("customers"),
         )
         .orderBy(F.desc_nulls_first("revenue"), F.asc_nulls_first("country"))
     )
@@ -162,7 +171,9 @@ def top_products(df: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
-def category_join_rollup(tx: DataFrame, products: DataFrame) -> DataFrame:
+def category_join_rollup(
+    tx: DataFrame, products: DataFrame, approx_rsd: float | None = None
+) -> DataFrame:
     """Inner join transactions × products, then per category: rev,
     profit, orders — rev descending."""
     key = order_key(tx)
@@ -173,7 +184,7 @@ def category_join_rollup(tx: DataFrame, products: DataFrame) -> DataFrame:
         .agg(
             as_double(F.sum("net_revenue")).alias("rev"),
             as_double(F.sum("profit")).alias("profit"),
-            F.count_distinct(key).alias("orders"),
+            distinct_count(key, approx_rsd).alias("orders"),
         )
         .orderBy(F.desc_nulls_first("rev"), F.asc_nulls_first("category"))
     )

@@ -80,6 +80,8 @@ def ship_package(spark: SparkSession) -> None:
     key = sc.applicationId
     if key in _SHIPPED:
         return
+    if spark.conf.get("shelfwise.shipPackage", "true").lower() == "false":
+        return  # installed on the executors, or passed with --py-files
     import zipfile
     from pathlib import Path
 

@@ -74,3 +74,12 @@ def test_category_join_rollup_is_inner(make_tx, make_products):
     prod = make_products([(1, "S1", "Toys", 1.0, 0.5, 1)])
     rows = D.category_join_rollup(tx, prod).collect()
     assert [(r.category, r.rev, r.orders) for r in rows] == [("Toys", 10.0, 1)]
+
+
+def test_approximate_distinct_counts(spark):
+    tx = tpch.transactions(spark, SF_SMALL)
+    exact = D.dataset_summary(tx).first()
+    approx = D.dataset_summary(tx, approx_rsd=0.02).first()
+    for k in ("customers", "products", "orders"):
+        assert abs(approx[k] - exact[k]) <= 0.08 * exact[k]
+    assert approx.gross_revenue == exact.gross_revenue

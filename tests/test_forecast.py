@@ -120,3 +120,55 @@ def test_history_and_forecast_union(make_tx):
     hf = FC.history_and_forecast(FC.daily_units(tx), FC.forecasts(FC.forecast_rows(tx, None, 10)))
     counts = {r.series: r["count"] for r in hf.groupBy("series").count().collect()}
     assert counts == {"history": 70, "forecast": 10}
+
+
+def test_forecast_rows_match_direct_kernel(spark, make_tx, make_products):
+    """Spark plumbing (densify, batches, dates, bands, backtest window)
+    against the kernel called directly on the same series."""
+    import pandas as pd
+
+    from shelfwise.operators import prescriptive as X
+
+    rng = np.random.default_rng(7)
+    series = {}
+    rows = []
+    for pid, n in ((3, 75), (700, 64), (1500, 95)):     # three different batches
+        u = rng.poisson(3, n) * (rng.random(n) < 0.7)
+        u[0] = u[-1] = 1                                # first and last day sold
+        rows += _daily_rows(pid, "2023-03-01", [int(v) for v in u])
+        series[pid] = u.astype(float)
+    tx = make_tx(rows)
+    got = FC.forecast_rows(tx, None, 14, 30).toPandas()
+    for pid, y in series.items():
+        td = FC.backtest_days(len(y), 30)
+        tfit = fit_many([y[:-td]])
+        ffit = fit_many([y], start=(tfit.alpha, tfit.beta, tfit.gamma), refine_rounds=0)
+        g = got[got.product_id == pid].sort_values(["kind", "step"])
+        bt = g[g.kind == "backtest"]
+        assert np.allclose(bt.yhat, tfit.forecast(td)[0], rtol=0, atol=1e-9)
+        assert np.array_equal(bt.actual.to_numpy(), y[-td:])
+        fc = g[g.kind == "forecast"]
+        assert np.allclose(fc.yhat, ffit.forecast(14)[0], rtol=0, atol=1e-9)
+        assert np.allclose(fc.sigma, ffit.sigma[0], rtol=0, atol=1e-12)
+        last = date(2023, 3, 1) + timedelta(days=len(y) - 1)
+        assert list(fc.ds) == [last + timedelta(days=h) for h in range(1, 15)]
+
+    # reorder report against a pandas recomputation from the same rows
+    prod = make_products([(3, "S3", "A", 2.0, 0.3, 10), (700, "S700", "B", 2.0, 0.3, 1000)])
+    rows_df = spark.createDataFrame(got)
+    fcf = FC.forecasts(rows_df, prod).toPandas()
+    acc = FC.backtest(rows_df).toPandas().set_index("product_id")
+    rep = X.reorder_report(FC.forecasts(rows_df, prod), FC.backtest(rows_df), prod, 7, 1.65)
+    rep = rep.toPandas().set_index("product_id")
+    for pid in series:
+        w = fcf[(fcf.product_id == pid) & (fcf.step <= 7)]
+        demand = w.yhat.sum()
+        sigma = (w.yhat_upper - w.yhat).mean() / 1.96
+        r = rep.loc[pid]
+        assert np.isclose(r.expected_demand, demand) and np.isclose(r.safety_stock, 1.65 * sigma * np.sqrt(7))
+        assert np.isclose(r.mape_pct, acc.loc[pid].mape)
+        stock = {3: 10, 700: 1000}.get(pid)
+        want = ("green" if stock is None else "red" if stock < demand
+                else "yellow" if stock < demand + 1.65 * sigma * np.sqrt(7) else "green")
+        assert r.status == want
+    assert pd.isna(rep.loc[1500].stock_on_hand)
