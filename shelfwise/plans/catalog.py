@@ -11,12 +11,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shelfwise.operators import cohort as C
 from shelfwise.operators import descriptive as D
-from shelfwise.plans.oracle import CUST, EVENTS, PROD, TX, with_ctes
-from shelfwise.sources import enrich
-from shelfwise.sources import tpch
+from shelfwise.operators import forecast as FC
+from shelfwise.operators import invoices as I
+from shelfwise.operators import prescriptive as X
+from shelfwise.operators import quality as Q
+from shelfwise.operators import rfm as R
+from shelfwise.plans.oracle import (
+    COHORT,
+    CUST,
+    DAILY,
+    EVENTS,
+    PROD,
+    RFM,
+    TIER_SUMMARY,
+    TOP_SKUS,
+    TX,
+    at_risk_cte,
+    cohort_pivot_sql,
+    with_ctes,
+)
+from shelfwise.sources import enrich, tpch
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -170,9 +189,6 @@ def q_category_join_rollup(spark, sf_dir):
 
 # ------------------------------------------------------------------------ RFM
 
-from shelfwise.operators import rfm as R  # noqa: E402
-from shelfwise.plans.oracle import RFM, TIER_SUMMARY, at_risk_cte  # noqa: E402
-
 
 def _rfm(spark, sf_dir):
     return R.compute_rfm(tpch.transactions(spark, sf_dir))
@@ -230,9 +246,6 @@ def q_rfm_sample(spark, sf_dir):
 
 # --------------------------------------------------------------------- cohort
 
-from shelfwise.operators import cohort as C  # noqa: E402
-from shelfwise.plans.oracle import COHORT, cohort_pivot_sql  # noqa: E402
-
 
 @query(
     "first_purchase_month",
@@ -268,12 +281,6 @@ def q_retention_curve(spark, sf_dir):
 
 # ------------------------------------------------------------------- forecast
 
-from pyspark.sql import Window as _W  # noqa: E402
-from pyspark.sql import functions as _F  # noqa: E402
-
-from shelfwise.operators import forecast as FC  # noqa: E402
-from shelfwise.plans.oracle import DAILY, TOP_SKUS  # noqa: E402
-
 
 @query("top_skus", with_ctes(TX, TOP_SKUS) + "SELECT product_id FROM top")
 def q_top_skus(spark, sf_dir):
@@ -316,10 +323,10 @@ def q_forecast_accuracy(spark, sf_dir):
     dense = FC.daily_units(tpch.transactions(spark, sf_dir))
     pairs = dense.select(
         "product_id",
-        _F.col("y").cast("double").alias("actual"),
-        _F.lag("y", 7).over(_W.partitionBy("product_id").orderBy("ds")).cast("double")
+        F.col("y").cast("double").alias("actual"),
+        F.lag("y", 7).over(Window.partitionBy("product_id").orderBy("ds")).cast("double")
         .alias("predicted"),
-    ).filter(_F.col("predicted").isNotNull())
+    ).filter(F.col("predicted").isNotNull())
     return FC.forecast_accuracy(pairs, "actual", "predicted")
 
 
@@ -351,8 +358,6 @@ def q_history_and_forecast(spark, sf_dir):
 
 # --------------------------------------------------------------- prescriptive
 
-from shelfwise.operators import prescriptive as X  # noqa: E402
-
 
 def _reorder(spark, sf_dir, lead_time=14):
     """Forecast horizon = lead time, as the reorder screen does."""
@@ -415,9 +420,6 @@ def q_dead_stock_total(spark, sf_dir):
 
 # --------------------------------------------------------------- data quality
 
-from shelfwise.operators import invoices as I  # noqa: E402
-from shelfwise.operators import quality as Q  # noqa: E402
-
 
 @query(
     "dq_orphans",
