@@ -15,6 +15,7 @@ from shelfwise.functions.calendar import bucket
 from shelfwise.functions.measures import (
     as_double,
     distinct_count,
+    margin_pct,
     money_sum,
     order_key,
     safe_div,
@@ -42,6 +43,23 @@ def dataset_summary(df: DataFrame, approx_rsd: float | None = None) -> DataFrame
     )
 
 
+def summary_margin(summary: DataFrame) -> DataFrame:
+    """E19 on the KPI row: gross_profit ÷ gross_revenue × 100 (null when there
+    is no revenue)."""
+    return summary.withColumn("margin_pct", margin_pct("gross_profit", "gross_revenue"))
+
+
+def preview(df: DataFrame, n: int, *order, last: bool = False) -> DataFrame:
+    """The first n rows in the given order, or with ``last`` the last n
+    (reversed order + limit, then back in the given order). Plans as a
+    per-partition top-n."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    if not last:
+        return df.orderBy(*cols).limit(n)
+    rev = [c.desc_nulls_last() for c in cols]
+    return df.orderBy(*rev).limit(n).orderBy(*cols)
+
+
 def _buckets(df: DataFrame, grain: str, approx_rsd: float | None = None) -> DataFrame:
     """Per-bucket sums, money still in the input type (``revenue_x``)."""
     return (

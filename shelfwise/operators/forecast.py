@@ -216,6 +216,22 @@ def forecast_rows(
     )
 
 
+def forecast_product(
+    df: DataFrame,
+    product_id: int,
+    products: DataFrame | None = None,
+    horizon_days: int = 30,
+    test_days: int = 30,
+    ci: float = 0.95,
+) -> tuple[DataFrame, DataFrame]:
+    """F5 for one product: (forecast frame, backtest frame); both empty when
+    the product has under 60 days of history. The product filter is pushed
+    into the scan."""
+    rows = forecast_rows(df.filter(F.col("product_id") == F.lit(product_id)), None,
+                         horizon_days, test_days)
+    return forecasts(rows, products, ci), backtest(rows, products)
+
+
 def band_z(ci: float) -> float:
     return 1.96 if ci >= 0.95 else 1.28
 
@@ -319,6 +335,7 @@ def fixed_parameter_fit(
 
 __all__ = [
     "top_skus_by_revenue", "top_skus_with_labels", "daily_units", "forecast_rows",
+    "forecast_product",
     "forecasts", "backtest", "forecast_accuracy", "history_and_forecast",
     "fixed_parameter_fit",
 ]

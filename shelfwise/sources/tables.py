@@ -19,6 +19,20 @@ from shelfwise.sources.schemas import (
 )
 
 CUSTOMER_COLUMNS = ["customer_id", "signup_date", "country"]
+
+# With no explicit path, tables are found under the folder named by this
+# session setting, as <dir>/<table>.parquet.
+DATA_DIR_CONF = "shelfwise.data.dir"
+
+
+def table_path(spark: SparkSession, table: str, path: str | None = None) -> str:
+    """The explicit path, else ``<shelfwise.data.dir>/<table>.parquet``."""
+    if path is not None:
+        return path
+    base = spark.conf.get(DATA_DIR_CONF, None)
+    if not base:
+        raise ValueError(f"no path given for {table!r} and {DATA_DIR_CONF} is not set")
+    return f"{base.rstrip('/')}/{table}.parquet"
 PRODUCT_COLUMNS = ["product_id", "sku", "category", "margin_pct", "stock_on_hand"]
 
 
@@ -50,27 +64,36 @@ def with_calendar(df: DataFrame, ts: str = "purchase_ts") -> DataFrame:
     return df.withColumns(calendar_columns(ts))
 
 
+def _maybe_cache(df: DataFrame, cache: bool) -> DataFrame:
+    """The eager read of the reference is a cached frame here."""
+    return df.cache() if cache else df
+
+
 def load_transactions(
-    spark: SparkSession, path: str, nanos_timestamps: bool = False
+    spark: SparkSession,
+    path: str | None = None,
+    nanos_timestamps: bool = False,
+    cache: bool = False,
 ) -> DataFrame:
     """Lazy scan + schema check + six calendar columns."""
-    df = _read(spark, path, ("purchase_ts",) if nanos_timestamps else ())
+    df = _read(spark, table_path(spark, "transactions", path),
+               ("purchase_ts",) if nanos_timestamps else ())
     check_schema(df, TRANSACTIONS_SCHEMA, "transactions")
-    return with_calendar(df)
+    return _maybe_cache(with_calendar(df), cache)
 
 
-def load_customers(spark: SparkSession, path: str) -> DataFrame:
+def load_customers(spark: SparkSession, path: str | None = None, cache: bool = False) -> DataFrame:
     """S2."""
-    df = _read(spark, path)
+    df = _read(spark, table_path(spark, "customers", path))
     check_schema(df, CUSTOMERS_SCHEMA, "customers")
-    return df
+    return _maybe_cache(df, cache)
 
 
-def load_products(spark: SparkSession, path: str) -> DataFrame:
+def load_products(spark: SparkSession, path: str | None = None, cache: bool = False) -> DataFrame:
     """S3."""
-    df = _read(spark, path)
+    df = _read(spark, table_path(spark, "products", path))
     check_schema(df, PRODUCTS_SCHEMA, "products")
-    return df
+    return _maybe_cache(df, cache)
 
 
 def enrich(

@@ -83,3 +83,11 @@ def test_approximate_distinct_counts(spark):
     for k in ("customers", "products", "orders"):
         assert abs(approx[k] - exact[k]) <= 0.08 * exact[k]
     assert approx.gross_revenue == exact.gross_revenue
+
+
+def test_summary_margin_and_preview(make_tx):
+    tx = make_tx([sale("A", 1, 1, f"2023-01-0{i}", price=float(i), margin=0.25) for i in range(1, 6)])
+    s = D.summary_margin(D.dataset_summary(tx)).first()
+    assert abs(s.margin_pct - 25.0) < 1e-9
+    assert [r.net_revenue for r in D.preview(tx, 2, "purchase_ts").collect()] == [1.0, 2.0]
+    assert [r.net_revenue for r in D.preview(tx, 2, "purchase_ts", last=True).collect()] == [4.0, 5.0]

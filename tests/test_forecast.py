@@ -172,3 +172,12 @@ def test_forecast_rows_match_direct_kernel(spark, make_tx, make_products):
                 else "yellow" if stock < demand + 1.65 * sigma * np.sqrt(7) else "green")
         assert r.status == want
     assert pd.isna(rep.loc[1500].stock_on_hand)
+
+
+def test_forecast_product_single_id(spark):
+    tx = tpch.transactions(spark, SF_SMALL)
+    pid = FC.top_skus_by_revenue(tx, 1).first().product_id
+    fc, bt = FC.forecast_product(tx, pid, tpch.products(spark, SF_SMALL), 7, 14, 0.8)
+    rows = fc.collect()
+    assert len(rows) == 7 and {r.product_id for r in rows} == {pid}
+    assert bt.count() == 1

@@ -95,3 +95,20 @@ def test_adapter_matches_model(spark):
     assert r.invoice_id.startswith("INV-") and len(r.invoice_id) >= 12
     p = t.products.first()
     assert 0.05 <= p.margin_pct <= 0.75 and 5 <= p.stock_on_hand <= 1999
+
+
+def test_default_paths_from_session_setting(spark, make_tx):
+    from shelfwise.sources.tables import DATA_DIR_CONF, load_transactions as lt
+
+    folder = tempfile.mkdtemp(prefix="data-")
+    make_tx([sale("INV-1", 1, 1, "2023-01-01")]).drop(
+        "purchase_date", "year", "month", "weekday", "hour", "month_start"
+    ).write.parquet(os.path.join(folder, "transactions.parquet"))
+    spark.conf.set(DATA_DIR_CONF, folder)
+    try:
+        df = lt(spark, cache=True)
+        assert df.count() == 1 and df.is_cached
+    finally:
+        spark.conf.unset(DATA_DIR_CONF)
+    with pytest.raises(ValueError):
+        lt(spark)
