@@ -56,7 +56,9 @@ def top_skus_with_labels(enriched: DataFrame, n: int = 50) -> DataFrame:
 
 
 def daily_sales(df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """Units per (product_id, ds) for days with sales."""
+    """Units per (product_id, ds) for days with sales. Rows without a
+    product or a date belong to no series and are left out."""
+    df = df.filter(F.col("product_id").isNotNull() & F.col("purchase_date").isNotNull())
     if ids is not None:
         df = df.join(ids.select("product_id"), "product_id", "left_semi")
     return df.groupBy("product_id", F.col("purchase_date").alias("ds")).agg(

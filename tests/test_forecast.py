@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from shelfwise.functions.holtwinters import fit_many, run_fixed
 from shelfwise.operators import forecast as FC
@@ -181,3 +182,16 @@ def test_forecast_product_single_id(spark):
     rows = fc.collect()
     assert len(rows) == 7 and {r.product_id for r in rows} == {pid}
     assert bt.count() == 1
+
+
+def test_rows_without_product_or_date_are_ignored(spark, make_tx):
+    rng = np.random.default_rng(5)
+    rows = _daily_rows(1, "2023-01-01", [int(v) + 1 for v in rng.poisson(3, 70)])
+    rows.append(sale("X", 1, None, "2023-01-05", qty=4))
+    tx = make_tx(rows).unionByName(
+        make_tx([sale("Y", 1, 1, "2023-01-06", qty=9)]).withColumn("purchase_date", F.lit(None).cast("date"))
+    )
+    fr = FC.forecast_rows(tx, None, 7, 30).collect()
+    assert {r.product_id for r in fr} == {1}
+    d = FC.daily_units(tx).collect()
+    assert {r.product_id for r in d} == {1} and len(d) == 70
