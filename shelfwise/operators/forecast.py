@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.holtwinters import fit_many, run_fixed
-from shelfwise.session import ship_package
+from shelfwise.session import default_parallelism, ship_package
 
 BATCH_PRODUCTS = 512
 MIN_HISTORY_DAYS = 60
@@ -32,6 +32,7 @@ SEASON = 7
 ROWS_SCHEMA = (
     "product_id long, kind string, step int, ds date, actual double, yhat double, sigma double"
 )
+ROWS_SCHEMA_COLUMNS = [c.split()[0] for c in ROWS_SCHEMA.split(",")]
 
 
 def top_skus_by_revenue(df: DataFrame, n: int = 50) -> DataFrame:
@@ -117,7 +118,7 @@ def _batched(daily: DataFrame) -> DataFrame:
     # unequal cost (hashing few batch keys into as many partitions as cores
     # leaves some tasks with twice the average work).
     n = max(
-        4 * spark.sparkContext.defaultParallelism,
+        4 * default_parallelism(spark),
         int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
     )
     return daily.withColumn(
@@ -193,9 +194,6 @@ def _forecast_batch(horizon: int, test_days: int, min_history: int):
     return run
 
 
-ROWS_SCHEMA_COLUMNS = [c.split()[0] for c in ROWS_SCHEMA.split(",")]
-
-
 def forecast_rows(
     df: DataFrame,
     ids: DataFrame | None = None,

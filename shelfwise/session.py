@@ -46,6 +46,21 @@ def get_spark(
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None for a Spark Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions have no SparkContext
+        return None
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting one only when none is set.
 
@@ -53,16 +68,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     and is used as is. Only when it is unset — local runs and tests — a fresh
     folder under the system temp dir is created and registered.
     """
-    sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    sc = _context(spark)
+    current = spark.conf.get("spark.checkpoint.dir", None) or (
+        sc.getCheckpointDir() if sc is not None else None
+    )
     if current:
-        if not sc.getCheckpointDir():
+        if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
-        return sc.getCheckpointDir() or current
+        return (sc.getCheckpointDir() if sc is not None else None) or current
     local = tempfile.mkdtemp(prefix="shelfwise-ckpt-", dir=os.environ.get("TMPDIR"))
     spark.conf.set("spark.checkpoint.dir", local)
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+    if sc is not None:
+        sc.setCheckpointDir(local)
+        return sc.getCheckpointDir() or local
+    return local
 
 
 _SHIPPED: set[str] = set()
@@ -76,8 +95,8 @@ def ship_package(spark: SparkSession) -> None:
     passed with ``--py-files``), a zip of it is added with ``addPyFile``,
     which Spark distributes to every executor.
     """
-    sc = spark.sparkContext
-    key = sc.applicationId
+    sc = _context(spark)
+    key = sc.applicationId if sc is not None else spark.session_id
     if key in _SHIPPED:
         return
     if spark.conf.get("shelfwise.shipPackage", "true").lower() == "false":
@@ -91,5 +110,8 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(pkg.rglob("*.py")):
             z.write(f, f.relative_to(pkg.parent).as_posix())
-    sc.addPyFile(path)
+    if sc is not None:
+        sc.addPyFile(path)
+    else:
+        spark.addArtifacts(path, pyfile=True)
     _SHIPPED.add(key)
