@@ -17,9 +17,10 @@ def _brute_fitted(y, a, b, g, m=7):
     """Reference recursion, one step at a time in plain Python."""
     n = len(y)
     if n >= 2 * m:
-        lvl = sum(y[:m]) / m
-        tr = (sum(y[m:2 * m]) / m - lvl) / m
-        s = [v - lvl for v in y[:m]]
+        first = sum(y[:m]) / m
+        tr = (sum(y[m:2 * m]) / m - first) / m
+        lvl = first - tr * (m + 1) / 2
+        s = [y[i] - (first + tr * (i - (m - 1) / 2)) for i in range(m)]
     else:
         tr = y[1] - y[0]
         lvl, s, g = y[0] - tr, [0.0] * m, 0.0
@@ -62,6 +63,16 @@ def test_fixed_parameters_match_brute_force(make_tx):
         assert np.allclose(got, want, rtol=0, atol=1e-9), pid
 
 
+def test_kernel_forecasts_lines_exactly():
+    line = np.arange(20, dtype=float)
+    f = fit_many([line])
+    assert f.seasonal[0] and np.allclose(f.forecast(3)[0], [20, 21, 22], atol=1e-9)
+    wave = 10 + 0.5 * np.arange(42) + np.tile([3, -1, -2, 0, 1, -3, 2], 6)
+    g = fit_many([wave])
+    nxt = 10 + 0.5 * np.arange(42, 49) + np.array([3, -1, -2, 0, 1, -3, 2])
+    assert np.allclose(g.forecast(7)[0], nxt, atol=1e-6) and g.sigma[0] < 1e-9
+
+
 def test_kernel_trend_only_below_two_seasons():
     y13 = np.arange(13, dtype=float)
     y14 = np.arange(14, dtype=float)
