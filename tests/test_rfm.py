@@ -71,3 +71,13 @@ def test_tier_lookup_keeps_empty_tiers(spark, make_tx):
     look = R.tier_lookup(R.tier_summary(R.compute_rfm(make_tx(rows)))).collect()
     assert [r.tier for r in look] == R.TIERS
     assert sum(r.customers for r in look) == 1
+
+
+def test_approximate_cut_points(spark, rfm_small):
+    approx = R.compute_rfm(tpch.transactions(spark, SF_SMALL), approx_accuracy=100000)
+    a = {r.customer_id: r for r in approx.collect()}
+    e = {r.customer_id: r for r in rfm_small.collect()}
+    assert a.keys() == e.keys()
+    assert all(1 <= r.r_score <= 4 and r.tier in R.TIERS for r in a.values())
+    same = sum(a[k].rfm_score == e[k].rfm_score for k in e)
+    assert same >= 0.9 * len(e)  # cut points are order statistics, not interpolated
