@@ -239,7 +239,8 @@ def band_z(ci: float) -> float:
 def forecasts(rows: DataFrame, products: DataFrame | None = None, ci: float = 0.95) -> DataFrame:
     """F5/F6 forecast frame: product_id, sku, ds, yhat, yhat_lower,
     yhat_upper (band ŷ ± z·σ, flat over the horizon; each clipped at 0),
-    plus step."""
+    plus step and the unclipped residual σ (clipping narrows the band near
+    zero, so σ recovered from the band is smaller than the fitted one)."""
     z = F.lit(band_z(ci))
     out = rows.filter(F.col("kind") == "forecast").select(
         "product_id",
@@ -248,12 +249,15 @@ def forecasts(rows: DataFrame, products: DataFrame | None = None, ci: float = 0.
         F.greatest(F.col("yhat"), F.lit(0.0)).alias("yhat"),
         F.greatest(F.col("yhat") - z * F.col("sigma"), F.lit(0.0)).alias("yhat_lower"),
         F.greatest(F.col("yhat") + z * F.col("sigma"), F.lit(0.0)).alias("yhat_upper"),
+        "sigma",
     )
     if products is not None:
         out = out.join(products.select("product_id", "sku"), "product_id", "left")
     else:
         out = out.withColumn("sku", F.lit(None).cast("string"))
-    return out.select("product_id", "sku", "ds", "yhat", "yhat_lower", "yhat_upper", "step")
+    return out.select(
+        "product_id", "sku", "ds", "yhat", "yhat_lower", "yhat_upper", "step", "sigma"
+    )
 
 
 def forecast_accuracy(

@@ -38,6 +38,7 @@ def reorder_report(
     lead_time_days: int = 14,
     service_level_z: float = 1.65,
     severity_order: bool = False,
+    strict_horizon: bool = True,
 ) -> DataFrame:
     """Per forecast product, demand over the first ``lead_time_days``
     forecast days, safety stock z·σ·√L with σ = mean(upper − ŷ) / 1.96,
@@ -49,13 +50,29 @@ def reorder_report(
 
     Sorted by status (alphabetically, or red→yellow→green with
     ``severity_order``) then shortfall descending.
+
+    A forecast shorter than the lead time would sum fewer days yet still
+    scale the safety stock by √L; with ``strict_horizon`` (the default) the
+    query fails instead, through a ``raise_error`` evaluated with the rows
+    (no extra job). ``strict_horizon=False`` keeps the lenient behaviour.
     """
     window = forecast.filter(F.col("step") <= lead_time_days)
     per = window.groupBy("product_id").agg(
         F.first("sku", ignorenulls=True).alias("sku"),
         F.sum("yhat").alias("expected_demand"),
         (F.avg(F.col("yhat_upper") - F.col("yhat")) / F.lit(BAND_Z)).alias("sigma"),
+        F.count(F.lit(1)).alias("_days"),
     )
+    if strict_horizon:
+        per = per.withColumn(
+            "expected_demand",
+            F.when(
+                F.col("_days") < F.lit(lead_time_days),
+                F.raise_error(F.lit(
+                    f"forecast horizon shorter than the lead time of {lead_time_days} days"
+                )).cast("double"),
+            ).otherwise(F.col("expected_demand")),
+        )
     safety = F.lit(service_level_z) * F.col("sigma") * F.lit(math.sqrt(lead_time_days))
     rep = (
         per.withColumn("safety_stock", safety)
