@@ -17,6 +17,8 @@ Plan for ``forecast_rows``:
 
 from __future__ import annotations
 
+from datetime import date
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -126,9 +128,11 @@ def _batched(daily: DataFrame) -> DataFrame:
     ).repartition(n, "batch")
 
 
-def _dense(g: pd.DataFrame):
+def _dense(g: pd.DataFrame, end_day: int | None = None):
     """Split a batch frame into dense per-product series:
-    [(product_id, first day as datetime64[D], units per day)]."""
+    [(product_id, first day as datetime64[D], units per day)]. With
+    ``end_day`` (days since the epoch) a series ending earlier is extended
+    with zero days up to it."""
     pid = g["product_id"].to_numpy(dtype=np.int64)
     day = pd.to_datetime(g["ds"]).to_numpy().astype("datetime64[D]").astype(np.int64)
     y = g["y"].to_numpy(dtype=float)
@@ -138,7 +142,8 @@ def _dense(g: pd.DataFrame):
     out = []
     for a, b in zip(cut[:-1], cut[1:]):
         d0 = day[a]
-        dense = np.zeros(int(day[b - 1] - d0) + 1)
+        last = day[b - 1] if end_day is None else max(day[b - 1], end_day)
+        dense = np.zeros(int(last - d0) + 1)
         np.add.at(dense, day[a:b] - d0, y[a:b])
         out.append((int(pid[a]), np.datetime64(int(d0), "D"), dense))
     return out
@@ -150,9 +155,11 @@ def backtest_days(n: int, test_days: int) -> int:
     return max(7, n // 5) if n <= test_days + 30 else test_days
 
 
-def _forecast_batch(horizon: int, test_days: int, min_history: int):
+def _forecast_batch(
+    horizon: int, test_days: int, min_history: int, season: int, end_day: int | None
+):
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        series = [s for s in _dense(g) if len(s[2]) >= min_history]
+        series = [s for s in _dense(g, end_day) if len(s[2]) >= min_history]
         if not series:
             return pd.DataFrame({c: [] for c in ROWS_SCHEMA_COLUMNS})
         pids = np.array([p for p, _, _ in series], dtype=np.int64)
@@ -163,8 +170,8 @@ def _forecast_batch(horizon: int, test_days: int, min_history: int):
         full = [y for _, _, y in series]
         # The backtest fit searches the grid; the fit on the whole series
         # (train + test days) starts from its parameters.
-        tfit = fit_many(train, SEASON)
-        ffit = fit_many(full, SEASON, start=(tfit.alpha, tfit.beta, tfit.gamma), refine_rounds=0)
+        tfit = fit_many(train, season)
+        ffit = fit_many(full, season, start=(tfit.alpha, tfit.beta, tfit.gamma), refine_rounds=0)
         bt = tfit.forecast(int(tds.max()))
         fc = ffit.forecast(horizon)
         k = len(series)
@@ -200,19 +207,27 @@ def forecast_rows(
     horizon_days: int = 30,
     test_days: int = 30,
     min_history_days: int = MIN_HISTORY_DAYS,
+    seasonal_periods: int = SEASON,
+    align_end: date | None = None,
 ) -> DataFrame:
     """F3/F5/F6 core: backtest and forecast rows for every product (or the
     given ids) with at least ``min_history_days`` days of history.
 
     Columns: product_id, kind ('backtest' | 'forecast'), step (1-based), ds,
     actual (backtest only), yhat (unclipped), sigma (forecast only).
+
+    Each series runs from the product's first to its last sale, so forecast
+    dates differ by product; ``align_end`` extends every series with zero
+    days up to a common date, so all forecasts start the day after it.
     """
     if test_days < 1:
         raise ValueError("test_days must be >= 1")
     if horizon_days < 1:
         raise ValueError("horizon_days must be >= 1")
+    end_day = None if align_end is None else (align_end - date(1970, 1, 1)).days
     return _batched(daily_sales(df, ids)).groupBy("batch").applyInPandas(
-        _forecast_batch(horizon_days, test_days, min_history_days), ROWS_SCHEMA
+        _forecast_batch(horizon_days, test_days, min_history_days, seasonal_periods, end_day),
+        ROWS_SCHEMA,
     )
 
 

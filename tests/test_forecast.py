@@ -206,3 +206,17 @@ def test_rows_without_product_or_date_are_ignored(spark, make_tx):
     assert {r.product_id for r in fr} == {1}
     d = FC.daily_units(tx).collect()
     assert {r.product_id for r in d} == {1} and len(d) == 70
+
+
+def test_align_end_and_season_length(make_tx):
+    rng = np.random.default_rng(9)
+    rows = _daily_rows(1, "2023-01-01", [int(v) + 1 for v in rng.poisson(3, 80)])
+    rows += _daily_rows(2, "2023-01-10", [int(v) + 1 for v in rng.poisson(3, 65)])
+    tx = make_tx(rows)
+    end = date(2023, 3, 31)
+    fr = FC.forecast_rows(tx, None, 5, 30, align_end=end).filter("kind = 'forecast'").collect()
+    firsts = {r.product_id: r.ds for r in fr if r.step == 1}
+    assert firsts == {1: end + timedelta(days=1), 2: end + timedelta(days=1)}
+    plain = FC.forecast_rows(tx, None, 5, 30, seasonal_periods=5).filter("kind = 'forecast'")
+    firsts = {r.product_id: r.ds for r in plain.collect() if r.step == 1}
+    assert firsts == {1: date(2023, 3, 22), 2: date(2023, 3, 16)}
