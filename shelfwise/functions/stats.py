@@ -81,8 +81,13 @@ def order_statistics(
         entries = []
         for i, t in active:
             x = f"CAST(`{t.column}` AS DOUBLE)"
-            lo, hi, width = _dlit(t.lo), _dlit(t.hi), _dlit(t.hi - t.lo)
-            b = f"least(CAST(floor(({x} - {lo}) / {width} * {bins}) AS INT), {bins - 1})"
+            lo, hi = _dlit(t.lo), _dlit(t.hi)
+            if math.isfinite(t.hi - t.lo):
+                b = (f"least(CAST(floor(({x} - {lo}) / {_dlit(t.hi - t.lo)} * {bins}) AS INT), "
+                     f"{bins - 1})")
+            else:  # a range wider than the largest double: bin on halves
+                b = (f"least(CAST(floor(({x} / 2 - {_dlit(t.lo / 2)}) / "
+                     f"{_dlit(t.hi / 2 - t.lo / 2)} * {bins}) AS INT), {bins - 1})")
             entries.append(
                 f"CASE WHEN {x} >= {lo} AND {x} <= {hi} "
                 f"THEN named_struct('t', {i}, 'b', {b}, 'x', {x}) END"
@@ -109,6 +114,8 @@ def order_statistics(
                 seen += r["n"]
             else:  # pragma: no cover - counts always cover the rank
                 raise RuntimeError("order statistic lost its bin")
+    if any(t.value is None for t in targets):  # pragma: no cover - defensive
+        raise RuntimeError("order statistics did not converge")
     # Targets were appended column by column, ranks ascending.
     out: dict[str, dict[int, float]] = {}
     idx = 0

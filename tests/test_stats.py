@@ -57,3 +57,10 @@ def test_quartile_score_ties_share_a_bin(spark):
     assert q == [3.0, 3.0, 3.0]
     scores = dict(df.select("id", quartile_score("f", q).alias("s")).collect())
     assert scores == {1: 1, 2: 1, 3: 1, 4: 1, 5: 4}
+
+
+def test_extreme_range(spark):
+    vals = [-1.5e308, -1.0, 0.0, 2.0, 1.7e308]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = order_statistics(df, {"x": [0, 1, 2, 3, 4]})["x"]
+    assert [got[k] for k in range(5)] == vals
