@@ -231,6 +231,20 @@ def forecast_rows(
     )
 
 
+def forecast_many(
+    df: DataFrame,
+    ids: DataFrame | None = None,
+    horizon_days: int = 30,
+    products: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(forecast frame, backtest frame) for every product in ``ids``
+    (all products when None) with enough history, default backtest window
+    and 95 % band. The fitted rows are persisted so the two frames share one
+    run of the grouped UDF."""
+    rows = forecast_rows(df, ids, horizon_days, 30).persist()
+    return forecasts(rows, products, 0.95), backtest(rows, products)
+
+
 def forecast_product(
     df: DataFrame,
     product_id: int,
@@ -354,7 +368,7 @@ def fixed_parameter_fit(
 
 __all__ = [
     "top_skus_by_revenue", "top_skus_with_labels", "daily_units", "forecast_rows",
-    "forecast_product",
+    "forecast_many", "forecast_product",
     "forecasts", "backtest", "forecast_accuracy", "history_and_forecast",
     "fixed_parameter_fit",
 ]

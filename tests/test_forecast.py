@@ -220,3 +220,9 @@ def test_align_end_and_season_length(make_tx):
     plain = FC.forecast_rows(tx, None, 5, 30, seasonal_periods=5).filter("kind = 'forecast'")
     firsts = {r.product_id: r.ds for r in plain.collect() if r.step == 1}
     assert firsts == {1: date(2023, 3, 22), 2: date(2023, 3, 16)}
+
+
+def test_forecast_many_wrapper(spark):
+    tx = tpch.transactions(spark, SF_SMALL)
+    fc, bt = FC.forecast_many(tx, FC.top_skus_by_revenue(tx, 3), 14, tpch.products(spark, SF_SMALL))
+    assert fc.count() == 14 * bt.count() and bt.count() >= 1
