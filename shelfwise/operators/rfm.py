@@ -166,12 +166,26 @@ def at_risk_revenue(at_risk: DataFrame) -> DataFrame:
     )
 
 
+# Multiplier and modulus of the sample's multiplicative hash
+# (Knuth's 2^32 / golden ratio).
+SAMPLE_MULT = 2654435761
+SAMPLE_MOD = 4294967296
+
+
+def sample_key(col: str, seed: int):
+    """((id + seed) · 2654435761) mod 2^32, in exact DECIMAL arithmetic, so
+    any SQL engine computes the same key."""
+    x = (F.col(col).cast("decimal(38,0)") + F.lit(seed)) * F.lit(SAMPLE_MULT)
+    return F.pmod(x, F.lit(SAMPLE_MOD)).cast("long")
+
+
 def rfm_sample(rfm: DataFrame, n: int = 5000, seed: int = 42) -> DataFrame:
     """A4: exactly min(n, rows) customers, the same ones on every run
-    whatever the partitioning: the n smallest of a seeded hash (ties by id).
-    Plans as a per-partition top-n, so at most n rows per partition move."""
+    whatever the partitioning: the n smallest of a seeded hash of the id
+    (ties by id). Plans as a per-partition top-n, so at most n rows per
+    partition move."""
     return (
-        rfm.withColumn("_h", F.xxhash64("customer_id", F.lit(seed)))
+        rfm.withColumn("_h", sample_key("customer_id", seed))
         .orderBy("_h", "customer_id")
         .limit(n)
         .drop("_h")

@@ -239,7 +239,15 @@ def q_rfm_tier_lookup(spark, sf_dir):
     return R.tier_lookup(R.tier_summary(_rfm(spark, sf_dir)))
 
 
-@query("rfm_sample")
+@query(
+    "rfm_sample",
+    with_ctes(TX, RFM)
+    + """SELECT * FROM rfm
+ORDER BY CAST(((((CAST(customer_id AS DECIMAL(38,0)) + 42) * 2654435761) % 4294967296)
+               + 4294967296) % 4294967296 AS BIGINT),
+         customer_id
+LIMIT 5000""",
+)
 def q_rfm_sample(spark, sf_dir):
     return R.rfm_sample(_rfm(spark, sf_dir), 5000, 42)
 
