@@ -28,8 +28,18 @@ from shelfwise.functions.holtwinters import fit_many, run_fixed
 from shelfwise.session import default_parallelism, ship_package
 
 BATCH_PRODUCTS = 512
+
+# Minimum days of history for a forecast, season length in
+# days, band z for a confidence level of at least 0.95 and below it, and the
+# backtest window rule — a series of at most test_days + 30 days backtests on
+# max(7, days // 5) days instead.
 MIN_HISTORY_DAYS = 60
 SEASON = 7
+Z_HIGH = 1.96
+Z_LOW = 1.28
+BACKTEST_SLACK_DAYS = 30
+BACKTEST_MIN_DAYS = 7
+BACKTEST_DIVISOR = 5
 
 ROWS_SCHEMA = (
     "product_id long, kind string, step int, ds date, actual double, yhat double, sigma double"
@@ -152,7 +162,9 @@ def _dense(g: pd.DataFrame, end_day: int | None = None):
 def backtest_days(n: int, test_days: int) -> int:
     """The backtest window: ``test_days``, or max(7, n // 5) for series with
     at most test_days + 30 points."""
-    return max(7, n // 5) if n <= test_days + 30 else test_days
+    if n <= test_days + BACKTEST_SLACK_DAYS:
+        return max(BACKTEST_MIN_DAYS, n // BACKTEST_DIVISOR)
+    return test_days
 
 
 def _forecast_batch(
@@ -262,7 +274,7 @@ def forecast_product(
 
 
 def band_z(ci: float) -> float:
-    return 1.96 if ci >= 0.95 else 1.28
+    return Z_HIGH if ci >= 0.95 else Z_LOW
 
 
 def forecasts(rows: DataFrame, products: DataFrame | None = None, ci: float = 0.95) -> DataFrame:
