@@ -8,7 +8,8 @@ histogram narrowing:
 1. one aggregate gives n, min and max of each column;
 2. each round splits the current value range of every target into ``bins``
    equal-width bins and counts rows, min and max per bin — one distributed
-   group-by whose result has at most ``targets × bins`` rows;
+   group-by whose result has at most ``ranges × bins`` rows (targets with the
+   same column and range share a histogram);
 3. the bin holding the wanted rank becomes the next range (its observed
    min/max), until the range holds a single distinct value.
 
@@ -75,22 +76,28 @@ def order_statistics(
         active = [(i, t) for i, t in enumerate(targets) if t.value is None]
         if not active:
             break
-        # One SQL expression for all targets (a single parse on the JVM side
-        # instead of hundreds of Column calls): for each target whose range
-        # holds x, a struct (target, bin, x).
+        # Targets with the same column and range (all of a column's targets
+        # in the first round; later, any that fell into the same bin) share
+        # one histogram, so a row is emitted once per distinct range.
+        ranges: dict[tuple[str, float, float], int] = {}
+        for _, t in active:
+            ranges.setdefault((t.column, t.lo, t.hi), len(ranges))
+        # One SQL expression for all ranges (a single parse on the JVM side
+        # instead of hundreds of Column calls): for each range holding x, a
+        # struct (range, bin, x).
         entries = []
-        for i, t in active:
-            x = f"CAST(`{t.column}` AS DOUBLE)"
-            lo, hi = _dlit(t.lo), _dlit(t.hi)
-            if math.isfinite(t.hi - t.lo):
-                b = (f"least(CAST(floor(({x} - {lo}) / {_dlit(t.hi - t.lo)} * {bins}) AS INT), "
+        for (col, rlo, rhi), j in ranges.items():
+            x = f"CAST(`{col}` AS DOUBLE)"
+            lo, hi = _dlit(rlo), _dlit(rhi)
+            if math.isfinite(rhi - rlo):
+                b = (f"least(CAST(floor(({x} - {lo}) / {_dlit(rhi - rlo)} * {bins}) AS INT), "
                      f"{bins - 1})")
             else:  # a range wider than the largest double: bin on halves
-                b = (f"least(CAST(floor(({x} / 2 - {_dlit(t.lo / 2)}) / "
-                     f"{_dlit(t.hi / 2 - t.lo / 2)} * {bins}) AS INT), {bins - 1})")
+                b = (f"least(CAST(floor(({x} / 2 - {_dlit(rlo / 2)}) / "
+                     f"{_dlit(rhi / 2 - rlo / 2)} * {bins}) AS INT), {bins - 1})")
             entries.append(
                 f"CASE WHEN {x} >= {lo} AND {x} <= {hi} "
-                f"THEN named_struct('t', {i}, 'b', {b}, 'x', {x}) END"
+                f"THEN named_struct('t', {j}, 'b', {b}, 'x', {x}) END"
             )
         arr = F.expr(f"filter(array({', '.join(entries)}), s -> s IS NOT NULL)")
         hist = (
@@ -99,12 +106,14 @@ def order_statistics(
             .agg(F.count(F.lit(1)).alias("n"), F.min("s.x").alias("lo"), F.max("s.x").alias("hi"))
             .collect()
         )
-        per_target: dict[int, list] = {}
+        per_range: dict[int, list] = {}
         for r in hist:
-            per_target.setdefault(r["t"], []).append(r)
-        for i, t in active:
+            per_range.setdefault(r["t"], []).append(r)
+        for j in per_range:
+            per_range[j].sort(key=lambda r: r["b"])
+        for _, t in active:
             seen = 0
-            for r in sorted(per_target.get(i, []), key=lambda r: r["b"]):
+            for r in per_range.get(ranges[(t.column, t.lo, t.hi)], []):
                 if seen + r["n"] > t.rank:
                     t.rank -= seen
                     t.lo, t.hi = r["lo"], r["hi"]
