@@ -41,3 +41,17 @@ def test_top_k_is_take_ordered(spark):
     t = tpch.retail_tables(spark, SF_SMALL)
     q = D.top_products(enrich(t.transactions, products=t.products), 20)
     assert P.has_operator(q, "TakeOrderedAndProject")
+
+
+def test_no_cross_joins_or_row_udfs_in_any_query(spark):
+    """Every registered query: no nested-loop or Cartesian join, no
+    row-at-a-time Python UDF; the only Python stage is the grouped pandas
+    UDF of the forecasts."""
+    import __spark_entry__ as E
+
+    for name, fn in E.queries().items():
+        plan = P.formatted_plan(fn(spark, SF_SMALL))
+        for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython"):
+            assert bad not in plan, (name, bad)
+        if "FlatMapGroupsInPandas" in plan or "ArrowEvalPython" in plan:
+            assert "ArrowEvalPython" not in plan, name
