@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfwise.llm.common import table
 from shelfwise.llm.minhash_dedup import near_duplicates
 from shelfwise.llm.packing import pack_documents
+from shelfwise.llm.quality_rules import quality_report
 from shelfwise.llm.token_counts import count_tokens
 
 
@@ -19,6 +20,14 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "rule",
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -29,6 +38,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
