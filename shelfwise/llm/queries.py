@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwise.llm.common import table
 from shelfwise.llm.minhash_dedup import near_duplicates
 from shelfwise.llm.packing import pack_documents
+from shelfwise.llm.pii import KINDS, personal_data, span_text
 from shelfwise.llm.quality_rules import quality_report
 from shelfwise.llm.token_counts import count_tokens
 
@@ -28,6 +30,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = {k: k for k in KINDS}
+    return personal_data(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
+        F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"),
+        span_text(base | {"id": "added"}).alias("spans"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -39,6 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_pii": op6_pii,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
