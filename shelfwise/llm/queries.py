@@ -11,7 +11,20 @@ from shelfwise.llm.minhash_dedup import near_duplicates
 from shelfwise.llm.packing import pack_documents
 from shelfwise.llm.pii import KINDS, personal_data, span_text
 from shelfwise.llm.quality_rules import quality_report
+from shelfwise.llm.sharding import assign_shards, grown, tree
 from shelfwise.llm.token_counts import count_tokens
+from shelfwise.llm.url_graph import ALLOW, BLOCK, judge_urls
+from shelfwise.llm.url_graph import oracle_sql as url_sql
+
+# The rules of the url contract.
+URL_RULES = [
+    (ALLOW, "com/"),
+    (BLOCK, "example.com/en/"),
+    (ALLOW, "www.example.com/en/"),
+    (BLOCK, "net/es/"),
+    (BLOCK, "net/fr/"),
+]
+SHARDS = 40
 
 
 def tokenizer_path() -> str:
@@ -22,6 +35,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("trust", "distrust")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select(
@@ -40,6 +57,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = tree(SHARDS)
+    return assign_shards(
+        table(spark, sf_dir, "documents"), root, grown(root, SHARDS)
+    ).withColumn("law", F.lit("key"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -50,10 +74,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op4_url_graph": op4_url_graph,
     "op5_quality_rules": op5_quality_rules,
     "op6_pii": op6_pii,
+    "op8_hash_tree": op8_hash_tree,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op4_url_graph": url_sql(URL_RULES),
+}
