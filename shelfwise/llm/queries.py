@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import table
+from shelfwise.llm.common import held_out, table
+from shelfwise.llm.compression_quality import learn, score_quality
+from shelfwise.llm.language_id import identify, learn_profiles
 from shelfwise.llm.minhash_dedup import near_duplicates
 from shelfwise.llm.packing import pack_documents
 from shelfwise.llm.pii import KINDS, personal_data, span_text
@@ -35,6 +37,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn_profiles(docs))
+    return found.withColumn("held_out", held_out(F.col("doc_id")))
+
+
 def op4_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("trust", "distrust")
 
@@ -57,6 +65,17 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = score_quality(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return found.withColumns(
+        {
+            "held_out": held_out(F.col("doc_id")),
+            "predicted": F.when(F.col("score") >= 0.5, 1).otherwise(0),
+        }
+    )
+
+
 def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = tree(SHARDS)
     return assign_shards(
@@ -74,9 +93,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_language_id": op2_language_id,
     "op4_url_graph": op4_url_graph,
     "op5_quality_rules": op5_quality_rules,
     "op6_pii": op6_pii,
+    "op7_compression_quality": op7_compression_quality,
     "op8_hash_tree": op8_hash_tree,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
