@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.common import held_out, table
 from shelfwise.llm.compression_quality import learn, score_quality
+from shelfwise.llm.decontaminate import contamination_report
 from shelfwise.llm.language_id import identify, learn_profiles
 from shelfwise.llm.minhash_dedup import near_duplicates
 from shelfwise.llm.packing import pack_documents
@@ -43,6 +44,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out(F.col("doc_id")))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("trust", "distrust")
 
@@ -94,6 +99,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_language_id": op2_language_id,
+    "op3_decontamination": op3_decontamination,
     "op4_url_graph": op4_url_graph,
     "op5_quality_rules": op5_quality_rules,
     "op6_pii": op6_pii,
