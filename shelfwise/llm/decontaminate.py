@@ -183,8 +183,8 @@ def contamination(
 
 def _keyed(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
     found = hits.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "items")
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return found, F.col(id_col).eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash"))
+    text_hash = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return found, docs[id_col].eqNullSafe(found["_id"]) & (text_hash == found["_hash"])
 
 
 def contamination_report(
@@ -194,10 +194,10 @@ def contamination_report(
     hits = contamination(docs, benchmark, id_col=id_col, text_col=text_col)
     rows = docs.select(id_col, text_col)
     found, same = _keyed(rows, hits, id_col, text_col)
-    items = F.coalesce("items", F.array().cast(hits.schema["items"].dataType))
+    items = F.coalesce(found["items"], F.array().cast(hits.schema["items"].dataType))
     return rows.join(found, same, "left").select(
         id_col,
-        F.col("items").isNotNull().alias("contaminated"),
+        found["items"].isNotNull().alias("contaminated"),
         F.size(items).cast("long").alias("n_items"),
         items.alias("items"),
     )

@@ -261,3 +261,16 @@ def near_duplicates(
             F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
         )
     )
+
+
+def keep_one_of_each(
+    docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **how
+) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, all columns as they are.
+
+    The documents that go are listed in the checkpoint folder and taken out by
+    an anti-join on the id; rows with a null id stay.
+    """
+    found = near_duplicates(docs, percent, id_col=id_col, text_col=text_col, **how)
+    gone = stage(found.filter("not kept").select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -13,8 +13,8 @@ rejected; labels that are null, repeated (the lowest counts) or of unknown
 documents are fine; without labels, or without one class, the list is empty
 and the base rule alone decides; rows are judged one by one, so repeated rows
 and null ids are kept or rejected like any other; an empty table gives an
-empty result. ``judged`` keeps all columns of its input under their names and
-adds one boolean; a clashing name is an error of the caller to choose.
+empty result. ``kept_documents`` returns the input's columns under their names,
+whatever these are; the report reads only the id and the text.
 """
 
 from __future__ import annotations
@@ -313,12 +313,9 @@ def quality_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -
     return judge(stats, learn_rules(stats, labels, id_col=id_col))
 
 
-def judged(docs: DataFrame, rules: DecisionList, verdict_col: str = "kept") -> DataFrame:
-    """All columns of ``docs`` and the verdict, without a shuffle."""
-    columns = [F.col(f"`{c}`").alias(f"_d{i}") for i, c in enumerate(docs.columns)]
-    inner = docs.select(*columns)
-    text = f"_d{docs.columns.index('text')}"
-    found = judge(with_statistics(inner, inner.columns, text), rules)
-    return found.select(
-        *(F.col(f"_d{i}").alias(c) for i, c in enumerate(docs.columns)), F.col("kept").alias(verdict_col)
-    )
+def kept_documents(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rejected ones, all columns as they are, without a shuffle."""
+    names = docs.columns
+    inner = docs.select(*(F.col(f"`{c}`").alias(f"_d{i}") for i, c in enumerate(names)))
+    found = judge(with_statistics(inner, inner.columns, f"_d{names.index(text_col)}"), rules)
+    return found.filter("kept").select(*(F.col(f"_d{i}").alias(c) for i, c in enumerate(names)))
