@@ -9,14 +9,18 @@ come from these two permutations, so a shingle's values are one contiguous
 slice of a table.
 
 Documents with equal sets form a class with its least id as representative.
-Representatives that share a band are candidates. First each is compared with
-a few hub members of its bucket; the links found are contracted to components.
-Then every pair of a bucket that is still in different components and was not
-compared is compared too, so no candidate pair between components goes
-unchecked, while a large group of copies costs a few comparisons a member
-instead of all its pairs. A link is confirmed on the full sets of 64-bit
-shingle hashes. A pair at the threshold misses all 40 bands of 5 rows with
-probability 7e-11 at 0.85 and 1e-7 at 0.8.
+Representatives that share a band are candidates, and no link among them may
+be lost, yet a large group of copies must not cost all its pairs. So first
+each is compared with one hub: of the members it shares bands with, the one
+that shares most bands with others, which is where a group's original lies.
+Links found are contracted to components. Buckets that still hold several
+components are then searched exactly, by prefix filtering: a set's shingles are
+ordered from rare to common, two sets that are alike must meet within their
+first few, and their places there bound what they can share. Copies that were
+edited too much to be alike differ in that prefix and never meet; copies that
+are alike to their hub are one component already. Every link is confirmed on
+the full sets of 64-bit shingle hashes. A pair at the threshold misses all 40
+bands of 5 rows with probability 7e-11 at 0.85 and 1e-7 at 0.8.
 
 Edge cases: null and wordless texts have an empty set and link with nothing;
 rows that share a doc_id are one document; rows with a null doc_id are
@@ -146,39 +150,99 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         )
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of the pairs (u, v, sizes); texts only of documents in a pair."""
-    least, most = F.least("u_size", "v_size"), F.greatest("u_size", "v_size")
-    pairs = stage(pairs.filter(100 * least >= percent * most).select("u", "v"), "pairs")
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("needed")).distinct()
-    sets = stage(
-        texts.join(needed, F.col("id") == F.col("needed"), "left_semi").mapInArrow(
-            _sets, "id long, shingles binary"
-        ),
-        "sets",
-    )
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of the pairs (u, v)."""
     return stage(
-        pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a_set")), "u")
-        .join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b_set")), "v")
+        pairs.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("a_set")), "u")
+        .join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("b_set")), "v")
         .mapInArrow(lambda it: _confirm(it, percent), "u long, v long"),
         "links",
     )
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle of each set."""
+    for batch in batches:
+        for rep, raw in zip(batch.column("rep"), batch.column("shingles"), strict=True):
+            shingles = np.frombuffer(raw.as_py(), np.int64)
+            reps = np.full(len(shingles), rep.as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(shingles)], ["rep", "shingle"])
+
+
+def _hub_pairs(shared: DataFrame) -> DataFrame:
+    """Each representative with the most central member of its buckets: (u, v)."""
+    central = shared.groupBy("rep").agg(F.sum("n").alias("central"))
+    ranked = stage(shared.join(central, "rep"), "ranked")
+    hub = F.struct("central", (-F.col("rep")).alias("order"), F.col("rep").alias("id"))
+    hubs = ranked.groupBy("key").agg(F.max(hub).alias("hub"))
+    best = (
+        ranked.join(hubs, "key")
+        .filter(F.col("rep") != F.col("hub.id"))
+        .groupBy("rep")
+        .agg(F.max("hub").alias("hub"))
+    )
+    return best.select(F.least("rep", "hub.id").alias("u"), F.greatest("rep", "hub.id").alias("v")).distinct()
+
+
+def _prefix_pairs(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of sets in different components that may be alike; exact.
+
+    ``component`` lists the sets to compare, ``(rep, component)``.
+    """
+    own = stage(sets.join(component, "rep"), "apart")
+    tokens = own.mapInArrow(_tokens, "rep long, shingle long")
+    # A shingle of one set only leads nowhere; it just takes its place in front.
+    common = tokens.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1")
+    shared = (
+        tokens.join(common, "shingle")
+        .groupBy("rep")
+        .agg(F.array_sort(F.collect_list(F.struct("sets", "shingle"))).alias("ordered"))
+    )
+    sized = shared.join(
+        own.select(
+            F.col("rep").alias("r"),
+            "component",
+            (F.octet_length("shingles") / 8).cast("int").alias("size"),
+        ),
+        F.col("rep") == F.col("r"),
+    )
+    alone = F.col("size") - F.size("ordered")
+    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int") + 1
+    front = stage(
+        sized.filter(prefix > alone).select(
+            "rep",
+            "component",
+            "size",
+            alone.alias("alone"),
+            F.posexplode(F.slice("ordered", F.lit(1), prefix - alone)).alias("at", "token"),
+        ).select(
+            "rep", "component", "size", (F.col("alone") + F.col("at")).alias("at"), "token.shingle"
+        ),
+        "prefixes",
+    )
+    left = front.toDF("u", "cu", "su", "iu", "shingle")
+    right = front.toDF("v", "cv", "sv", "iv", "shingle")
+    most = F.least(F.col("su") - F.col("iu"), F.col("sv") - F.col("iv"))
+    may_be_alike = (100 + percent) * most >= percent * (F.col("su") + F.col("sv"))
+    return (
+        left.join(right, "shingle")
+        .filter((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & may_be_alike)
+        .select("u", "v")
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     percent: int = 80,
     bands: int = 40,
     rows: int = 5,
-    hubs: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` of every document.
 
-    ``percent`` is the Jaccard threshold in percent. ``hubs`` is how many
-    members of a bucket (by band number) its others are compared with before
-    the pairs that are left; it changes the work, not the result.
+    ``percent`` is the Jaccard threshold in percent.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -197,52 +261,32 @@ def near_duplicates(
         ),
         "classes",
     )
-    members = classes.select("rep", "size", F.posexplode("keys").alias("band", "key"))
-    draw = F.xxhash64("rep", F.col("band") % hubs)
-    hub = F.min(F.struct(draw.alias("draw"), "rep", "size")).alias("hub")
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), hub).filter("n > 1")
-    shared = stage(
-        members.join(buckets, "key").select("key", "n", "rep", "size", "hub.rep", "hub.size").toDF(
-            "key", "n", "rep", "size", "hub", "hub_size"
-        ),
-        "buckets",
-    )
-    spokes = shared.filter("rep != hub").select(
-        F.least("rep", "hub").alias("u"),
-        F.greatest("rep", "hub").alias("v"),
-        F.when(F.col("rep") < F.col("hub"), F.col("size")).otherwise(F.col("hub_size")).alias("u_size"),
-        F.when(F.col("rep") < F.col("hub"), F.col("hub_size")).otherwise(F.col("size")).alias("v_size"),
+    members = classes.select("rep", F.explode("keys").alias("key"))
+    buckets = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stage(members.join(buckets, "key"), "buckets")
+
+    # The sets of all candidates, made once. Hashing the few ids spares sorting
+    # the texts.
+    needed = shared.select(F.col("rep").alias("needed")).distinct().hint("shuffle_hash")
+    sets = stage(
+        texts.join(needed, F.col("id") == F.col("needed"), "left_semi")
+        .mapInArrow(_sets, "id long, shingles binary")
+        .withColumnRenamed("id", "rep"),
+        "sets",
     )
-    compared = stage(spokes.distinct(), "compared")
-    links = _confirmed(compared, texts, percent)
-    groups = components(links)
-
-    # What a bucket of three or more still holds in different components.
-    large = (
-        shared.filter("n > 2")
-        .join(groups, F.col("rep") == F.col("node"), "left")
-        .select("key", "rep", "size", F.coalesce("component", "rep").alias("component"))
+    groups = components(_confirmed(_hub_pairs(shared), sets, percent))
+
+    placed = shared.join(groups, F.col("rep") == F.col("node"), "left").select(
+        "key", "rep", F.coalesce("component", "rep").alias("component")
     )
     mixed = (
-        large.groupBy("key")
+        placed.groupBy("key")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .filter("low != high")
         .select("key")
     )
-    apart = stage(large.join(mixed, "key"), "apart")
-    left = apart.select("key", F.col("rep").alias("u"), F.col("size").alias("u_size"), F.col("component").alias("cu"))
-    right = apart.select("key", F.col("rep").alias("v"), F.col("size").alias("v_size"), F.col("component").alias("cv"))
-    alike = (100 * F.least("u_size", "v_size") >= percent * F.greatest("u_size", "v_size")) & (
-        F.col("cu") != F.col("cv")
-    )
-    rest = (
-        left.join(right, "key")
-        .filter((F.col("u") < F.col("v")) & alike)
-        .select("u", "v", "u_size", "v_size")
-        .distinct()
-        .join(compared.select("u", "v"), ["u", "v"], "left_anti")
-    )
-    more = _confirmed(rest, texts, percent)
+    apart = placed.join(mixed, "key", "left_semi").select("rep", "component").distinct()
+    more = _confirmed(_prefix_pairs(sets, apart, percent), sets, percent)
     if not more.isEmpty():
         spans = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
         groups = components(spans.union(more))

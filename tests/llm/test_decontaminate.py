@@ -1,0 +1,77 @@
+"""Decontamination against brute force, re-asked questions, awkward rows."""
+
+from __future__ import annotations
+
+import re
+from collections import defaultdict
+
+import pytest
+
+from shelfwise.llm.decontaminate import WINDOW, clean_documents, contamination_report
+
+ITEM = "Alice bought 3 apples at the market and Alice then sold 3 of the apples to Bob for 12 km that day."
+
+
+@pytest.fixture
+def items(spark):
+    return spark.createDataFrame(
+        [(1, ITEM), (1, ITEM), (2, "a very short item"), (3, None), (4, ""), (None, "not used at all here")],
+        "item_id long, text string",
+    )
+
+
+def brute_force(docs, items):
+    def tokens(s):
+        return re.sub(r"[\W_]+", " ", (s or "").lower()).split()
+
+    where, size = defaultdict(list), {}
+    for i, s in items:
+        w = tokens(s)
+        size[i] = len(w) - WINDOW + 1
+        for j in range(size[i]):
+            where[tuple(w[j : j + WINDOW])].append((i, j))
+    out = {}
+    for d, s in docs:
+        w, met = tokens(s), defaultdict(set)
+        for j in range(len(w) - WINDOW + 1):
+            for i, p in where.get(tuple(w[j : j + WINDOW]), ()):
+                met[i].add(p)
+        out[d] = sorted(i for i, p in met.items() if 2 * len(p) >= size[i] or len(p) >= 6)
+    return out
+
+
+def test_equals_brute_force_on_the_test_table(spark, make_docs, given):
+    docs = [(r[0], r[1]) for r in given["documents"]]
+    bench = spark.createDataFrame(given["benchmark"], "item_id long, text string")
+    got = contamination_report(make_docs([t for _, t in docs], [i for i, _ in docs]), bench).collect()
+    want = brute_force(docs, given["benchmark"])
+    assert any(want.values())
+    assert {r.doc_id: r["items"] for r in got} == want
+    assert all(r.contaminated == bool(want[r.doc_id]) and r.n_items == len(want[r.doc_id]) for r in got)
+
+
+def test_other_values_are_caught_and_must_be_consistent(make_docs, items):
+    asked = ITEM.replace("Alice", "Carol").replace("3", "71").replace("Bob", "Dave").replace("km", "miles")
+    mixed = asked.replace("71 of", "9 of")  # one number became two
+    merged = ITEM.replace("Bob", "Alice")  # two names became one
+    texts = ["intro. " + asked + " more", mixed, merged, ITEM.upper().lower(), "market day " * 30]
+    got = {r.doc_id: r.contaminated for r in contamination_report(make_docs(texts), items).collect()}
+    assert got == {0: True, 1: False, 2: False, 3: False, 4: False}
+
+
+def test_literal_and_short_items(make_docs, items):
+    texts = [f"x y z. {ITEM}", "well, A VERY short: item!", "a very short", ITEM[: len(ITEM) // 3]]
+    got = {r.doc_id: r["items"] for r in contamination_report(make_docs(texts), items).collect()}
+    assert got == {0: [1], 1: [2], 2: [], 3: []}
+
+
+def test_awkward_rows(awkward, items, make_docs, spark):
+    got = contamination_report(awkward, items).collect()
+    assert len(got) == 8 and not any(r.contaminated for r in got)
+    kept = clean_documents(awkward, items)
+    assert kept.columns == awkward.columns and kept.count() == 8
+    some = make_docs([ITEM, ITEM, "fine", None], [1, None, 2, None], clash=True)
+    assert {(r.doc_id, r.text) for r in clean_documents(some, items).collect()} == {(2, "fine"), (None, None)}
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert clean_documents(some, none).count() == 4
+    assert contamination_report(make_docs([]), items).count() == 0
