@@ -30,11 +30,6 @@ def money_sum(col: str | Column) -> Column:
     return F.coalesce(F.sum(_c(col)), F.lit(0))
 
 
-def clip_at_zero(col: str | Column) -> Column:
-    """max(x, 0)."""
-    return F.greatest(_c(col), F.lit(0.0))
-
-
 def padded_id(prefix: str, n: str | Column, width: int) -> Column:
     """``prefix`` + zero-padded number; never truncates (``lpad`` alone
     would cut a longer number). Numbers in [0, 10^width) take the cheap

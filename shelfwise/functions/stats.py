@@ -228,9 +228,3 @@ def quartile_score(col: str | Column, breaks: list[float | None]) -> Column:
     for b in breaks:
         score = score + F.when(x > F.lit(float(b)), 1).otherwise(0)
     return F.when(x.isNull(), F.lit(None)).otherwise(score).cast("int")
-
-
-def exact_money(col: str | Column) -> Column:
-    """Money as DECIMAL(38,4): exact sums of values carried to 1/100 cent."""
-    x = F.col(col) if isinstance(col, str) else col
-    return x.cast("decimal(38,4)")

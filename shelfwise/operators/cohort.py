@@ -81,11 +81,10 @@ def cohort_heatmap_pivot(matrix: DataFrame, max_periods: int = 12) -> DataFrame:
 
 
 def average_retention_curve(matrix: DataFrame, max_periods: int = 12) -> DataFrame:
-    """months_since, avg_retention — the unweighted mean over cohorts,
-    rounded to 12 decimals so the result does not depend on summation order."""
+    """months_since, avg_retention — the unweighted mean over cohorts."""
     return (
         matrix.filter(F.col("months_since") <= max_periods)
         .groupBy("months_since")
-        .agg(F.round(F.avg("retention"), 12).alias("avg_retention"))
+        .agg(F.avg("retention").alias("avg_retention"))
         .orderBy("months_since")
     )

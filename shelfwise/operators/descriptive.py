@@ -66,11 +66,11 @@ def _buckets(df: DataFrame, grain: str, approx_rsd: float | None = None) -> Data
         df.withColumn("bucket", bucket("purchase_ts", grain))
         .groupBy("bucket")
         .agg(
-            F.sum("net_revenue").alias("revenue_x"),
-            F.sum("profit").alias("profit_x"),
+            money_sum("net_revenue").alias("revenue_x"),
+            money_sum("profit").alias("profit_x"),
             distinct_count(order_key(df), approx_rsd).alias("orders"),
             distinct_count("customer_id", approx_rsd).alias("customers"),
-            F.sum("quantity").cast("long").alias("units"),
+            money_sum("quantity").cast("long").alias("units"),
         )
     )
 
@@ -129,9 +129,9 @@ def revenue_by_category(df: DataFrame, approx_rsd: float | None = None) -> DataF
     category), never over the fact rows.
     """
     g = df.groupBy("category").agg(
-        F.sum("net_revenue").alias("revenue_x"),
-        F.sum("profit").alias("profit_x"),
-        F.sum("quantity").cast("long").alias("units"),
+        money_sum("net_revenue").alias("revenue_x"),
+        money_sum("profit").alias("profit_x"),
+        money_sum("quantity").cast("long").alias("units"),
         distinct_count(order_key(df), approx_rsd).alias("orders"),
     )
     total = F.sum("revenue_x").over(Window.partitionBy())
@@ -146,14 +146,31 @@ def revenue_by_category(df: DataFrame, approx_rsd: float | None = None) -> DataF
     ).orderBy(F.desc_nulls_first("revenue"), F.asc_nulls_first("category"))
 
 
-def revenue_by_country(df: DataFrame, approx_rsd: float | None = None) -> DataFrame:
-    """Country, revenue, profit, customers — revenue descending."""
+def revenue_by_country(
+    df: DataFrame, customers: DataFrame | None = None, approx_rsd: float | None = None
+) -> DataFrame:
+    """Country, revenue, profit, customers — revenue descending.
+
+    With ``customers`` (one row per customer_id), ``df`` is the bare
+    transactions: they are summed per customer first, partial sums before the
+    shuffle, so a customer with a third of the rows is one row by the time the
+    dimension is joined, and counting customers needs no distinct count.
+    Without it, ``df`` carries ``country`` already.
+    """
+    if customers is None:
+        sums, n = df, distinct_count("customer_id", approx_rsd)
+    else:
+        per = df.groupBy("customer_id").agg(
+            money_sum("net_revenue").alias("net_revenue"), money_sum("profit").alias("profit")
+        )
+        sums = per.join(customers.select("customer_id", "country"), "customer_id", "left")
+        n = F.count("customer_id")
     return (
-        df.groupBy("country")
+        sums.groupBy("country")
         .agg(
-            as_double(F.sum("net_revenue")).alias("revenue"),
-            as_double(F.sum("profit")).alias("profit"),
-            distinct_count("customer_id", approx_rsd).alias("customers"),
+            as_double(money_sum("net_revenue")).alias("revenue"),
+            as_double(money_sum("profit")).alias("profit"),
+            n.alias("customers"),
         )
         .orderBy(F.desc_nulls_first("revenue"), F.asc_nulls_first("country"))
     )
@@ -164,29 +181,37 @@ def weekday_hour_heatmap(df: DataFrame) -> DataFrame:
     return (
         df.groupBy("weekday", "hour")
         .agg(
-            as_double(F.sum("net_revenue")).alias("revenue"),
+            as_double(money_sum("net_revenue")).alias("revenue"),
             F.count(F.lit(1)).alias("transactions"),
         )
         .orderBy("weekday", "hour")
     )
 
 
-def top_products(df: DataFrame, n: int = 20) -> DataFrame:
+def top_products(df: DataFrame, n: int = 20, products: DataFrame | None = None) -> DataFrame:
     """The n products with most revenue (ties broken by product_id).
 
     ``orderBy + limit`` plans as ``TakeOrderedAndProject``: each partition
     keeps its own top n, so only n rows per partition reach the final task.
+    With ``products``, ``df`` is the bare transactions: they are summed per
+    product first and only the n rows are joined with the dimension.
     """
-    return (
-        df.groupBy("product_id", "sku", "category")
+    labels = ["sku", "category"]
+    keys = ["product_id"] if products is not None else ["product_id", *labels]
+    order = [F.desc_nulls_first("revenue"), F.asc("product_id")]
+    top = (
+        df.groupBy(*keys)
         .agg(
-            as_double(F.sum("net_revenue")).alias("revenue"),
-            as_double(F.sum("profit")).alias("profit"),
-            F.sum("quantity").cast("long").alias("units"),
+            as_double(money_sum("net_revenue")).alias("revenue"),
+            as_double(money_sum("profit")).alias("profit"),
+            money_sum("quantity").cast("long").alias("units"),
         )
-        .orderBy(F.desc_nulls_first("revenue"), F.asc("product_id"))
+        .orderBy(*order)
         .limit(n)
     )
+    if products is not None:
+        top = top.join(products.select("product_id", *labels), "product_id", "left").orderBy(*order)
+    return top.select("product_id", *labels, "revenue", "profit", "units")
 
 
 def category_join_rollup(
@@ -200,8 +225,8 @@ def category_join_rollup(
         .join(products.select("product_id", "category"), "product_id", "inner")
         .groupBy("category")
         .agg(
-            as_double(F.sum("net_revenue")).alias("rev"),
-            as_double(F.sum("profit")).alias("profit"),
+            as_double(money_sum("net_revenue")).alias("rev"),
+            as_double(money_sum("profit")).alias("profit"),
             distinct_count(key, approx_rsd).alias("orders"),
         )
         .orderBy(F.desc_nulls_first("rev"), F.asc_nulls_first("category"))

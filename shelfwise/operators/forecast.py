@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.holtwinters import fit_many, run_fixed
-from shelfwise.session import default_parallelism, ship_package
+from shelfwise.functions.measures import money_sum
+from shelfwise.session import default_parallelism, hold, ship_package
 
 BATCH_PRODUCTS = 512
 
@@ -51,21 +52,18 @@ def top_skus_by_revenue(df: DataFrame, n: int = 50) -> DataFrame:
     """product_id of the n products with most revenue (ties by id)."""
     return (
         df.groupBy("product_id")
-        .agg(F.sum("net_revenue").alias("rev"))
+        .agg(money_sum("net_revenue").alias("rev"))
         .orderBy(F.desc_nulls_first("rev"), "product_id")
         .limit(n)
         .select("product_id")
     )
 
 
-def top_skus_with_labels(enriched: DataFrame, n: int = 50) -> DataFrame:
-    """Distinct (product_id, sku) of the top n products (semi-join)."""
-    ids = top_skus_by_revenue(enriched, n)
-    return (
-        enriched.select("product_id", "sku")
-        .join(ids, "product_id", "left_semi")
-        .distinct()
-    )
+def top_skus_with_labels(df: DataFrame, products: DataFrame, n: int = 50) -> DataFrame:
+    """(product_id, sku) of the top n products: one pass over the facts,
+    then n rows joined with the products."""
+    ids = top_skus_by_revenue(df, n)
+    return ids.join(products.select("product_id", "sku"), "product_id", "left").distinct()
 
 
 def daily_sales(df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -89,7 +87,11 @@ def daily_units(df: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     zeros since the previous sale followed by its own units; ``posexplode``
     turns the array back into rows. No spine join, no second shuffle.
     """
-    daily = daily_sales(df, ids)
+    return densify(daily_sales(df, ids))
+
+
+def densify(daily: DataFrame) -> DataFrame:
+    """F2 over ``daily_sales`` that other branches may share."""
     per = daily.groupBy("product_id").agg(
         F.min("ds").alias("lo"),
         F.array_sort(
@@ -180,10 +182,9 @@ def _forecast_batch(
         tds = np.array([backtest_days(int(n), test_days) for n in ns])
         train = [y[:-td] for (_, _, y), td in zip(series, tds)]
         full = [y for _, _, y in series]
-        # The backtest fit searches the grid; the fit on the whole series
-        # (train + test days) starts from its parameters.
+        # Two independent fits: one without the test days, one on everything.
         tfit = fit_many(train, season)
-        ffit = fit_many(full, season, start=(tfit.alpha, tfit.beta, tfit.gamma), refine_rounds=0)
+        ffit = fit_many(full, season)
         bt = tfit.forecast(int(tds.max()))
         fc = ffit.forecast(horizon)
         k = len(series)
@@ -236,13 +237,88 @@ def forecast_rows(
         raise ValueError("test_days must be >= 1")
     if horizon_days < 1:
         raise ValueError("horizon_days must be >= 1")
+    return forecast_rows_from(
+        daily_sales(df, ids), horizon_days, test_days, min_history_days, seasonal_periods, align_end
+    )
+
+
+def forecast_rows_from(
+    daily: DataFrame,
+    horizon_days: int = 30,
+    test_days: int = 30,
+    min_history_days: int = MIN_HISTORY_DAYS,
+    seasonal_periods: int = SEASON,
+    align_end: date | None = None,
+) -> DataFrame:
+    """``forecast_rows`` over ``daily_sales`` that other branches may share."""
     end_day = None if align_end is None else (align_end - date(1970, 1, 1)).days
-    return _batched(daily_sales(df, ids)).groupBy("batch").applyInPandas(
+    return _batched(daily).groupBy("batch").applyInPandas(
         _forecast_batch(horizon_days, test_days, min_history_days, seasonal_periods, end_day),
         ROWS_SCHEMA,
     )
 
 
+def mean_forecast_rows(
+    daily: DataFrame,
+    horizon_days: int = 14,
+    test_days: int = 14,
+    window_days: int = 28,
+    min_history_days: int = MIN_HISTORY_DAYS,
+) -> DataFrame:
+    """The rows of ``forecast_rows`` by a model any SQL engine can repeat: the
+    mean of the last ``window_days`` dense days, σ their population deviation;
+    the backtest predicts the last ``test_days`` days from the window before
+    them. Native expressions only; days without a sale count as zeros without
+    being made into rows.
+    """
+    if test_days + window_days > min_history_days:
+        raise ValueError("test_days + window_days must not exceed min_history_days")
+    back = F.datediff("hi", "ds")
+    spans = daily.groupBy("product_id").agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
+    long = spans.filter(F.datediff("hi", "lo") + 1 >= min_history_days).select("product_id", "hi")
+    near = daily.join(long, "product_id").withColumn("back", back)
+
+    def within(lo: int, hi: int, value):
+        return F.coalesce(F.sum(F.when(F.col("back").between(lo, hi), value)), F.lit(0)).cast("double")
+
+    y = F.col("y")
+    last, train = (0, window_days - 1), (test_days, test_days + window_days - 1)
+    per = near.filter(F.col("back") < test_days + window_days).groupBy("product_id", "hi").agg(
+        within(*last, y).alias("s"),
+        within(*last, y * y).alias("q"),
+        within(*train, y).alias("s_train"),
+        F.map_from_entries(
+            F.collect_list(F.when(F.col("back") < test_days, F.struct("back", "y")))
+        ).alias("tested"),
+    )
+    n = F.lit(float(window_days))
+    tests = per.select(
+        "product_id",
+        F.lit("backtest").alias("kind"),
+        F.explode(F.sequence(F.lit(1), F.lit(test_days))).alias("step"),
+        "hi", "tested", "s_train",
+    ).select(
+        "product_id", "kind", "step",
+        F.date_add("hi", F.col("step") - test_days).alias("ds"),
+        F.coalesce(F.col("tested")[test_days - F.col("step")], F.lit(0)).cast("double").alias("actual"),
+        (F.col("s_train") / n).alias("yhat"),
+        F.lit(None).cast("double").alias("sigma"),
+    )
+    ahead = per.select(
+        "product_id",
+        F.lit("forecast").alias("kind"),
+        F.explode(F.sequence(F.lit(1), F.lit(horizon_days))).alias("step"),
+        "hi", "s", "q",
+    ).select(
+        "product_id", "kind", "step",
+        F.date_add("hi", F.col("step")).alias("ds"),
+        F.lit(None).cast("double").alias("actual"),
+        (F.col("s") / n).alias("yhat"),
+        (F.sqrt(n * F.col("q") - F.col("s") * F.col("s")) / n).alias("sigma"),
+    )
+    return tests.unionByName(ahead)
+
+
 def forecast_many(
     df: DataFrame,
     ids: DataFrame | None = None,
@@ -252,8 +328,8 @@ def forecast_many(
     """(forecast frame, backtest frame) for every product in ``ids``
     (all products when None) with enough history, default backtest window
     and 95 % band. The fitted rows are persisted so the two frames share one
-    run of the grouped UDF."""
-    rows = forecast_rows(df, ids, horizon_days, 30).persist()
+    run of the grouped UDF, until ``session.release()``."""
+    rows = hold(forecast_rows(df, ids, horizon_days, 30))
     return forecasts(rows, products, 0.95), backtest(rows, products)
 
 
@@ -305,16 +381,19 @@ def forecast_accuracy(
     df: DataFrame, actual: str = "actual", predicted: str = "yhat", keys=("product_id",)
 ) -> DataFrame:
     """per key, mape = mean(|a − p| / d)·100 with d = |a|, or 1 where
-    |a| < 1e-9; rmse = sqrt(mean((a − p)²)). Both rounded to 6 decimals, so
-    the result does not depend on the order rows are summed in."""
+    |a| < 1e-9; rmse = sqrt(mean((a − p)²))."""
     a, p = F.col(actual), F.col(predicted)
-    denom = F.when(F.abs(a) < F.lit(1e-9), F.lit(1.0)).otherwise(F.abs(a))
     return df.groupBy(*keys).agg(
-        F.round(F.avg(F.abs(a - p) / denom) * F.lit(100.0), 6).alias("mape"),
-        F.round(F.sqrt(F.avg((a - p) * (a - p))), 6).alias("rmse"),
+        percentage_error(a, p).alias("mape"), F.sqrt(F.avg((a - p) * (a - p))).alias("rmse")
     )
 
 
+def percentage_error(a, p):
+    """mape as an aggregate; rows where either is null do not count."""
+    denom = F.when(F.abs(a) < F.lit(1e-9), F.lit(1.0)).otherwise(F.abs(a))
+    return F.avg(F.abs(a - p) / denom) * F.lit(100.0)
+
+
 def backtest(rows: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """Backtest frame: product_id, sku, mape, rmse."""
     acc = forecast_accuracy(rows.filter(F.col("kind") == "backtest"))
@@ -379,8 +458,8 @@ def fixed_parameter_fit(
 
 
 __all__ = [
-    "top_skus_by_revenue", "top_skus_with_labels", "daily_units", "forecast_rows",
-    "forecast_many", "forecast_product",
+    "top_skus_by_revenue", "top_skus_with_labels", "daily_sales", "daily_units", "densify",
+    "forecast_rows", "forecast_rows_from", "mean_forecast_rows", "forecast_many", "forecast_product",
     "forecasts", "backtest", "forecast_accuracy", "history_and_forecast",
     "fixed_parameter_fit",
 ]

@@ -13,11 +13,11 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.measures import as_double, status_flag
-from shelfwise.functions.stats import exact_money
+from shelfwise.functions.measures import as_double, money_sum, status_flag
+from shelfwise.operators.forecast import percentage_error
 
-# The traffic-light statuses in report order, and the z of the
-# 95 % band that the safety-stock σ is recovered from.
+# The traffic-light statuses in report order, the z of the 95 %
+# band that the safety-stock σ is recovered from, and the report columns.
 STATUSES = ["red", "yellow", "green"]
 BAND_Z = 1.96
 
@@ -73,16 +73,19 @@ def reorder_report(
                 )).cast("double"),
             ).otherwise(F.col("expected_demand")),
         )
+    rep = per.join(
+        accuracy.select("product_id", F.col("mape").alias("mape_pct")), "product_id", "left"
+    ).join(products.select("product_id", "stock_on_hand", "category", "unit_price"), "product_id", "left")
+    return _with_status(rep, lead_time_days, service_level_z, severity_order)
+
+
+def _with_status(
+    rep: DataFrame, lead_time_days: int, service_level_z: float, severity_order: bool
+) -> DataFrame:
+    """Safety stock, reorder point, status and order of the report."""
     safety = F.lit(service_level_z) * F.col("sigma") * F.lit(math.sqrt(lead_time_days))
-    rep = (
-        per.withColumn("safety_stock", safety)
-        .withColumn("reorder_point", F.col("expected_demand") + F.col("safety_stock"))
-        .join(accuracy.select("product_id", F.col("mape").alias("mape_pct")), "product_id", "left")
-        .join(
-            products.select("product_id", "stock_on_hand", "category", "unit_price"),
-            "product_id",
-            "left",
-        )
+    rep = rep.withColumn("safety_stock", safety).withColumn(
+        "reorder_point", F.col("expected_demand") + F.col("safety_stock")
     )
     status = (
         F.when(F.col("stock_on_hand") < F.col("expected_demand"), F.lit("red"))
@@ -102,12 +105,50 @@ def reorder_report(
     )
 
 
+def reorder_from_rows(
+    rows: DataFrame,
+    products: DataFrame,
+    lead_time_days: int = 14,
+    service_level_z: float = 1.65,
+    severity_order: bool = False,
+) -> DataFrame:
+    """X1 straight from forecast and backtest rows: one aggregate per product
+    for demand, σ and MAPE, then one join with the products, so nothing is
+    read twice or kept. A product with fewer forecast days than the lead time
+    fails the query, as in ``reorder_report``."""
+    ahead = (F.col("kind") == "forecast") & (F.col("step") <= lead_time_days)
+    yhat = F.greatest("yhat", F.lit(0.0))
+    upper = F.greatest(F.col("yhat") + F.lit(BAND_Z) * F.col("sigma"), F.lit(0.0))
+    tested = F.when(F.col("kind") == "backtest", F.col("actual"))
+    short = F.raise_error(
+        F.lit(f"forecast horizon shorter than the lead time of {lead_time_days} days")
+    ).cast("double")
+    per = (
+        rows.groupBy("product_id")
+        .agg(
+            F.sum(F.when(ahead, yhat)).alias("demand"),
+            (F.avg(F.when(ahead, upper - yhat)) / F.lit(BAND_Z)).alias("sigma"),
+            F.count(F.when(ahead, F.lit(1))).alias("days"),
+            percentage_error(tested, F.col("yhat")).alias("mape_pct"),
+        )
+        .withColumn(
+            "expected_demand", F.when(F.col("days") < lead_time_days, short).otherwise(F.col("demand"))
+        )
+    )
+    rep = per.join(
+        products.select("product_id", "sku", "stock_on_hand", "category", "unit_price"),
+        "product_id",
+        "left",
+    )
+    return _with_status(rep, lead_time_days, service_level_z, severity_order)
+
+
 def status_counts(report: DataFrame) -> DataFrame:
     """A1: status, count for red, yellow, green — missing statuses as 0."""
     spark = report.sparkSession
     names = spark.createDataFrame([(s,) for s in STATUSES], "status string")
     counts = report.groupBy("status").agg(F.count(F.lit(1)).alias("count"))
-    return F.broadcast(names).join(counts, "status", "left").select(
+    return names.join(counts, "status", "left").select(
         "status", F.coalesce(F.col("count"), F.lit(0)).alias("count")
     )
 
@@ -157,7 +198,7 @@ def dead_stock(
 def dead_stock_total(dead: DataFrame) -> DataFrame:
     """One row, total parked value (0 when there is no dead stock)."""
     return dead.agg(
-        as_double(F.coalesce(F.sum(exact_money("parked_value")), F.lit(0))).alias(
+        as_double(money_sum("parked_value")).alias(
             "total_parked_value"
         ),
         F.count(F.lit(1)).alias("products"),

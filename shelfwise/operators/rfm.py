@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.measures import as_double, order_key, safe_div
-from shelfwise.functions.stats import column_stats, exact_money, quantiles, quartile_score
+from shelfwise.functions.measures import as_double, money_sum, order_key, safe_div
+from shelfwise.functions.stats import column_stats, quantiles, quartile_score
+from shelfwise.session import hold
 
 QUARTILES = [0.25, 0.5, 0.75]
 EPOCH = date(1970, 1, 1)
@@ -40,14 +40,17 @@ def reference_date(df: DataFrame) -> DataFrame:
 
 
 def customer_base(df: DataFrame) -> DataFrame:
-    """Per customer: frequency (distinct invoices), monetary, first and last
-    purchase. One shuffle on customer_id, partial aggregation map-side."""
-    return df.groupBy("customer_id").agg(
+    """Per customer: frequency (distinct invoices), monetary (null where a line's
+    money is not a finite number), first and last purchase. One shuffle on
+    customer_id, partial aggregation map-side."""
+    base = df.groupBy("customer_id").agg(
         F.count_distinct(order_key(df)).alias("frequency"),
-        as_double(F.sum("net_revenue")).alias("monetary"),
+        as_double(money_sum("net_revenue")).alias("monetary"),
         F.min("purchase_date").alias("first_purchase"),
         F.max("purchase_date").alias("last_purchase"),
     )
+    finite = F.abs("monetary") < F.lit(float("inf"))  # false for NaN: it sorts above
+    return base.withColumn("monetary", F.when(finite, F.col("monetary")))
 
 
 def tier_of(score: str = "rfm_score"):
@@ -70,14 +73,11 @@ def compute_rfm(
     are right-closed. Recency is ref − last purchase, so its cut points are
     those of −day(last purchase) shifted by the reference day; one statistics
     job yields the reference day (the latest purchase) together with the
-    counts and ranges the selection starts from. The returned frame is lazy
-    over the persisted base.
+    counts and ranges the selection starts from. Those jobs run when called,
+    also for an ``explain``; the returned frame is lazy over the persisted
+    base, which ``session.release()`` lets go.
     """
-    base = (
-        customer_base(df)
-        .withColumn("_neg_lp", -F.unix_date("last_purchase"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    base = hold(customer_base(df).withColumn("_neg_lp", -F.unix_date("last_purchase")))
     cols = ["_neg_lp", "frequency", "monetary"]
     stats = None if approx_accuracy else column_stats(base, cols)
     if ref_date is None:
@@ -109,11 +109,10 @@ def compute_rfm(
 def tier_summary(rfm: DataFrame) -> DataFrame:
     """R2: tier, customers, revenue, avg_monetary, avg_frequency,
     avg_recency_days, revenue_share, customer_share — revenue descending.
-    Sums are exact (money to 1/100 cent); the shares' totals are windows over
-    the four-row result."""
+    The shares' totals are windows over the four-row result."""
     g = rfm.groupBy("tier").agg(
         F.count(F.lit(1)).alias("customers"),
-        F.sum(exact_money("monetary")).alias("revenue_x"),
+        F.sum("monetary").alias("revenue_x"),
         F.sum("frequency").alias("frequency_x"),
         F.sum("recency_days").alias("recency_x"),
     )
@@ -158,7 +157,7 @@ def at_risk_revenue(at_risk: DataFrame) -> DataFrame:
     avg_customer_value (null when empty)."""
     return at_risk.agg(
         F.count(F.lit(1)).alias("customers"),
-        F.coalesce(F.sum(exact_money("monetary")), F.lit(0)).alias("x"),
+        money_sum("monetary").alias("x"),
     ).select(
         "customers",
         as_double("x").alias("dollars_at_risk"),
@@ -198,8 +197,7 @@ def tier_lookup(summary: DataFrame) -> DataFrame:
     spark = summary.sparkSession
     names = spark.createDataFrame([(i, t) for i, t in enumerate(TIERS)], "tier_order int, tier string")
     return (
-        F.broadcast(names)
-        .join(summary, "tier", "left")
+        names.join(summary, "tier", "left")
         .withColumn("customers", F.coalesce(F.col("customers"), F.lit(0)))
         .orderBy("tier_order")
     )

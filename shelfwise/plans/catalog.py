@@ -54,6 +54,12 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    """Doubles that depend on the order of summation, rounded for comparison
+    with the oracle, whose SQL rounds alike."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
 # ---------------------------------------------------------------- descriptive
 
 @query(
@@ -75,11 +81,11 @@ def q_dataset_summary(spark, sf_dir):
 
 def _time_sql(bucket_expr: str) -> str:
     return with_ctes(TX) + f"""SELECT {bucket_expr} AS bucket,
-       CAST(sum(net_revenue) AS DOUBLE) AS revenue,
-       CAST(sum(profit) AS DOUBLE) AS profit,
+       CAST(coalesce(sum(net_revenue), 0) AS DOUBLE) AS revenue,
+       CAST(coalesce(sum(profit), 0) AS DOUBLE) AS profit,
        count(DISTINCT invoice_id) AS orders,
        count(DISTINCT customer_id) AS customers,
-       CAST(sum(quantity) AS BIGINT) AS units
+       CAST(coalesce(sum(quantity), 0) AS BIGINT) AS units
 FROM tx GROUP BY 1 ORDER BY 1"""
 
 
@@ -102,9 +108,9 @@ def q_revenue_month(spark, sf_dir):
     "rolling_revenue_7",
     with_ctes(TX)
     + """, b AS (
-  SELECT purchase_date AS bucket, sum(net_revenue) AS revenue_x, sum(profit) AS profit_x,
+  SELECT purchase_date AS bucket, coalesce(sum(net_revenue), 0) AS revenue_x, coalesce(sum(profit), 0) AS profit_x,
          count(DISTINCT invoice_id) AS orders, count(DISTINCT customer_id) AS customers,
-         CAST(sum(quantity) AS BIGINT) AS units
+         CAST(coalesce(sum(quantity), 0) AS BIGINT) AS units
   FROM tx GROUP BY 1
 )
 SELECT bucket, CAST(revenue_x AS DOUBLE) AS revenue, CAST(profit_x AS DOUBLE) AS profit,
@@ -122,8 +128,8 @@ def q_rolling_revenue_7(spark, sf_dir):
     "revenue_by_category",
     with_ctes(TX, PROD)
     + """, g AS (
-  SELECT category, sum(net_revenue) AS revenue_x, sum(profit) AS profit_x,
-         CAST(sum(quantity) AS BIGINT) AS units, count(DISTINCT invoice_id) AS orders
+  SELECT category, coalesce(sum(net_revenue), 0) AS revenue_x, coalesce(sum(profit), 0) AS profit_x,
+         CAST(coalesce(sum(quantity), 0) AS BIGINT) AS units, count(DISTINCT invoice_id) AS orders
   FROM tx LEFT JOIN prod USING (product_id) GROUP BY category
 )
 SELECT category, CAST(revenue_x AS DOUBLE) AS revenue, CAST(profit_x AS DOUBLE) AS profit,
@@ -141,19 +147,19 @@ def q_revenue_by_category(spark, sf_dir):
 @query(
     "revenue_by_country",
     with_ctes(TX, CUST)
-    + """SELECT country, CAST(sum(net_revenue) AS DOUBLE) AS revenue,
-       CAST(sum(profit) AS DOUBLE) AS profit, count(DISTINCT customer_id) AS customers
+    + """SELECT country, CAST(coalesce(sum(net_revenue), 0) AS DOUBLE) AS revenue,
+       CAST(coalesce(sum(profit), 0) AS DOUBLE) AS profit, count(DISTINCT customer_id) AS customers
 FROM tx LEFT JOIN cust USING (customer_id) GROUP BY country ORDER BY revenue DESC""",
 )
 def q_revenue_by_country(spark, sf_dir):
     t = tpch.retail_tables(spark, sf_dir)
-    return D.revenue_by_country(enrich(t.transactions, customers=t.customers))
+    return D.revenue_by_country(t.transactions, t.customers)
 
 
 @query(
     "weekday_hour_heatmap",
     with_ctes(EVENTS)
-    + """SELECT weekday, hour, CAST(sum(net_revenue) AS DOUBLE) AS revenue,
+    + """SELECT weekday, hour, CAST(coalesce(sum(net_revenue), 0) AS DOUBLE) AS revenue,
        count(*) AS transactions
 FROM ev GROUP BY weekday, hour ORDER BY weekday, hour""",
 )
@@ -164,22 +170,22 @@ def q_weekday_hour_heatmap(spark, sf_dir):
 @query(
     "top_products",
     with_ctes(TX, PROD)
-    + """SELECT product_id, sku, category, CAST(sum(net_revenue) AS DOUBLE) AS revenue,
-       CAST(sum(profit) AS DOUBLE) AS profit, CAST(sum(quantity) AS BIGINT) AS units
+    + """SELECT product_id, sku, category, CAST(coalesce(sum(net_revenue), 0) AS DOUBLE) AS revenue,
+       CAST(coalesce(sum(profit), 0) AS DOUBLE) AS profit, CAST(coalesce(sum(quantity), 0) AS BIGINT) AS units
 FROM tx LEFT JOIN prod USING (product_id)
 GROUP BY product_id, sku, category
 ORDER BY revenue DESC, product_id LIMIT 20""",
 )
 def q_top_products(spark, sf_dir):
     t = tpch.retail_tables(spark, sf_dir)
-    return D.top_products(enrich(t.transactions, products=t.products), 20)
+    return D.top_products(t.transactions, 20, t.products)
 
 
 @query(
     "category_join_rollup",
     with_ctes(TX, PROD)
-    + """SELECT category, CAST(sum(net_revenue) AS DOUBLE) AS rev,
-       CAST(sum(profit) AS DOUBLE) AS profit, count(DISTINCT invoice_id) AS orders
+    + """SELECT category, CAST(coalesce(sum(net_revenue), 0) AS DOUBLE) AS rev,
+       CAST(coalesce(sum(profit), 0) AS DOUBLE) AS profit, count(DISTINCT invoice_id) AS orders
 FROM tx JOIN prod USING (product_id) GROUP BY category ORDER BY rev DESC""",
 )
 def q_category_join_rollup(spark, sf_dir):
@@ -187,9 +193,43 @@ def q_category_join_rollup(spark, sf_dir):
     return D.category_join_rollup(t.transactions, t.products)
 
 
+@query(
+    "summary_margin",
+    with_ctes(TX)
+    + """SELECT CAST(coalesce(sum(net_revenue), 0) AS DOUBLE) AS gross_revenue,
+       CAST(coalesce(sum(profit), 0) AS DOUBLE) AS gross_profit,
+       round(CAST(coalesce(sum(profit), 0) AS DOUBLE)
+             / NULLIF(CAST(coalesce(sum(net_revenue), 0) AS DOUBLE), 0) * 100.0, 9) AS margin_pct
+FROM tx""",
+)
+def q_summary_margin(spark, sf_dir):
+    """E19 on the KPI row."""
+    got = D.summary_margin(D.dataset_summary(tpch.transactions(spark, sf_dir)))
+    return rounded(got.select("gross_revenue", "gross_profit", "margin_pct"), 9, "margin_pct")
+
+
+@query(
+    "latest_lines",
+    with_ctes(TX)
+    + """SELECT purchase_date, invoice_id, product_id, quantity, CAST(net_revenue AS DOUBLE) AS net_revenue
+FROM tx ORDER BY purchase_date DESC, invoice_id DESC, product_id DESC, quantity DESC, net_revenue DESC LIMIT 20""",
+)
+def q_latest_lines(spark, sf_dir):
+    """The last 20 lines of the fact table in date order."""
+    order = ["purchase_date", "invoice_id", "product_id", "quantity", "net_revenue"]
+    lines = tpch.transactions(spark, sf_dir).select(*order)
+    return D.preview(lines, 20, *order, last=True).withColumn(
+        "net_revenue", F.col("net_revenue").cast("double")
+    )
+
+
 # ------------------------------------------------------------------------ RFM
 
 
+def _rounded_tiers(df: DataFrame) -> DataFrame:
+    return rounded(rounded(df, 2, "revenue"), 6, "avg_monetary", "revenue_share")
+
+
 def _rfm(spark, sf_dir):
     return R.compute_rfm(tpch.transactions(spark, sf_dir))
 
@@ -206,7 +246,7 @@ def q_rfm(spark, sf_dir):
 
 @query("tier_summary", with_ctes(TX, RFM, TIER_SUMMARY) + "SELECT * FROM tsum")
 def q_tier_summary(spark, sf_dir):
-    return R.tier_summary(_rfm(spark, sf_dir))
+    return _rounded_tiers(R.tier_summary(_rfm(spark, sf_dir)))
 
 
 @query("at_risk_customers", with_ctes(TX, RFM, at_risk_cte()) + "SELECT * FROM at_risk")
@@ -218,13 +258,14 @@ def q_at_risk_customers(spark, sf_dir):
     "at_risk_revenue",
     with_ctes(TX, RFM, at_risk_cte())
     + """SELECT count(*) AS customers,
-       CAST(coalesce(sum(CAST(monetary AS DECIMAL(38,4))), 0) AS DOUBLE) AS dollars_at_risk,
-       CAST(sum(CAST(monetary AS DECIMAL(38,4))) AS DOUBLE) / NULLIF(CAST(count(*) AS DOUBLE), 0)
-         AS avg_customer_value
+       round(CAST(coalesce(sum(CAST(monetary AS DECIMAL(38,4))), 0) AS DOUBLE), 2) AS dollars_at_risk,
+       round(CAST(sum(CAST(monetary AS DECIMAL(38,4))) AS DOUBLE)
+             / NULLIF(CAST(count(*) AS DOUBLE), 0), 6) AS avg_customer_value
 FROM at_risk""",
 )
 def q_at_risk_revenue(spark, sf_dir):
-    return R.at_risk_revenue(R.at_risk_customers(_rfm(spark, sf_dir)))
+    got = R.at_risk_revenue(R.at_risk_customers(_rfm(spark, sf_dir)))
+    return rounded(rounded(got, 2, "dollars_at_risk"), 6, "avg_customer_value")
 
 
 @query(
@@ -236,7 +277,7 @@ FROM (VALUES (0, 'Platinum'), (1, 'Gold'), (2, 'Silver'), (3, 'Bronze')) t(tier_
 LEFT JOIN tsum s USING (tier) ORDER BY t.tier_order""",
 )
 def q_rfm_tier_lookup(spark, sf_dir):
-    return R.tier_lookup(R.tier_summary(_rfm(spark, sf_dir)))
+    return R.tier_lookup(_rounded_tiers(R.tier_summary(_rfm(spark, sf_dir))))
 
 
 @query(
@@ -282,9 +323,10 @@ def q_cohort_pivot(spark, sf_dir):
 FROM cm WHERE months_since <= 12 GROUP BY months_since ORDER BY months_since""",
 )
 def q_retention_curve(spark, sf_dir):
-    return C.average_retention_curve(
+    curve = C.average_retention_curve(
         C.monthly_cohort_matrix(tpch.transactions(spark, sf_dir)), 12
     )
+    return rounded(curve, 12, "avg_retention")
 
 
 # ------------------------------------------------------------------- forecast
@@ -303,7 +345,7 @@ WHERE product_id IN (SELECT product_id FROM top)""",
 )
 def q_top_skus_labels(spark, sf_dir):
     t = tpch.retail_tables(spark, sf_dir)
-    return FC.top_skus_with_labels(enrich(t.transactions, products=t.products), 50)
+    return FC.top_skus_with_labels(t.transactions, t.products, 50)
 
 
 @query("daily_units", with_ctes(TX, DAILY) + "SELECT product_id, ds, y FROM dense")
@@ -335,7 +377,7 @@ def q_forecast_accuracy(spark, sf_dir):
         F.lag("y", 7).over(Window.partitionBy("product_id").orderBy("ds")).cast("double")
         .alias("predicted"),
     ).filter(F.col("predicted").isNotNull())
-    return FC.forecast_accuracy(pairs, "actual", "predicted")
+    return rounded(FC.forecast_accuracy(pairs, "actual", "predicted"), 6, "mape", "rmse")
 
 
 @query("hw_fixed_params")
@@ -359,9 +401,9 @@ def q_forecast_backtest(spark, sf_dir):
 
 @query("history_and_forecast")
 def q_history_and_forecast(spark, sf_dir):
-    tx = tpch.transactions(spark, sf_dir)
-    fc = FC.forecasts(FC.forecast_rows(tx, None, 30, 30))
-    return FC.history_and_forecast(FC.daily_units(tx), fc)
+    daily = FC.daily_sales(tpch.transactions(spark, sf_dir))
+    fc = FC.forecasts(FC.forecast_rows_from(daily, 30, 30))
+    return FC.history_and_forecast(FC.densify(daily), fc)
 
 
 # --------------------------------------------------------------- prescriptive
@@ -369,13 +411,8 @@ def q_history_and_forecast(spark, sf_dir):
 
 def _reorder(spark, sf_dir, lead_time=14):
     """Forecast horizon = lead time, as the reorder screen does."""
-    tx = tpch.transactions(spark, sf_dir)
-    prod = tpch.products(spark, sf_dir)
-    # Both the forecast and the backtest branch read the fitted rows: persist
-    # them so the grouped UDF runs once (a lost block is recomputed; the fit
-    # is deterministic).
-    rows = FC.forecast_rows(tx, None, lead_time, 30).persist()
-    return X.reorder_report(FC.forecasts(rows, prod), FC.backtest(rows), prod, lead_time, 1.65)
+    rows = FC.forecast_rows(tpch.transactions(spark, sf_dir), None, lead_time, 30)
+    return X.reorder_from_rows(rows, tpch.products(spark, sf_dir), lead_time, 1.65)
 
 
 @query("reorder_report")
@@ -393,9 +430,127 @@ def q_flag_status(spark, sf_dir):
     return X.flag_status(_reorder(spark, sf_dir))
 
 
+# The same operators over a forecast that SQL can repeat (28-day means).
+
+MEAN_DAYS, MEAN_TEST, MEAN_AHEAD = 28, 14, 14
+MEAN_SQL = with_ctes(TX, PROD, DAILY) + f""", span AS (
+  SELECT product_id, min(ds) AS lo, max(ds) AS hi FROM d GROUP BY 1
+  HAVING date_diff('day', min(ds), max(ds)) + 1 >= 60
+), near AS (
+  SELECT product_id, hi, y, CAST(date_diff('day', ds, hi) AS INTEGER) AS back FROM d JOIN span USING (product_id)
+), per AS (
+  SELECT product_id, hi,
+         CAST(coalesce(sum(y) FILTER (WHERE back < {MEAN_DAYS}), 0) AS DOUBLE) AS s,
+         CAST(coalesce(sum(y * y) FILTER (WHERE back < {MEAN_DAYS}), 0) AS DOUBLE) AS q,
+         CAST(coalesce(sum(y) FILTER (WHERE back >= {MEAN_TEST} AND back < {MEAN_TEST + MEAN_DAYS}), 0)
+              AS DOUBLE) AS s_train
+  FROM near GROUP BY 1, 2
+), fc AS (
+  SELECT product_id, step, CAST(hi + CAST(step AS INTEGER) AS DATE) AS ds, s / {MEAN_DAYS} AS yhat,
+         sqrt({MEAN_DAYS} * q - s * s) / {MEAN_DAYS} AS sigma
+  FROM per, range(1, {MEAN_AHEAD + 1}) t(step)
+), bands AS (
+  SELECT *, greatest(yhat - 1.96 * sigma, 0) AS yhat_lower, yhat + 1.96 * sigma AS yhat_upper FROM fc
+), bt AS (
+  SELECT p.product_id, CAST(coalesce(n.y, 0) AS DOUBLE) AS a, p.s_train / {MEAN_DAYS} AS f
+  FROM (SELECT * FROM per, range(0, {MEAN_TEST}) t(back)) p
+  LEFT JOIN near n ON n.product_id = p.product_id AND n.back = p.back
+), acc AS (
+  SELECT product_id, avg(abs(a - f) / CASE WHEN abs(a) < 1e-9 THEN 1.0 ELSE abs(a) END) * 100.0 AS mape,
+         sqrt(avg((a - f) * (a - f))) AS rmse
+  FROM bt GROUP BY 1
+), dem AS (
+  SELECT product_id, sum(yhat) AS expected_demand,
+         1.65 * (avg(yhat_upper - yhat) / 1.96) * sqrt({MEAN_AHEAD}) AS safety_stock
+  FROM bands GROUP BY 1
+), rep AS (
+  SELECT dem.product_id, prod.sku, round(expected_demand, 6) AS expected_demand,
+         round(safety_stock, 6) AS safety_stock,
+         round(expected_demand + safety_stock, 6) AS reorder_point, round(mape, 6) AS mape_pct,
+         stock_on_hand, category, unit_price,
+         CASE WHEN stock_on_hand < expected_demand - 1e-7 THEN 'red'
+              WHEN stock_on_hand < expected_demand + safety_stock - 1e-7 THEN 'yellow'
+              ELSE 'green' END AS status,
+         round(expected_demand - stock_on_hand, 6) AS shortfall_units
+  FROM dem LEFT JOIN acc USING (product_id) LEFT JOIN prod USING (product_id)
+)
+"""
+REPORT_DOUBLES = ("expected_demand", "safety_stock", "reorder_point", "mape_pct", "shortfall_units")
+
+
+def _mean_rows(spark, sf_dir):
+    daily = FC.daily_sales(tpch.transactions(spark, sf_dir))
+    return FC.mean_forecast_rows(daily, MEAN_AHEAD, MEAN_TEST, MEAN_DAYS)
+
+
+def _mean_report(spark, sf_dir):
+    return X.reorder_from_rows(
+        _mean_rows(spark, sf_dir), tpch.products(spark, sf_dir), MEAN_AHEAD, 1.65
+    )
+
+
+@query("reorder_report_mean", MEAN_SQL + "SELECT * FROM rep")
+def q_reorder_report_mean(spark, sf_dir):
+    """X1 on the 28-day mean."""
+    return rounded(_mean_report(spark, sf_dir), 6, *REPORT_DOUBLES)
+
+
+@query(
+    "status_counts_mean",
+    MEAN_SQL
+    + """SELECT status, count(rep.status) AS count
+FROM (VALUES ('red'), ('yellow'), ('green')) t(status) LEFT JOIN rep USING (status) GROUP BY status""",
+)
+def q_status_counts_mean(spark, sf_dir):
+    """A1 on the 28-day mean."""
+    return X.status_counts(_mean_report(spark, sf_dir))
+
+
+@query(
+    "flag_status_mean",
+    MEAN_SQL
+    + """SELECT CASE status WHEN 'red' THEN '🔴' WHEN 'yellow' THEN '🟡' ELSE '🟢' END AS flag, sku, category,
+       expected_demand, safety_stock, reorder_point, stock_on_hand, shortfall_units, mape_pct FROM rep""",
+)
+def q_flag_status_mean(spark, sf_dir):
+    """A2 on the 28-day mean."""
+    return rounded(X.flag_status(_mean_report(spark, sf_dir)), 6, *REPORT_DOUBLES)
+
+
+@query(
+    "forecast_product_mean",
+    MEAN_SQL
+    + """SELECT f.product_id, prod.sku, f.ds, round(yhat, 6) AS yhat,
+       round(greatest(yhat - 1.28 * sigma, 0), 6) AS yhat_lower, round(yhat + 1.28 * sigma, 6) AS yhat_upper,
+       CAST(step AS INTEGER) AS step, round(sigma, 6) AS sigma, round(mape, 6) AS mape, round(rmse, 6) AS rmse
+FROM fc f LEFT JOIN prod USING (product_id) LEFT JOIN acc ON acc.product_id = f.product_id""",
+)
+def q_forecast_product_mean(spark, sf_dir):
+    """F5's two frames at an 80 % band and 14 test days, on the 28-day mean,
+    for every product."""
+    rows = _mean_rows(spark, sf_dir)
+    got = FC.forecasts(rows, tpch.products(spark, sf_dir), 0.8).join(
+        FC.backtest(rows).drop("sku"), "product_id", "left"
+    )
+    return rounded(got, 6, "yhat", "yhat_lower", "yhat_upper", "sigma", "mape", "rmse")
+
+
+@query(
+    "history_and_forecast_mean",
+    MEAN_SQL
+    + """SELECT product_id, ds AS date, CAST(y AS DOUBLE) AS units, 'history' AS series FROM dense
+UNION ALL SELECT product_id, ds, round(yhat, 6), 'forecast' FROM fc""",
+)
+def q_history_and_forecast_mean(spark, sf_dir):
+    """A3 on the 28-day mean."""
+    daily = FC.daily_sales(tpch.transactions(spark, sf_dir))
+    fc = FC.forecasts(FC.mean_forecast_rows(daily, MEAN_AHEAD, MEAN_TEST, MEAN_DAYS))
+    return rounded(FC.history_and_forecast(FC.densify(daily), fc), 6, "units")
+
+
 def _dead_sql(lookback: int, min_value: float) -> str:
     return with_ctes(TX, PROD) + f""", recent AS (
-  SELECT product_id, CAST(sum(quantity) AS BIGINT) AS recent_units FROM tx
+  SELECT product_id, CAST(coalesce(sum(quantity), 0) AS BIGINT) AS recent_units FROM tx
   WHERE purchase_date >= (SELECT max(purchase_date) FROM tx) - INTERVAL {lookback} DAY
   GROUP BY product_id
 ), dead AS (
@@ -415,15 +570,16 @@ def q_dead_stock(spark, sf_dir):
 @query(
     "dead_stock_total",
     _dead_sql(180, 100.0)
-    + """SELECT CAST(coalesce(sum(CAST(parked_value AS DECIMAL(38,4))), 0) AS DOUBLE)
+    + """SELECT round(CAST(coalesce(sum(CAST(parked_value AS DECIMAL(38,4))), 0) AS DOUBLE), 2)
          AS total_parked_value,
        count(*) AS products
 FROM dead""",
 )
 def q_dead_stock_total(spark, sf_dir):
-    return X.dead_stock_total(
+    total = X.dead_stock_total(
         X.dead_stock(tpch.transactions(spark, sf_dir), tpch.products(spark, sf_dir), 180)
     )
+    return rounded(total, 2, "total_parked_value")
 
 
 # --------------------------------------------------------------- data quality
@@ -500,6 +656,34 @@ def q_dq_unique_keys(spark, sf_dir):
     )
 
 
+@query(
+    "dq_schema",
+    with_ctes(CUST, PROD)
+    + "".join(
+        f"{'UNION ALL ' if i else ''}SELECT '{t}' AS \"table\", '{c}' AS \"column\", true AS ok,"
+        f" count(*) - count({c}) AS nulls FROM {v} "
+        for i, (t, v, c) in enumerate(
+            [("customers", "cust", c) for c in ("customer_id", "signup_date", "country")]
+            + [
+                ("products", "prod", c)
+                for c in ("product_id", "sku", "category", "unit_price", "margin_pct", "stock_on_hand")
+            ]
+        )
+    ),
+)
+def q_dq_schema(spark, sf_dir):
+    """Q5: every expected column of the dimensions, its type and its nulls."""
+    frames = {"customers": tpch.customers(spark, sf_dir), "products": tpch.products(spark, sf_dir)}
+    types = Q.schema_report(spark, frames).select("table", "column", "ok")
+    nulls = None
+    for name, df in frames.items():
+        counted = df.agg(
+            *(F.count(F.when(F.col(c).isNull(), F.lit(1))).alias(c) for c in df.columns)
+        ).unpivot([F.lit(name).alias("table")], df.columns, "column", "nulls")
+        nulls = counted if nulls is None else nulls.unionByName(counted)
+    return types.join(nulls, ["table", "column"])
+
+
 # ---------------------------------------------------------- invoices, measures
 
 @query(
@@ -507,7 +691,7 @@ def q_dq_unique_keys(spark, sf_dir):
     with_ctes(TX)
     + """SELECT printf('INV-%08d', dense_rank() OVER (ORDER BY customer_id, purchase_date))
          AS invoice_id, customer_id, purchase_date, lines, units
-FROM (SELECT customer_id, purchase_date, count(*) AS lines, CAST(sum(quantity) AS BIGINT) AS units
+FROM (SELECT customer_id, purchase_date, count(*) AS lines, CAST(coalesce(sum(quantity), 0) AS BIGINT) AS units
       FROM tx GROUP BY customer_id, purchase_date)""",
 )
 def q_invoice_ids(spark, sf_dir):

@@ -29,7 +29,7 @@ TX = """tx AS (
 )"""
 
 CUST = """cust AS (
-  SELECT c_custkey AS customer_id, CAST(NULL AS DATE) AS signup_date, n_name AS country
+  SELECT c_custkey AS customer_id, CAST(DATE '1994-01-01' + CAST((c_custkey * 131) % 1500 AS INTEGER) AS DATE) AS signup_date, n_name AS country
   FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
 )"""
 
@@ -68,7 +68,7 @@ def _qscore(col: str, q: str) -> str:
 # linear quartile cut points, right-closed quartile scores, tiers.
 RFM = f"""base AS (
   SELECT customer_id, count(DISTINCT invoice_id) AS frequency,
-         CAST(sum(net_revenue) AS DOUBLE) AS monetary,
+         CAST(coalesce(sum(net_revenue), 0) AS DOUBLE) AS monetary,
          min(purchase_date) AS first_purchase, max(purchase_date) AS last_purchase
   FROM tx GROUP BY customer_id
 ), rb AS (
@@ -97,11 +97,11 @@ RFM = f"""base AS (
 )"""
 
 TIER_SUMMARY = """tsum AS (
-  SELECT tier, customers, CAST(revenue_x AS DOUBLE) AS revenue,
-         CAST(revenue_x AS DOUBLE) / customers AS avg_monetary,
+  SELECT tier, customers, round(CAST(revenue_x AS DOUBLE), 2) AS revenue,
+         round(CAST(revenue_x AS DOUBLE) / customers, 6) AS avg_monetary,
          CAST(frequency_x AS DOUBLE) / customers AS avg_frequency,
          CAST(recency_x AS DOUBLE) / customers AS avg_recency_days,
-         CAST(revenue_x AS DOUBLE) / NULLIF(CAST(sum(revenue_x) OVER () AS DOUBLE), 0)
+         round(CAST(revenue_x AS DOUBLE) / NULLIF(CAST(sum(revenue_x) OVER () AS DOUBLE), 0), 6)
            AS revenue_share,
          CAST(customers AS DOUBLE) / NULLIF(CAST(sum(customers) OVER () AS DOUBLE), 0)
            AS customer_share
@@ -160,5 +160,5 @@ DAILY = """d AS (
 
 TOP_SKUS = """top AS (
   SELECT product_id FROM tx GROUP BY product_id
-  ORDER BY sum(net_revenue) DESC, product_id LIMIT 50
+  ORDER BY coalesce(sum(net_revenue), 0) DESC, product_id LIMIT 50
 )"""

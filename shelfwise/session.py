@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session built here gets. AQE re-plans joins and coalesces
 # shuffle partitions at run time; skew-join splitting handles hot keys.
@@ -65,8 +66,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting one only when none is set.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (distributed) folder
-    and is used as is. Only when it is unset — local runs and tests — a fresh
-    folder under the system temp dir is created and registered.
+    and is used as is. When it is unset, a fresh folder under the system temp
+    dir is created and registered for a ``local`` master only; elsewhere each
+    executor would write to its own disk, so an error names the setting.
     """
     sc = _context(spark)
     current = spark.conf.get("spark.checkpoint.dir", None) or (
@@ -76,6 +78,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return (sc.getCheckpointDir() if sc is not None else None) or current
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local"):
+        raise RuntimeError(
+            f"set spark.checkpoint.dir to a folder that all executors share (master {master!r})"
+        )
     local = tempfile.mkdtemp(prefix="shelfwise-ckpt-", dir=os.environ.get("TMPDIR"))
     spark.conf.set("spark.checkpoint.dir", local)
     if sc is not None:
@@ -84,6 +91,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+_HELD: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Persist a frame that an operator reads more than once, until ``release``."""
+    _HELD.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+def release() -> int:
+    """Unpersist every frame that operators hold; returns how many. A frame
+    used again afterwards is computed again."""
+    n = len(_HELD)
+    while _HELD:
+        _HELD.pop().unpersist()
+    return n
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -17,7 +17,8 @@ transactions       lineitem ⋈ orders on the order key; one row per line
   net_revenue      extended price × (1 − discount), DECIMAL (exact sums)
   profit           net_revenue × margin, DECIMAL
 customers          customer ⋈ nation (25 rows, broadcast): country = n_name;
-                   signup_date is not in the source and stays null
+                   signup_date is not in the source: a stand-in derived
+                   from the key, so that some orders precede it
 products           part: sku 'SKU-%06d', category = p_type, unit_price =
                    p_retailprice, margin and stock derived from the key
 =================  ==========================================================
@@ -48,6 +49,9 @@ MARGIN_MULT = 37
 STOCK_MIN = 5
 STOCK_SPAN = 1995
 STOCK_MULT = 7919
+SIGNUP_FROM = "1994-01-01"
+SIGNUP_SPAN = 1500
+SIGNUP_MULT = 131
 
 
 def margin_pct_points(product_id) -> F.Column:
@@ -59,6 +63,11 @@ def stock_on_hand(product_id) -> F.Column:
     return (F.lit(STOCK_MIN) + (product_id * F.lit(STOCK_MULT)) % F.lit(STOCK_SPAN)).cast("long")
 
 
+def signup_date(customer_id) -> F.Column:
+    days = (customer_id * F.lit(SIGNUP_MULT)) % F.lit(SIGNUP_SPAN)
+    return F.date_add(F.lit(SIGNUP_FROM).cast("date"), days.cast("int"))
+
+
 @dataclass(frozen=True)
 class RetailTables:
     transactions: DataFrame
@@ -81,10 +90,9 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1) - F.col("l_discount").cast("decimal(4,2)")
     )
     margin = (margin_pct_points(F.col("l_partkey")) * F.lit(0.01)).cast("decimal(4,2)")
-    # Both sides grow with the data, so this is a sort-merge join at scale;
-    # the hint keeps that plan at small scale too, where it also spreads the
-    # per-line work over all shuffle partitions instead of the scan tasks.
-    tx = li.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"), "inner").select(
+    # Both sides grow with the data: Spark picks sort-merge at scale and, by
+    # size, a broadcast of the orders where a filter or a small table allows.
+    tx = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "inner").select(
         padded_id("INV-", "l_orderkey", 8).alias("invoice_id"),
         F.col("l_orderkey").alias("invoice_no"),
         F.col("o_custkey").alias("customer_id"),
@@ -107,7 +115,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left"
     ).select(
         F.col("c_custkey").alias("customer_id"),
-        F.lit(None).cast("date").alias("signup_date"),
+        signup_date(F.col("c_custkey")).alias("signup_date"),
         F.col("n_name").alias("country"),
     )
 

@@ -91,3 +91,40 @@ def test_summary_margin_and_preview(make_tx):
     assert abs(s.margin_pct - 25.0) < 1e-9
     assert [r.net_revenue for r in D.preview(tx, 2, "purchase_ts").collect()] == [1.0, 2.0]
     assert [r.net_revenue for r in D.preview(tx, 2, "purchase_ts", last=True).collect()] == [4.0, 5.0]
+
+
+def test_a_product_without_revenue_never_ranks_first(spark, make_tx, make_products):
+    from pyspark.sql import functions as F
+
+    from shelfwise.operators import forecast as FC
+
+    tx = make_tx([sale("a", 1, 1, "2023-01-01"), sale("b", 1, 2, "2023-01-01")])
+    tx = tx.withColumns(
+        {c: F.when(F.col("product_id") != 2, F.col(c)) for c in ("net_revenue", "profit")}
+    )
+    prod = make_products([(1, "S1", "A", 2.0, 0.3, 1), (2, "S2", "B", 2.0, 0.3, 1)])
+    assert FC.top_skus_by_revenue(tx, 1).first().product_id == 1
+    top = D.top_products(tx, 2, prod).collect()
+    assert [(r.product_id, r.revenue) for r in top] == [(1, 10.0), (2, 0.0)]
+    by_category = D.category_join_rollup(tx, prod).collect()
+    assert [(r.category, r.rev, r.profit) for r in by_category] == [("A", 10.0, 5.0), ("B", 0.0, 0.0)]
+
+
+def test_hot_keys_are_summed_before_the_dimension_join(spark):
+    """With broadcast off, what is shuffled to the join is one row per key."""
+    from shelfwise.plans import inspect as P
+    from shelfwise.sources import tpch
+    from tests.conftest import SF_SMALL
+
+    t = tpch.retail_tables(spark, SF_SMALL)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for q in (D.revenue_by_country(t.transactions, t.customers), D.top_products(t.transactions, 5, t.products)):
+            plan = P.formatted_plan(q)
+            assert "partial_sum" in plan
+        by_hand = D.revenue_by_country(
+            t.transactions.join(t.customers.select("customer_id", "country"), "customer_id", "left")
+        ).collect()
+        assert D.revenue_by_country(t.transactions, t.customers).collect() == by_hand
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from shelfwise.plans.catalog import ORACLE, QUERIES
 from tests.conftest import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -32,7 +33,7 @@ def _canon(rows, cols):
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
-FAST = sorted(E.oracle_sql())  # every query with oracle SQL, at sf0.001
+FAST = sorted(ORACLE)  # every query with oracle SQL, at sf0.001
 
 
 @pytest.fixture(scope="module")
@@ -45,8 +46,8 @@ def duck():
 
 @pytest.mark.parametrize("name", FAST)
 def test_oracle_agrees(spark, duck, name):
-    df = E.queries()[name](spark, SF_SMALL)
-    res = duck.execute(E.oracle_sql()[name])
+    df = QUERIES[name](spark, SF_SMALL)
+    res = duck.execute(ORACLE[name])
     dcols = [c[0] for c in res.description]
     assert sorted(df.columns) == sorted(dcols)
     assert _canon([tuple(r) for r in df.collect()], df.columns) == _canon(res.fetchall(), dcols)

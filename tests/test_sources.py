@@ -112,3 +112,28 @@ def test_default_paths_from_session_setting(spark, make_tx):
         spark.conf.unset(DATA_DIR_CONF)
     with pytest.raises(ValueError):
         lt(spark)
+
+
+def test_checkpoint_folder_must_be_named_off_local_masters(spark, monkeypatch):
+    import pytest as _pytest
+
+    from shelfwise import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    class Fake:
+        conf = Conf()
+
+    monkeypatch.setattr(session, "_context", lambda s: None)
+    with _pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Fake())
+
+
+def test_held_frames_are_released(spark):
+    from shelfwise.session import hold, release
+
+    df = hold(spark.range(5))
+    assert df.count() == 5 and df.is_cached
+    assert release() >= 1 and not df.is_cached
