@@ -163,12 +163,10 @@ def learn(
         ),
         "chosen",
     )
-    texts = stage(
-        docs.join(chosen, F.col(id_col) == F.col("labelled")).select(
-            "labelled", "y", "rows", "for_dictionary", F.coalesce(F.col(text_col), F.lit("")).alias("text")
-        ),
-        "sample",
+    narrow = docs.select(
+        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
+    texts = stage(narrow.join(chosen, F.col("id") == F.col("labelled")).drop("id"), "sample")
     # Bounded by the parameters: a slice of each text of the dictionary's sample,
     # wide enough for its share, then two numbers a row.
     width = 8 * max(200, dictionary_bytes // rows_per_class)

@@ -157,15 +157,24 @@ def _mentions(text: Column, seeds: Column) -> Column:
             left = word(F.btrim(parts[i], F.lit(WHITE_SPACE)), True)
             right = word(F.btrim(parts[i + 1], F.lit(WHITE_SPACE)), False)
             start = x["start"] + lead
-            return F.struct(
-                start.alias("start"),
-                (start + F.length(value)).alias("end"),
-                F.lower(value).alias("value"),
-                left.alias("left"),
-                right.alias("right"),
-                F.exists(
-                    seeds, lambda s: (s["start"] < start + F.length(value)) & (s["end"] > start)
-                ).alias("seed"),
+            # A word of a longer seed stands for the whole of it.
+            covering = F.get(
+                F.filter(seeds, lambda s: (s["start"] < start + F.length(value)) & (s["end"] > start)), F.lit(0)
+            )
+            return bind(
+                covering,
+                lambda seed: F.struct(
+                    start.alias("start"),
+                    (start + F.length(value)).alias("end"),
+                    F.lower(
+                        F.when(seed.isNull(), value).otherwise(
+                            text.substr(seed["start"] + 1, seed["end"] - seed["start"])
+                        )
+                    ).alias("value"),
+                    left.alias("left"),
+                    right.alias("right"),
+                    seed.isNotNull().alias("seed"),
+                ),
             )
 
         return F.transform(F.arrays_zip(_starts(parts, found).alias("start"), found.alias("m")), one)

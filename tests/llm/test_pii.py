@@ -1,0 +1,95 @@
+"""Spans against Python's regular expressions, bootstrapping, redaction."""
+
+from __future__ import annotations
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from shelfwise.llm.pii import KINDS, personal_data, redact, span_text
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        n = int(c) * (2 if i % 2 else 1)
+        total += n - 9 if n > 9 else n
+    return total % 10 == 0
+
+
+def valid(kind, m):
+    digits = re.sub("[^0-9]", "", m)
+    return {
+        "email": True,
+        "ip": all(int(p) <= 255 for p in m.split(".")) if kind == "ip" else False,
+        "card": 13 <= len(digits) <= 19 and luhn(digits or "1"),
+        "phone": 9 <= len(digits) <= 15,
+    }[kind]
+
+
+def by_hand(text):
+    return ",".join(
+        f"{k}:{m.start()}:{m.end()}"
+        for k, p in PLAIN.items()
+        for m in re.finditer(p, text or "")
+        if valid(k, m.group())
+    )
+
+
+def spans(docs):
+    base = {k: k for k in KINDS}
+    return personal_data(docs).select(
+        "doc_id", span_text(base).alias("base"), span_text(base | {"id": "added"}).alias("all")
+    )
+
+
+def test_base_spans_equal_python(make_docs, given):
+    rng = random.Random(1)
+    bits = [
+        "a", "b.", "@", ".", "-", "+", " ", "  ", "1", "23", "4.5", "255", "4111111111111111", "(", ")", "é",
+        "_", "%", "\n", "a@b.c", "1.2.3.4", "+1 (743) 555-3824", "x@y.zz.", "4111-1111 1111 1111", "😀",
+    ]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    texts += [r[1] for r in given["documents"]]
+    texts += [None, "", "1 " * 3000, "a@" + "b." * 3000 + "c", "7" * 5000, "1.2.3.4 " * 300, "+" + "1" * 5000]
+    got = {r.doc_id: r.base for r in spans(make_docs(texts)).collect()}
+    wrong = [i for i, t in enumerate(texts) if got[i] != by_hand(t)]
+    assert not wrong, texts[wrong[0]][:200]
+
+
+def test_contexts_of_seeds_find_unseen_identifiers(make_docs):
+    rng = random.Random(2)
+    number = lambda: f"+1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}"
+    texts = [f"please call me at {number()} or write" for _ in range(20)]
+    texts.append("please call me at 743-555-3824x7 or write")  # no base pattern
+    texts.append("the year 1998 and 3 apples, room 12345678 of")  # no trusted pattern
+    texts.append("call me at 12 or write")  # not like an identifier
+    got = {r.doc_id: (r.base, r["all"]) for r in spans(make_docs(texts)).collect()}
+    at = texts[20].index("743")
+    assert got[20] == ("", f"id:{at}:{at + len('743-555-3824x7')}")
+    assert got[21] == ("", "") and got[22] == ("", "")
+    assert all(got[i][0] == got[i][1] for i in range(20))
+    clean = {r.doc_id: r.text for r in redact(make_docs(texts)).collect()}
+    assert clean[20] == "please call me at <ID> or write" and clean[21] == texts[21]
+    assert clean[0] == "please call me at <PHONE> or write"
+
+
+def test_awkward_rows_and_redaction(awkward, make_docs):
+    assert [r["all"] for r in spans(awkward).collect()] == [""] * 8
+    same = redact(awkward)
+    assert same.columns == awkward.columns
+    assert sorted(map(str, same.collect())) == sorted(map(str, awkward.collect()))
+    texts = ["to a@b.cc and 10.0.0.1", "to a@b.cc and 10.0.0.1", "card 4111 1111 1111 1111 no 4111 1111 1111 1112", None]
+    out = redact(make_docs(texts, [1, 1, None, 2], clash=True)).withColumn("n", F.length("text"))
+    assert sorted(str(r.text) for r in out.collect()) == [
+        "None", "card <CARD> no 4111 1111 1111 1112", "to <EMAIL> and <IP>", "to <EMAIL> and <IP>",
+    ]
+    assert spans(make_docs([])).count() == 0 and redact(make_docs([])).count() == 0
