@@ -457,9 +457,33 @@ def fixed_parameter_fit(
     )
 
 
+STATE_SCHEMA = "product_id long, days int, level double, trend double, sse double, demand double"
+
+
+def fixed_parameter_state(
+    df: DataFrame, alpha: float = 0.3, beta: float = 0.05, gamma: float = 0.1,
+    horizon_days: int = 14, ids: DataFrame | None = None,
+) -> DataFrame:
+    """F3 with given α, β, γ: one row per product, the state after its last
+    day, the sum of squared one-step errors and the demand ahead (unclipped)."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        series = _dense(g)
+        if not series:
+            return pd.DataFrame({c.split()[0]: [] for c in STATE_SCHEMA.split(", ")})
+        _, fit = run_fixed([y for _, _, y in series], alpha, beta, gamma, SEASON)
+        return pd.DataFrame({
+            "product_id": [p for p, _, _ in series], "days": fit.n.astype("int32"),
+            "level": fit.level, "trend": fit.trend, "sse": fit.sse,
+            "demand": fit.forecast(horizon_days).sum(axis=1),
+        })
+
+    return _batched(daily_sales(df, ids)).groupBy("batch").applyInPandas(run, STATE_SCHEMA)
+
+
 __all__ = [
     "top_skus_by_revenue", "top_skus_with_labels", "daily_sales", "daily_units", "densify",
     "forecast_rows", "forecast_rows_from", "mean_forecast_rows", "forecast_many", "forecast_product",
     "forecasts", "backtest", "forecast_accuracy", "history_and_forecast",
-    "fixed_parameter_fit",
+    "fixed_parameter_fit", "fixed_parameter_state",
 ]

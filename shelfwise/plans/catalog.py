@@ -385,6 +385,45 @@ def q_hw_fixed_params(spark, sf_dir):
     return FC.fixed_parameter_fit(tpch.transactions(spark, sf_dir), 0.3, 0.05, 0.1)
 
 
+# The recursion as a fold over each product's list of days: the state is level,
+# trend, the seven seasonal values (the next day's first) and the squared errors.
+HW_FOLD = """, lists AS (
+  SELECT product_id, list(CAST(y AS DOUBLE) ORDER BY ds) AS ys FROM dense GROUP BY 1
+), start AS (
+  SELECT *, len(ys) AS n, len(ys) >= 14 AS seasonal, list_sum(ys[1:7]) / 7 AS first,
+         (list_sum(ys[8:14]) / 7 - list_sum(ys[1:7]) / 7) / 7 AS slope FROM lists
+), init AS (
+  SELECT product_id, ys, n, CASE WHEN seasonal THEN 0.1 ELSE 0 END AS g,
+         CASE WHEN seasonal THEN {'l': first - slope * 4, 'b': slope,
+                's': [ys[i + 1] - (first + slope * (i - 3)) FOR i IN range(7)], 'q': 0.0::DOUBLE, 'y': 0.0::DOUBLE}
+              ELSE {'l': ys[1] - (CASE WHEN n > 1 THEN ys[2] - ys[1] ELSE 0 END),
+                'b': CASE WHEN n > 1 THEN ys[2] - ys[1] ELSE 0 END,
+                's': [0.0::DOUBLE FOR i IN range(7)], 'q': 0.0::DOUBLE, 'y': 0.0::DOUBLE} END AS st
+  FROM start
+), fold AS (
+  SELECT product_id, n, list_reduce(
+    [{'l': g, 'b': 0.0::DOUBLE, 's': []::DOUBLE[], 'q': 0.0::DOUBLE, 'y': v} FOR v IN ys],
+    lambda a, x: {
+      'l': 0.3 * ((x.y - (a.l + a.b)) - a.s[1]) + (a.l + a.b),
+      'b': a.b + 0.3 * 0.05 * ((x.y - (a.l + a.b)) - a.s[1]),
+      's': list_append(a.s[2:7], a.s[1] + x.l * ((x.y - (a.l + a.b)) - a.s[1])),
+      'q': a.q + ((x.y - (a.l + a.b)) - a.s[1]) * ((x.y - (a.l + a.b)) - a.s[1]),
+      'y': 0.0::DOUBLE},
+    st) AS f
+  FROM init
+)
+SELECT product_id, CAST(n AS INTEGER) AS days, round(f.l, 6) AS level, round(f.b, 6) AS trend,
+       round(f.q, 3) AS sse, round(14 * f.l + 105 * f.b + 2 * list_sum(f.s), 6) AS demand
+FROM fold"""
+
+
+@query("hw_fixed_state", with_ctes(TX, DAILY) + HW_FOLD)
+def q_hw_fixed_state(spark, sf_dir):
+    """the state each product's recursion ends in, and what lies ahead."""
+    got = FC.fixed_parameter_state(tpch.transactions(spark, sf_dir), 0.3, 0.05, 0.1, 14)
+    return rounded(rounded(got, 6, "level", "trend", "demand"), 3, "sse")
+
+
 def _forecast_rows(spark, sf_dir, horizon=30):
     return FC.forecast_rows(tpch.transactions(spark, sf_dir), None, horizon, 30)
 

@@ -39,7 +39,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.measures import padded_id
-from shelfwise.sources.tables import with_calendar
+from shelfwise.sources.schemas import CUSTOMERS_SCHEMA, PRODUCTS_SCHEMA, TRANSACTIONS_SCHEMA
+from shelfwise.sources.tables import check_schema, with_calendar
 
 # Fixed values of the stand-in product attributes (ranges follow the retail
 # generator: margin 5–75 %, stock 5–1999 units).
@@ -104,6 +105,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         net.alias("net_revenue"),
         (net * margin).alias("profit"),
     )
+    check_schema(tx, TRANSACTIONS_SCHEMA, "transactions")
     return with_calendar(tx)
 
 
@@ -111,20 +113,22 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = spark.read.parquet(_path(sf_dir, "customer")).select("c_custkey", "c_nationkey")
     # nation is a fixed 25-row dimension: a broadcast with a proven size bound.
     nation = spark.read.parquet(_path(sf_dir, "nation")).select("n_nationkey", "n_name")
-    return cust.join(
+    out = cust.join(
         F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left"
     ).select(
         F.col("c_custkey").alias("customer_id"),
         signup_date(F.col("c_custkey")).alias("signup_date"),
         F.col("n_name").alias("country"),
     )
+    check_schema(out, CUSTOMERS_SCHEMA, "customers")
+    return out
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(_path(sf_dir, "part")).select(
         "p_partkey", "p_type", "p_retailprice"
     )
-    return part.select(
+    out = part.select(
         F.col("p_partkey").alias("product_id"),
         padded_id("SKU-", "p_partkey", 6).alias("sku"),
         F.col("p_type").alias("category"),
@@ -132,6 +136,8 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         (margin_pct_points(F.col("p_partkey")) / F.lit(100.0)).alias("margin_pct"),
         stock_on_hand(F.col("p_partkey")).alias("stock_on_hand"),
     )
+    check_schema(out, PRODUCTS_SCHEMA, "products")
+    return out
 
 
 def retail_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
