@@ -178,40 +178,41 @@ def quantiles(
         ).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(ps)
                 for c, ps in probs.items()}
+    if method not in ("linear", "nearest"):
+        raise ValueError(f"unknown method {method!r}")
+    linear, nearest = both_quantiles(df, probs, stats)
+    return linear if method == "linear" else nearest
+
+
+def both_quantiles(
+    df: DataFrame,
+    probs: dict[str, list[float]],
+    stats: dict[str, tuple[int, float, float]] | None = None,
+) -> tuple[dict[str, list[float | None]], dict[str, list[float | None]]]:
+    """Exact quantiles per column by interpolation and by nearest rank, in the
+    same rounds: the nearest rank is one of the two that interpolation needs."""
     if stats is None or any(c not in stats for c in probs):
         stats = column_stats(df, list(probs))
-    wanted: dict[str, list[int]] = {}
-    for c, ps in probs.items():
-        n = stats[c][0]
-        if n == 0:
-            continue
-        ks = []
-        for p in ps:
-            if method == "linear":
-                lo, hi, _ = _linear_ranks(n, p)
-                ks += [lo, hi]
-            elif method == "nearest":
-                ks.append(nearest_rank(n, p))
-            else:
-                raise ValueError(f"unknown method {method!r}")
-        wanted[c] = ks
+    wanted: dict[str, list[int]] = {
+        c: [k for p in ps for k in _linear_ranks(stats[c][0], p)[:2]]
+        for c, ps in probs.items()
+        if stats[c][0]
+    }
     values = order_statistics(df, wanted, stats) if wanted else {}
-    out: dict[str, list[float | None]] = {}
+    linear: dict[str, list[float | None]] = {}
+    nearest: dict[str, list[float | None]] = {}
     for c, ps in probs.items():
-        n = stats[c][0]
-        if n == 0:
-            out[c] = [None] * len(ps)
-            continue
-        v = values[c]
-        res = []
+        linear[c], nearest[c] = [], []
         for p in ps:
-            if method == "linear":
-                lo, hi, d = _linear_ranks(n, p)
-                res.append(v[lo] if lo == hi else v[lo] + (v[hi] - v[lo]) * d)
-            else:
-                res.append(v[nearest_rank(n, p)])
-        out[c] = res
-    return out
+            if c not in values:
+                linear[c].append(None)
+                nearest[c].append(None)
+                continue
+            v, n = values[c], stats[c][0]
+            lo, hi, d = _linear_ranks(n, p)
+            linear[c].append(v[lo] if lo == hi else v[lo] + (v[hi] - v[lo]) * d)
+            nearest[c].append(v[nearest_rank(n, p)])
+    return linear, nearest
 
 
 def quartile_score(col: str | Column, breaks: list[float | None]) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.measures import as_double, money_sum, order_key, safe_div
-from shelfwise.functions.stats import column_stats, quantiles, quartile_score
+from shelfwise.functions.stats import both_quantiles, column_stats, quantiles, quartile_score
 from shelfwise.session import hold
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -85,8 +85,11 @@ def compute_rfm(
             ref_date = base.agg(F.max("last_purchase")).first()[0]
         elif stats["_neg_lp"][1] is not None:
             ref_date = EPOCH + timedelta(days=int(-stats["_neg_lp"][1]))
-    q = quantiles(base, {c: QUARTILES for c in cols}, approx_accuracy=approx_accuracy,
-                  stats=stats)
+    probs = {c: QUARTILES for c in cols}
+    if approx_accuracy:
+        q, nearest = quantiles(base, probs, approx_accuracy=approx_accuracy), None
+    else:
+        q, nearest = both_quantiles(base, probs, stats)
     if ref_date is None:  # empty input
         rec, rec_q = F.lit(None).cast("int"), [None] * 3
     else:
@@ -103,7 +106,10 @@ def compute_rfm(
     scored = scored.withColumn(
         "rfm_score", (F.col("r_score") + F.col("f_score") + F.col("m_score")).cast("int")
     ).withColumn("tier", tier_of())
-    return scored.select(*RFM_COLUMNS)
+    out = scored.select(*RFM_COLUMNS)
+    if nearest is not None:  # ``at_risk_customers`` need not select them again
+        out.monetary_ranks = dict(zip(QUARTILES, nearest["monetary"], strict=True))
+    return out
 
 
 def tier_summary(rfm: DataFrame) -> DataFrame:
@@ -142,9 +148,13 @@ def at_risk_customers(
     """Customers quiet for at least the threshold whose monetary value is
     at or above the given percentile of *all* customers ('nearest' rank);
     monetary descending."""
-    thr = quantiles(
-        rfm, {"monetary": [min_monetary_percentile]}, "nearest", approx_accuracy
-    )["monetary"][0]
+    known = getattr(rfm, "monetary_ranks", {}) if not approx_accuracy else {}
+    if min_monetary_percentile in known:
+        thr = known[min_monetary_percentile]
+    else:
+        thr = quantiles(
+            rfm, {"monetary": [min_monetary_percentile]}, "nearest", approx_accuracy
+        )["monetary"][0]
     if thr is None:
         return rfm.limit(0)
     return rfm.filter(
