@@ -95,11 +95,14 @@ def count_tokens(
         .write.mode("append")
         .parquet(cache_path)
     )
-    counts = (
+    # Staged, so that the join below stands on plain shuffles, which Spark can
+    # split where very many rows share a text.
+    counts = stage(
         read_cache(spark, cache_path)
         .filter(F.col("tokenizer") == version)
         .groupBy("digest")
-        .agg(F.max("n_tokens").alias("n_tokens"))
+        .agg(F.max("n_tokens").alias("n_tokens")),
+        "counts",
     )
     return rows.join(counts, "digest").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
