@@ -210,3 +210,64 @@ def clean_documents(
     hits = contamination(docs, benchmark, id_col=id_col, text_col=text_col)
     found, same = _keyed(docs, hits, id_col, text_col)
     return docs.join(found, same, "left_anti")
+
+
+def oracle_sql(min_share: float = 0.5, min_windows: int = 6) -> str:
+    """DuckDB SQL for ``contamination_report`` (items comma-joined) over tables
+    ``documents`` and ``benchmark``. Look-behinds are written as groups applied
+    twice, as a match may take the character that the next one needs."""
+    name = r"'([\p{L}\p{N},;:] )(\p{Lu}\p{Ll})', '\1' || chr(1) || '\2', 'g')"
+    point = r"'(\p{N})\.(\p{N})', '\1' || chr(4) || '\2', 'g')"
+    comma = r"'(\p{N}),(\p{N})', '\1' || chr(5) || '\2', 'g')"
+    text = "coalesce(text, '')"
+    for step in (name, point, comma):
+        text = f"regexp_replace(regexp_replace({text}, {step}, {step}"
+    plain = rf"regexp_replace({text}, '[^\p{{L}}\p{{N}}\p{{M}}\x01\x04\x05]+', ' ', 'g')"
+    plain = f"trim(lower(replace(replace({plain}, chr(4), '.'), chr(5), ',')))"
+    units = ", ".join(f"'{u}'" for u in UNITS)
+
+    def windows(table: str, key: str) -> str:
+        return f"""{table}_p AS (SELECT {key} AS id, hash(text) AS th, {plain} AS t FROM {table}),
+{table}_s AS (SELECT id, th, CASE WHEN t = '' THEN [] ELSE string_split(t, ' ') END AS w FROM {table}_p),
+{table}_w AS (
+  SELECT id, th, [CASE WHEN i > 1 AND w[i] IN ({units}) AND regexp_matches(w[i - 1], '[0-9]$')
+                       THEN chr(3) || w[i] ELSE w[i] END FOR i IN range(1, len(w) + 1)] AS w
+  FROM {table}_s
+), {table}_t AS (
+  SELECT *, [CASE WHEN unicode(x) > 57 THEN x WHEN unicode(x) = 1 THEN chr(1) WHEN unicode(x) = 3 THEN chr(3)
+                  ELSE chr(2) END FOR x IN w] AS tpl FROM {table}_w
+)"""
+
+    def spread(table: str, width: str, source: str) -> str:
+        return f"""SELECT id, th, {width} AS width, unnest(
+    [{{'h': array_to_string(tpl[i:i + {width} - 1], ' '), 'at': i - 1,
+       'slots': list_filter(w[i:i + {width} - 1], lambda x: unicode(x) <= 57)}}
+     FOR i IN range(1, len(w) - {width} + 2)]) AS x FROM {source}"""
+
+    alignment = "id, th, item, shift"
+    same = " AND ".join(f"m.{c} IS NOT DISTINCT FROM c.{c}" for c in alignment.split(", "))
+    return f"""WITH {windows("documents", "doc_id")}, {windows("benchmark", "item_id")},
+bi AS ({spread("benchmark", f"least(len(w), {WINDOW})", "benchmark_t WHERE id IS NOT NULL AND len(w) > 0")}),
+bu AS (
+  SELECT DISTINCT id AS item, width, x.h AS h, x.at AS item_at, x.slots AS item_slots FROM bi
+  WHERE width - len(x.slots) >= least({MIN_PLAIN}, width)
+), bn AS (SELECT item, count(DISTINCT item_at) AS n_windows FROM bu GROUP BY item),
+widths AS (SELECT DISTINCT width AS k FROM bu),
+dw AS ({spread("documents", "k", "documents_t, widths WHERE len(w) >= k")}),
+met AS (
+  SELECT DISTINCT d.id, d.th, b.item, n_windows, item_at, d.x.at - item_at AS shift, d.x.slots AS slots, item_slots
+  FROM dw d JOIN bu b ON d.x.h = b.h AND d.width = b.width JOIN bn USING (item)
+), pr AS (
+  SELECT {alignment}, unnest(range(1, len(slots) + 1)) AS i, slots, item_slots FROM met WHERE len(slots) > 0
+), c AS (
+  SELECT {alignment} FROM pr GROUP BY ALL
+  HAVING count(DISTINCT {{'a': item_slots[i], 'b': slots[i]}}) != count(DISTINCT item_slots[i])
+      OR count(DISTINCT {{'a': item_slots[i], 'b': slots[i]}}) != count(DISTINCT slots[i])
+), good AS (SELECT * FROM met m WHERE NOT EXISTS (SELECT 1 FROM c WHERE {same})),
+hits AS (
+  SELECT id, th, item FROM good GROUP BY id, th, item
+  HAVING count(DISTINCT item_at) >= {min_share} * max(n_windows) OR count(DISTINCT item_at) >= {min_windows}
+), per AS (SELECT id, th, list(item ORDER BY item) AS items FROM hits GROUP BY id, th)
+SELECT doc_id, items IS NOT NULL AS contaminated, coalesce(len(items), 0) AS n_items,
+       coalesce(array_to_string(items, ','), '') AS items
+FROM documents d LEFT JOIN per ON per.id IS NOT DISTINCT FROM d.doc_id AND per.th = hash(d.text)"""

@@ -318,3 +318,33 @@ def keep_one_of_each(
     found = near_duplicates(docs, percent, id_col=id_col, text_col=text_col, **how)
     gone = stage(found.filter("not kept").select(F.col(id_col).alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+
+
+def oracle_sql(percent: int) -> str:
+    """DuckDB SQL for ``near_duplicates`` over table ``documents``: all pairs
+    that share a shingle, and everything that can be reached from a document."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'),
+                                                '[\\x20\\x09-\\x0D]+'), lambda x: x != '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE
+           WHEN len(w) = 0 THEN []
+           WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+           ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END)) AS g
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT u, v FROM p JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v
+  WHERE 100 * c >= {percent} * (nu.n + nv.n - c)
+), e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (
+  SELECT doc_id, doc_id AS reach FROM documents
+  UNION SELECT r.doc_id, e.v FROM r JOIN e ON r.reach = e.u
+), c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""

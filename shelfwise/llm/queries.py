@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from shelfwise.llm.common import held_out, table
 from shelfwise.llm.compression_quality import learn, score_quality
 from shelfwise.llm.decontaminate import contamination_report
+from shelfwise.llm.decontaminate import oracle_sql as decontamination_sql
 from shelfwise.llm.language_id import identify, learn_profiles
 from shelfwise.llm.minhash_dedup import near_duplicates
+from shelfwise.llm.minhash_dedup import oracle_sql as dedup_sql
 from shelfwise.llm.packing import pack_documents
 from shelfwise.llm.pii import KINDS, personal_data, span_text
 from shelfwise.llm.quality_rules import quality_report
@@ -45,7 +47,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
 def op4_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,5 +113,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_minhash_dedup": dedup_sql(85),
+    "op3_decontamination": decontamination_sql(),
     "op4_url_graph": url_sql(URL_RULES),
 }

@@ -75,3 +75,29 @@ def test_awkward_rows(awkward, items, make_docs, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert clean_documents(some, none).count() == 4
     assert contamination_report(make_docs([]), items).count() == 0
+
+
+def test_sql_agrees_on_slots_and_awkward_texts(make_docs, items):
+    import duckdb
+    import pandas as pd
+
+    from shelfwise.llm.decontaminate import oracle_sql
+
+    asked = ITEM.replace("Alice", "Carol").replace("3", "1,250.5").replace("Bob", "Dave").replace("km", "miles")
+    texts = [
+        asked, asked.replace("1,250.5 of", "9 of"), ITEM.replace("Bob", "Alice"), ITEM, None, "", "Bo Ca Da Ed.",
+        "a very short item", "1.2.3 km, 4.,5 m", f"{ITEM}\n{asked}", "ÉTÉ à Paris, Été",
+    ]
+    ids = [*range(9), None, 10]
+    got = contamination_report(make_docs(texts, ids), items).collect()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "text": pd.array(texts, "string")}))
+    bench = [(r.item_id, r.text) for r in items.collect()]
+    con.register(
+        "benchmark",
+        pd.DataFrame({"item_id": pd.array([i for i, _ in bench], "Int64"), "text": pd.array([t for _, t in bench], "string")}),
+    )
+    want = con.sql(oracle_sql()).fetchall()
+    mine = [(r.doc_id, r.contaminated, r.n_items, ",".join(map(str, r["items"]))) for r in got]
+    assert sorted(map(str, mine)) == sorted(map(str, want))
+    assert sum(r.contaminated for r in got) == 4
