@@ -9,9 +9,16 @@ from shelfwise.llm.common import stage
 
 
 def _star(pairs: DataFrame) -> DataFrame:
-    """(u, v, m) with m the least of u and all v of the same u, each pair once."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("w")).select(
-        F.col("u").alias("of"), F.least("u", "w").alias("m")
+    """(u, v, m) with m the least of u and all v of the same u, each pair once.
+
+    The minima are staged, so that the join stands on plain shuffles, which
+    Spark can split where one node has very many neighbours.
+    """
+    least = stage(
+        pairs.groupBy("u")
+        .agg(F.min("v").alias("w"))
+        .select(F.col("u").alias("of"), F.least("u", "w").alias("m")),
+        "least",
     )
     return pairs.join(least, F.col("u") == F.col("of")).select("u", "v", "m")
 
