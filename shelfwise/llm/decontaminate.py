@@ -12,7 +12,8 @@ alignment is dropped.
 A document is contaminated by an item if consistent alignments cover half of
 the item's windows, or six of them (13 words in a row). A window with fewer
 than four plain words is no evidence. Items shorter than eight words are one
-window of their length.
+window of their length. An item is read twice where its first word would be a
+slot after a word or a number; each reading has alignments of its own.
 
 Edge cases: null and empty texts are never contaminated; items that are null
 or hold no window with enough plain words are skipped; repeated rows get equal
@@ -100,20 +101,35 @@ def _windows(words: Column, width: int) -> Column:
     )
 
 
+def _readings(text: Column) -> Column:
+    """The words of an item as it stands and, if they differ, after a word.
+
+    What precedes an item in a document decides whether its first word is a
+    slot there: a capital after a word is a name, a unit after a number a unit.
+    """
+    after = words(F.concat(F.lit("1 "), F.btrim(F.coalesce(text, F.lit("")))))
+    return bind(after, lambda w: F.array_distinct(F.array(words(text), F.slice(w, F.lit(2), F.size(w)))))
+
+
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(item, n_windows, hash, item_at, item_slots, width)`` with enough plain words."""
-    split = benchmark.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w"))
+    """``(item, n_windows, reading, hash, item_at, item_slots, width)`` with enough plain words."""
+    split = benchmark.select(
+        F.col(id_col).alias("item"), F.posexplode(_readings(F.col(text_col))).alias("reading", "w")
+    )
     split = split.filter(F.col("item").isNotNull() & (F.size("w") > 0))
     sized = split.withColumn("width", F.least(F.size("w"), F.lit(WINDOW)))
     by_width = F.lit(None)
     for width in range(1, WINDOW + 1):
         by_width = F.when(F.col("width") == width, _windows(F.col("w"), width)).otherwise(by_width)
-    found = sized.select("item", "width", F.explode(by_width).alias("x")).select("item", "width", "x.*")
+    found = sized.select("item", "reading", "width", F.explode(by_width).alias("x")).select(
+        "item", "reading", "width", "x.*"
+    )
     plain = F.col("width") - F.coalesce(F.size("slots"), F.lit(0))
     usable = found.filter(plain >= F.least(F.lit(MIN_PLAIN), F.col("width"))).distinct()
     sizes = usable.groupBy(F.col("item").alias("of")).agg(F.countDistinct("at").alias("n_windows"))
     return usable.join(sizes, F.col("item") == F.col("of")).select(
-        "item", "n_windows", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "width"
+        "item", "n_windows", "reading", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"),
+        "width",
     )
 
 
@@ -147,13 +163,13 @@ def contamination(
     met = stage(
         meetings(docs, items, id_col, text_col)
         .select(
-            "id", "text_hash", "item", "n_windows", "item_at",
+            "id", "text_hash", "item", "n_windows", "reading", "item_at",
             (F.col("at") - F.col("item_at")).alias("shift"), "slots", "item_slots",
         )
         .distinct(),
         "meetings",
     )
-    alignment = ["id", "text_hash", "item", "shift"]
+    alignment = ["id", "text_hash", "item", "reading", "shift"]
     # Slots of a type map one to one along an alignment, or it is dropped. The
     # type is the value's first character, digits being numbers.
     slot_pairs = met.filter(F.col("slots").isNotNull()).select(

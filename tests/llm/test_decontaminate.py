@@ -101,3 +101,20 @@ def test_sql_agrees_on_slots_and_awkward_texts(make_docs, items):
     mine = [(r.doc_id, r.contaminated, r.n_items, ",".join(map(str, r["items"]))) for r in got]
     assert sorted(map(str, mine)) == sorted(map(str, want))
     assert sum(r.contaminated for r in got) == 4
+
+
+def test_an_item_after_a_word_is_found_though_its_first_capital_becomes_a_name(spark, make_docs):
+    eight, short, unit = "Tom buys five red apples at the market", "Anna likes green tea here", "minutes pass slowly here today"
+    bench = spark.createDataFrame([(1, eight), (2, short), (3, unit)], "item_id long, text string")
+    texts = [
+        f"they said {eight} today", f"so {short}.", f"after 5 {unit}", f"x. {eight}", f"x. {short}", f"x {unit}",
+        "they said Tom buys", f"they said {eight.replace('Tom', 'Carl')}",
+    ]
+    got = {r.doc_id: r["items"] for r in contamination_report(make_docs(texts), bench).collect()}
+    assert got == {0: [1], 1: [2], 2: [3], 3: [1], 4: [2], 5: [3], 6: [], 7: [1]}
+
+
+def test_a_second_reading_takes_no_windows_from_the_first(make_docs, items):
+    # Read after a word, Bob stands for Alice at first and Alice for herself later.
+    got = contamination_report(make_docs([f"then {ITEM.replace('Alice bought', 'Bob bought')}"]), items).collect()
+    assert got[0]["items"] == [1]
