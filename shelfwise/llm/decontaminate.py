@@ -16,7 +16,7 @@ window of their length. An item is read twice where its first word would be a
 slot after a word or a number; each reading has alignments of its own.
 
 Edge cases: null and empty texts are never contaminated; items that are null
-or hold no window with enough plain words are skipped; repeated rows get equal
+or hold no word are skipped; repeated rows get equal
 answers and rows with null ids are answered like any other; repeated items
 count once an id; an empty benchmark or empty documents give all-clean or
 empty results; only id and text columns are read, and ``clean_documents``
@@ -79,20 +79,33 @@ def _template(words: Column) -> Column:
 
 
 def _windows(words: Column, width: int) -> Column:
-    """``{hash, at, slots}`` of every window; slots are null if it has none."""
+    """``{hash, at, slots, literal}`` of every window; slots are null if it has none.
+
+    One with too few plain words is literal: its hash is of its slots as well.
+    """
+    enough = min(MIN_PLAIN, width)
 
     def of(words: Column, template: Column, slotted: Column) -> Column:
         def window(at: Column) -> Column:
-            slots = F.when(slotted, F.filter(F.slice(words, at + 1, width), _is_slot))
-            return F.struct(
-                F.xxhash64(F.lit(width), *(template[at + k] for k in range(width))).alias("hash"),
-                at.alias("at"),
-                F.when(F.size(slots) > 0, slots).alias("slots"),
+            typed = F.xxhash64(F.lit(width), *(template[at + k] for k in range(width)))
+
+            def built(slots: Column) -> Column:
+                literal = F.size(slots) > width - enough
+                return F.struct(
+                    F.when(literal, F.xxhash64(typed, slots)).otherwise(typed).alias("hash"),
+                    at.alias("at"),
+                    F.when(F.size(slots) > 0, slots).alias("slots"),
+                    literal.alias("literal"),
+                )
+
+            bare = F.struct(
+                typed.alias("hash"), at.alias("at"), F.lit(None).cast("array<string>").alias("slots"), F.lit(False).alias("literal")
             )
+            return F.when(slotted, bind(F.filter(F.slice(words, at + 1, width), _is_slot), built)).otherwise(bare)
 
         return F.transform(F.sequence(F.lit(0), F.size(words) - width), window)
 
-    none = F.array().cast("array<struct<hash:bigint,at:int,slots:array<string>>>")
+    none = F.array().cast("array<struct<hash:bigint,at:int,slots:array<string>,literal:boolean>>")
     return F.when(F.size(words) < width, none).otherwise(
         bind(
             words,
@@ -112,7 +125,7 @@ def _readings(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(item, n_windows, reading, hash, item_at, item_slots, width)`` with enough plain words."""
+    """The windows of the items with their numbers: of all, and of those with enough plain words."""
     split = benchmark.select(
         F.col(id_col).alias("item"), F.posexplode(_readings(F.col(text_col))).alias("reading", "w")
     )
@@ -124,13 +137,14 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     found = sized.select("item", "reading", "width", F.explode(by_width).alias("x")).select(
         "item", "reading", "width", "x.*"
     )
-    plain = F.col("width") - F.coalesce(F.size("slots"), F.lit(0))
-    usable = found.filter(plain >= F.least(F.lit(MIN_PLAIN), F.col("width"))).distinct()
-    sizes = usable.groupBy(F.col("item").alias("of")).agg(F.countDistinct("at").alias("n_windows"))
-    return usable.join(sizes, F.col("item") == F.col("of")).select(
-        "item", "n_windows", "reading", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"),
-        "width",
+    sizes = found.groupBy(F.col("item").alias("of")).agg(
+        F.countDistinct("at").alias("n_windows"),
+        F.countDistinct(F.when(~F.col("literal"), F.col("at"))).alias("n_plain"),
     )
+    return found.distinct().join(sizes, F.col("item") == F.col("of")).select(
+        "item", "n_windows", "n_plain", "reading", "hash", F.col("at").alias("item_at"),
+        F.col("slots").alias("item_slots"), F.col("literal").alias("item_literal"), "width",
+    )
 
 
 def meetings(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,7 +177,7 @@ def contamination(
     met = stage(
         meetings(docs, items, id_col, text_col)
         .select(
-            "id", "text_hash", "item", "n_windows", "reading", "item_at",
+            "id", "text_hash", "item", "n_windows", "n_plain", "reading", "item_at", "item_literal",
             (F.col("at") - F.col("item_at")).alias("shift"), "slots", "item_slots",
         )
         .distinct(),
@@ -172,7 +186,8 @@ def contamination(
     alignment = ["id", "text_hash", "item", "reading", "shift"]
     # Slots of a type map one to one along an alignment, or it is dropped. The
     # type is the value's first character, digits being numbers.
-    slot_pairs = met.filter(F.col("slots").isNotNull()).select(
+    # Literal windows hold equal slots and need no alignment.
+    slot_pairs = met.filter(F.col("slots").isNotNull() & ~F.col("item_literal")).select(
         *alignment, F.explode(F.arrays_zip("item_slots", "slots")).alias("p")
     )
     clashing = (
@@ -186,11 +201,21 @@ def contamination(
     )
     here, there = met.alias("m"), clashing.alias("c")
     same = [F.col(f"m.{c}").eqNullSafe(F.col(f"c.{c}")) for c in alignment]
-    good = here.join(there, same, "left_anti")
+    good = here.join(there, [*same, ~F.col("m.item_literal")], "left_anti")
+    plain = ~F.col("item_literal")
     hits = (
         good.groupBy("id", "text_hash", "item")
-        .agg(F.countDistinct("item_at").alias("covered"), F.max("n_windows").alias("n_windows"))
-        .filter((F.col("covered") >= min_share * F.col("n_windows")) | (F.col("covered") >= min_windows))
+        .agg(
+            F.countDistinct("item_at").alias("covered"),
+            F.countDistinct(F.when(plain, F.col("item_at"))).alias("covered_plain"),
+            F.max("n_windows").alias("n_windows"),
+            F.max("n_plain").alias("n_plain"),
+        )
+        .filter(
+            (F.col("covered") >= min_share * F.col("n_windows"))
+            | (F.col("covered") >= min_windows)
+            | ((F.col("covered_plain") > 0) & (F.col("covered_plain") >= min_share * F.col("n_plain")))
+        )
         .groupBy("id", "text_hash")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )

@@ -118,3 +118,22 @@ def test_a_second_reading_takes_no_windows_from_the_first(make_docs, items):
     # Read after a word, Bob stands for Alice at first and Alice for herself later.
     got = contamination_report(make_docs([f"then {ITEM.replace('Alice bought', 'Bob bought')}"]), items).collect()
     assert got[0]["items"] == [1]
+
+
+def test_windows_of_few_plain_words_count_if_their_slots_are_equal(spark, make_docs):
+    sums, short, mixed = "What is 12 + 30 * 4 - 7 ?", "Anna likes green tea", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"
+    bench = spark.createDataFrame([(1, sums), (2, short), (3, mixed)], "item_id long, text string")
+    texts = [
+        f"x. {sums} More", f"say {sums}", sums.replace("30", "31"), f"so {short}.", "so Carl likes green tea.",
+        f"x {mixed} y", mixed.replace("8", "80"), mixed.replace("14", "99"),
+    ]
+    got = {r.doc_id: r["items"] for r in contamination_report(make_docs(texts), bench).collect()}
+    assert got == {0: [1], 1: [1], 2: [], 3: [2], 4: [], 5: [3], 6: [], 7: [3]}
+
+
+def test_plain_windows_are_enough_beside_literal_ones(spark, make_docs):
+    item = "the farmer sells many good pears here 1 2 3 4 5 6 7 8 9 10 11 12"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [f"x {item[: item.index(' 4 5')].replace('1 2 3', '7 8 9')} y", f"x {item} y", "x 1 2 3 4 5 6 7 8 y"]
+    got = {r.doc_id: r["items"] for r in contamination_report(make_docs(texts), bench).collect()}
+    assert got == {0: [1], 1: [1], 2: []}
