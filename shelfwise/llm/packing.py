@@ -6,7 +6,10 @@ other is cut. Pieces are dealt to packing tasks by a hash of their key, sorted
 there from long to short, and placed one after another: a piece goes into the
 open bin with the least free space that still holds it. Open bins are found by
 a bitset keyed by free space, and there are at most ``max_open`` of them: when
-one more is needed, the fullest closes first.
+one more is needed, the fullest closes first. A piece opens a bin only if it
+fits in none, so any two bins of a task hold more than one capacity together and
+a task of ``max_open * capacity / 2`` tokens makes about ``max_open`` at most; tasks
+are made no larger, so that no bin closes before the small pieces have come.
 
 Edge cases: a null or empty text is the closing id alone (one piece of length
 1); repeated rows and rows with a null id are packed like any other; an empty
@@ -124,8 +127,9 @@ def pack_documents(
 
     The documents are encoded once, when called; the pieces (numbers only) lie
     in the checkpoint folder. ``pieces_per_task`` sets how many packing tasks
-    there are, in proportion to the pieces; each leaves its last bins partly
-    filled, so fewer tasks waste less.
+    there are, in proportion to the pieces, and ``max_open`` in proportion to
+    the tokens; each leaves its last bins partly filled, so fewer tasks waste
+    less.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -135,7 +139,8 @@ def pack_documents(
     pieces = stage(
         texts.mapInArrow(lambda it: encode_pieces(it, tokenizer_path, capacity), PIECES), "pieces"
     )
-    tasks = 1 + pieces.count() // pieces_per_task
+    size = pieces.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
+    tasks = 1 + max(size.n // pieces_per_task, 2 * size.tokens // (max_open * capacity))
     dealt = pieces.repartition(tasks, "id", "piece", "ids_crc32").sortWithinPartitions(
         F.desc("length"), "id", "piece", "ids_crc32"
     )

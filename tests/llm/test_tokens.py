@@ -110,3 +110,12 @@ def test_best_fit_and_the_fullest_closes_first():
     assert bins.place(5) == (3, 0)  # two are open: bin 2, the fullest, closes
     assert bins.place(1) == (0, 6)  # bin 2 is gone, bin 0 is the fuller one left
     assert list(cut(5, 4)) == [(0, 1), (1, 4)] and list(cut(8, 4)) == [(0, 4), (4, 4)] and list(cut(3, 4)) == [(0, 3)]
+
+
+def test_no_bin_closes_before_the_small_pieces_come(make_docs):
+    # 400 long pieces come first, more than may be open; 400 short ones fill them.
+    docs = make_docs(["word " * 59] * 400 + ["word " * 35] * 400)
+    rows = pack_documents(docs, PATH, capacity=100, max_open=64).collect()
+    total = sum(r.length for r in rows)
+    assert len(rows) == 800
+    assert len({r.sequence_id for r in rows}) <= 1.1 * -(-total // 100)
