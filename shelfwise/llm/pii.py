@@ -203,7 +203,7 @@ def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def accepted_mentions(
     found: DataFrame,
-    rounds: int = 3,
+    max_rounds: int = 50,
     min_support: int = 5,
     min_confidence: float = 0.8,
 ) -> DataFrame:
@@ -212,7 +212,8 @@ def accepted_mentions(
     A pattern is two words to the left, or one word on each side. It is trusted
     if it holds ``min_support`` different known values and these make up
     ``min_confidence`` of its mentions. A value may be accepted if it has at
-    least six characters, three of them digits.
+    least six characters, three of them digits. Known values only grow; rounds
+    end when none is added.
     """
     mentions = stage(
         found.select("id", "text_hash", F.explode("mentions").alias("m")).select("id", "text_hash", "m.*"),
@@ -234,9 +235,9 @@ def accepted_mentions(
     like_id = (F.length(F.regexp_replace("value", "[^a-z0-9]", "")) >= 6) & (
         F.length(F.regexp_replace("value", "[^0-9]", "")) >= 3
     )
-    known = edges.filter("seed").select(F.col("value").alias("known")).distinct()
-    trusted = None
-    for _ in range(rounds):
+    known = stage(edges.filter("seed").select(F.col("value").alias("known")).distinct(), "known")
+    size = known.count()
+    for _ in range(max_rounds):
         scored = edges.join(known, F.col("value") == F.col("known"), "left")
         is_known = F.col("known").isNotNull()
         trusted = (
@@ -251,6 +252,12 @@ def accepted_mentions(
         )
         more = edges.filter(like_id).join(trusted, F.col("pattern") == F.col("trusted"), "left_semi")
         known = stage(known.union(more.select("value")).distinct(), "known")
+        now = known.count()
+        if now == size:
+            break
+        size = now
+    else:
+        raise RuntimeError(f"known values did not settle in {max_rounds} rounds")
     new = mentions.filter(like_id & ~F.col("seed")).join(
         known, F.col("value") == F.col("known"), "left_semi"
     )

@@ -93,3 +93,15 @@ def test_awkward_rows_and_redaction(awkward, make_docs):
         "None", "card <CARD> no 4111 1111 1111 1112", "to <EMAIL> and <IP>", "to <EMAIL> and <IP>",
     ]
     assert spans(make_docs([])).count() == 0 and redact(make_docs([])).count() == 0
+
+
+def test_rounds_go_on_until_nothing_is_added(make_docs):
+    # The values of each step stand in the context of the one before once, in their own often.
+    value = lambda k, j: f"user{j}@mail.example.com" if k == 0 else f"x{k}{j}4711"
+    text = lambda c, v: f"pa{c} qa{c} {v} ra{c} end"
+    texts = []
+    for k, c in enumerate("abcdef"):
+        texts += [text(c, value(k, j)) for j in range(5) for _ in range(8)]
+        texts += [text(c, value(k + 1, j)) for j in range(5)]
+    got = {r.doc_id: r["all"] for r in spans(make_docs(texts)).collect()}
+    assert all(got[i].startswith("id:" if "4711" in t else "email:") for i, t in enumerate(texts))
