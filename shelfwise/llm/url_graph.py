@@ -7,7 +7,8 @@ runs the same walk from all pages, so that a host's score is the share of its
 rank that comes from the seeds. A host is blocked if its distrust share
 reaches the threshold and exceeds its trust share.
 
-Host edges come from absolute links in ``html``; they are counted by (from,
+Host edges come from links in ``html`` that name a host, with a scheme or by
+``//host``; they are counted by (from,
 to) before any join, so a host with very many pages is a few rows. A node
 without links out passes nothing on; walks run a fixed number of rounds, so
 two engines can repeat them.
@@ -31,7 +32,9 @@ from shelfwise.llm.common import stage
 ALLOW, BLOCK = "allow", "block"
 Rule = tuple[str, str]  # verdict, host followed by the path's beginning
 _PARTS = r"(?s)://([^/?#]*)([^?#]*)"
-_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
+_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+# The SQL's pattern, which takes links with a scheme only.
+_SQL_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
 
 
 def _lower(text: Column) -> Column:
@@ -210,7 +213,7 @@ def oracle_sql(rules: list[Rule], threshold: float = 0.5, rounds: int = 20, damp
         return ",\n".join(steps)
 
     lower = "translate({}, '" + string.ascii_uppercase + "', '" + string.ascii_lowercase + "')"
-    link = _LINK.replace("'", "''")
+    link = _SQL_LINK.replace("'", "''")
     return f"""WITH u AS (
   SELECT page_id, html, {lower.format("coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")} AS host,
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path

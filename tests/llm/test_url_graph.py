@@ -102,3 +102,13 @@ def test_no_links_and_empty(spark):
     clash = spark.createDataFrame(rows, PAGES).selectExpr("*", "1 as host", "2 as rule", "3 as n", "4 as src")
     assert judge_urls(clash, URL_RULES).count() == 3
     assert judge_urls(spark.createDataFrame([], PAGES), URL_RULES).count() == 0
+
+
+def test_links_without_a_scheme_name_a_host_too(spark):
+    from shelfwise.llm.url_graph import host_edges
+
+    html = link("//Farm.net/es/1", "//good.org", "/a//b.org", "c//d.org", "https://x.org//y.org/", "#//z.org")
+    edges = host_edges(spark.createDataFrame([(1, "http://p.org/", html)], PAGES)).collect()
+    assert {(e.src, e.dst, e.n) for e in edges} == {
+        ("p.org", "farm.net", 1), ("p.org", "good.org", 1), ("p.org", "x.org", 1),
+    }
