@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.common import held_out, table
 from shelfwise.llm.compression_quality import learn, score_quality
+from shelfwise.llm.conversations import damage, repair_conversations
 from shelfwise.llm.decontaminate import contamination_report
 from shelfwise.llm.decontaminate import oracle_sql as decontamination_sql
+from shelfwise.llm.divergence import audit_sources
+from shelfwise.llm.divergence import oracle_sql as divergence_sql
+from shelfwise.llm.fingerprints import edits_by_next
 from shelfwise.llm.language_id import identify, learn_profiles
 from shelfwise.llm.minhash_dedup import near_duplicates
 from shelfwise.llm.minhash_dedup import oracle_sql as dedup_sql
@@ -99,6 +103,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits_by_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_language_id": op2_language_id,
@@ -110,10 +126,14 @@ QUERIES = {
     "op8_hash_tree": op8_hash_tree,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLE = {
     "op1_minhash_dedup": dedup_sql(85),
     "op3_decontamination": decontamination_sql(),
     "op4_url_graph": url_sql(URL_RULES),
+    "op12_source_divergence": divergence_sql(),
 }

@@ -68,5 +68,5 @@ def test_stages_on_planted_cases(spark, folder):
 
 def test_every_operator_is_registered():
     names = [n for n in E.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert E.queries()["pipeline"] is C.run and C.ORACLE_SQL is None
