@@ -57,23 +57,26 @@ SLICE = 64
 COUNTS = "lang string, source string, term string, n long, docs long"
 
 _TERMS = re.compile(TERM)
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 def terms_of(text: str) -> list[str]:
-    return _TERMS.findall(text.translate(_LOWER) if not text.isascii() else text.lower())
+    return _TERMS.findall(text.encode().lower().decode())  # bytes: A-Z only
 
 
 def _emit(counts: dict[tuple[str, str], tuple[Counter, Counter]]) -> pa.RecordBatch:
-    rows = [
-        (lang, source, term, n, docs[term])
+    # Both counters met each term for the first time in the same order.
+    columns = [
+        (
+            pa.repeat(lang, len(words)),
+            pa.repeat(source, len(words)),
+            pa.array(words.keys(), pa.string(), size=len(words)),
+            pa.array(words.values(), pa.int64(), size=len(words)),
+            pa.array(docs.values(), pa.int64(), size=len(words)),
+        )
         for (lang, source), (words, docs) in counts.items()
-        for term, n in words.items()
     ]
-    columns = zip(*rows, strict=True)
-    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "source", "term", "n", "docs"]
+        [pa.concat_arrays(c) for c in zip(*columns, strict=True)], ["lang", "source", "term", "n", "docs"]
     )
 
 
@@ -87,7 +90,7 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = terms_of(text.as_py())
             before = len(words)
             words.update(found)
-            docs.update(set(found))
+            docs.update(iter(dict.fromkeys(found)))
             held += len(words) - before
             if held >= KEPT_COUNTS:
                 yield _emit(counts)
