@@ -20,9 +20,9 @@ leaves that both share at the front and at the end.
 ``edits_by_next`` compares each document with an edited text (its last quarter
 replaced by the start of the next document, by ascending id) and with that next
 document. Documents are numbered by range partitioning on (id, digest of the
-text), never in one task; trees and numbers decide near_next alone. Texts are
-shuffled once, to their key, and each sends only the start that its predecessor
-asks for, at most a quarter of the predecessor's length.
+text), never in one task. Texts are shuffled once, to their key, and each sends
+to its predecessor its tree and the start that is asked for, at most a quarter
+of the predecessor's length.
 
 Edge cases: a null text is empty; an empty text has no leaves, and two of them
 are alike at 1; rows of one id come by SHA-256 of the text; repeated rows are
@@ -160,14 +160,14 @@ def changed_span(a: Column, b: Column) -> Column:
 
 
 def _in_order(keys: DataFrame) -> tuple[DataFrame, int]:
-    """``keys`` with their place by (id, digest), from 0, and how many there are.
+    """``keys`` with their place by (id, key), from 0, and how many there are.
 
     Ranges are sorted in their tasks and staged, which pins them; the driver
     sees one count for each range.
     """
     numbered = stage(
-        keys.repartitionByRange(F.asc_nulls_first("id"), "digest")
-        .sortWithinPartitions(F.asc_nulls_first("id"), "digest")
+        keys.repartitionByRange(F.asc_nulls_first("id"), "key")
+        .sortWithinPartitions(F.asc_nulls_first("id"), "key")
         .withColumn("number", F.monotonically_increasing_id()),
         "in-order",
     ).withColumn("range", F.shiftright("number", _ROW_BITS))
@@ -184,102 +184,88 @@ def _in_order(keys: DataFrame) -> tuple[DataFrame, int]:
     )
 
 
-def _linked(keyed: DataFrame) -> DataFrame:
-    """Each different (id, digest) with its tree, its copies, its likeness to the
-    next one, and which predecessor wants how much of its start."""
-    trees = keyed.select("id", "digest", F.length("text").cast("long").alias("n"), fingerprint(F.col("text")).alias("tree"))
-    keys = trees.groupBy("id", "digest").agg(
-        F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tree").alias("tree")
+def _links(keyed: DataFrame) -> DataFrame:
+    """Each different (id, text) by key: its copies and length, and how many
+    code points of its start the document before it (``for_key``) wants."""
+    keys = keyed.groupBy("key").agg(
+        F.first("id").alias("id"), F.count("*").alias("copies"), F.first(F.length("text").cast("long")).alias("n")
     )
     placed, total = _in_order(keys)
-    if not total:
-        total = 1
-    following = placed.select(
-        ((F.col("place") + (total - 1)) % total).alias("place"), F.col("tree").alias("next_tree")
-    )
     before = placed.select(
-        ((F.col("place") + 1) % total).alias("place"),
-        F.col("id").alias("for_id"),
-        F.col("digest").alias("for_digest"),
-        F.floor(F.col("n") / 4).cast("int").alias("need"),
+        ((F.col("place") + 1) % max(total, 1)).alias("place"),
+        F.col("key").alias("for_key"),
+        _quarter().alias("need"),
     )
-    return stage(
-        placed.join(following, "place")
-        .join(before, "place")
-        .select(
-            "id", "digest", "copies", "n", "tree",
-            likeness(F.col("tree"), F.col("next_tree")).alias("near_next"),
-            "for_id", "for_digest", "need",
-        ),
-        "links",
-    )
+    return stage(placed.join(before, "place").drop("place"), "links")
 
 
-def edits_by_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, changed_from, changed_to)`` of every document.
+def _quarter() -> Column:
+    return F.expr("cast(n div 4 as int)")
 
-    The last two give the code points of the document's own text that lie in
-    branches changed by the edit. Trees, order and results are staged when called.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(
-        F.col(id_col).alias("id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text")
-    )
-    links = _linked(keyed)
-    # One text for each key, however often its row stands in the table.
-    texts = keyed.groupBy("id", "digest").agg(F.first("text").alias("text"))
-    own = links.withColumnRenamed("id", "own_id").withColumnRenamed("digest", "own_digest")
-    held = texts.join(
-        own, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
-    ).drop("own_id", "own_digest")
-    starts = held.select(
-        F.col("for_id").alias("to_id"), F.col("for_digest").alias("to_digest"), F.expr("left(text, need)").alias("start")
-    )
-    met = held.drop("for_id", "for_digest", "need").join(
-        starts, F.col("id").eqNullSafe(F.col("to_id")) & (F.col("digest") == F.col("to_digest"))
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """The result columns from ``(id, n, text, start, next_tree)``."""
+    edited = F.expr("concat(left(text, cast(n - n div 4 as int)), start)")
+    trees = (
+        rows.withColumns({"tree": fingerprint(F.col("text")), "edited": edited})
+        .drop("text", "start")
+        .withColumn("edited_tree", fingerprint(F.col("edited")))
     )
-    # The last of repeated rows is followed by the next document, the others by
-    # the same text.
-    quarter = F.floor(F.col("n") / 4).cast("int")
-    cases = met.withColumn("quarter", quarter).select(
-        "id", "digest", "n", "tree", "text", "quarter",
-        F.inline(
-            F.filter(
-                F.array(
-                    F.struct(F.lit(1).cast("long").alias("times"), "start", "near_next"),
-                    F.struct(
-                        (F.col("copies") - 1).alias("times"),
-                        F.expr("left(text, quarter)").alias("start"),
-                        F.lit(1.0).alias("near_next"),
-                    ),
-                ),
-                lambda case: case["times"] > 0,
-            )
-        ),
-    )
-    edited = cases.withColumn("edited", F.expr("concat(left(text, cast(n as int) - quarter), start)")).drop("text", "start")
-    compared = edited.withColumn("edited_tree", fingerprint(F.col("edited"))).select(
+    return trees.select(
         "id",
-        "times",
         F.col("n").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint_text(F.col("tree")).alias("fingerprint"),
         fingerprint_text(F.col("edited_tree")).alias("edited_fingerprint"),
         likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"),
-        "near_next",
+        F.coalesce(likeness(F.col("tree"), F.col("next_tree")), F.lit(1.0)).alias("near_next"),
         changed_span(F.col("tree"), F.col("edited_tree")).alias("changed"),
-    )
-    done = stage(
-        compared.withColumns({"changed_from": F.col("changed.start"), "changed_to": F.col("changed.end")}).drop("changed"),
-        "fingerprints",
-    )
-    return done.filter("times = 1").drop("times").unionByName(_repeated(done)).withColumnRenamed("id", id_col)
+        *(c for c in ("times",) if c in rows.columns),
+    ).select(
+        "*", F.col("changed.start").alias("changed_from"), F.col("changed.end").alias("changed_to")
+    ).drop("changed")
+
 
+def edits_by_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    near_edited, near_next, changed_from, changed_to)`` of every document.
 
-def _repeated(done: DataFrame) -> DataFrame:
-    """Rows that stand for several, written out by pieces over all tasks."""
-    pieces = done.filter("times > 1").withColumn(
+    The last two give the code points of the document's own text that lie in
+    branches changed by the edit. The order is found and staged when called.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # The digest has a fixed length, so no two pairs of id and text share a key.
+    key = F.concat(
+        F.coalesce(F.concat(F.lit("#"), F.col(id_col).cast("string")), F.lit("")).cast("binary"),
+        F.unhex(F.sha2(text.cast("binary"), 256)),
+    )
+    keyed = docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text"))
+    links = _links(keyed)
+    # One text for each key, however often its row stands in the table. All
+    # that follows is dealt by this key, so texts move once.
+    texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
+    starts = texts.join(links.select("key", "for_key", "need"), "key").select(
+        F.col("for_key").alias("key"),
+        F.expr("left(text, need)").alias("start"),
+        fingerprint(F.col("text")).alias("next_tree"),
+    )
+    once = texts.join(links.select("key", "id", "n"), "key").join(starts, "key").drop("key")
+    done = _compared(once)
+    repeated = links.filter("copies > 1").select("key", "id", "n", (F.col("copies") - 1).alias("times"))
+    if not repeated.isEmpty():
+        done = done.unionByName(_repeated(texts.join(repeated, "key")))
+    return done.withColumnRenamed("id", id_col)
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Repeated rows that are followed by their like: worked out once for each
+    key, then written out by pieces over all tasks."""
+    alike = rows.select(
+        "id", "n", "times", "text",
+        F.expr("left(text, cast(n div 4 as int))").alias("start"),
+        F.lit(None).cast("struct<root:string,leaves:array<array<array<bigint>>>>").alias("next_tree"),
+    )
+    pieces = stage(_compared(alike), "repeated").withColumn(
         "piece", F.explode(F.expr(f"sequence(0L, (times - 1) div {PIECE})"))
     )
     return (
