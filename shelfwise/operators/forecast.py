@@ -4,10 +4,10 @@ Plan for ``forecast_rows``:
 
 1. daily units per (product, day) — partial + final aggregate; a product
    with a third of all rows still yields one row per day;
-2. a batch key ``product_id div 512`` groups at most 512 products, so a
-   group is bounded by 512 series × days of history, independent of volume;
-3. ``groupBy(batch).applyInPandas`` densifies each series (missing days → 0)
-   and fits all series of the batch together (``functions.holtwinters``):
+2. products are dealt to batches by their measured days of history, so
+   batches cost alike and are bounded in days, independent of volume;
+3. each batch is one partition, where ``mapInPandas`` densifies each series
+   (missing days → 0) and fits all of them together (``functions.holtwinters``):
    a fit on the series minus its last ``test_days`` for the backtest, and a
    fit on the whole series for the forward forecast;
 4. it emits flat rows — backtest steps (actual, prediction) and forecast
@@ -24,11 +24,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.holtwinters import fit_many, run_fixed
+from shelfwise.functions.holtwinters import fit_many, grid_fit, run_fixed
 from shelfwise.functions.measures import money_sum
+from shelfwise.functions.ranking import with_dense_rank
 from shelfwise.session import default_parallelism, hold, ship_package
 
-BATCH_PRODUCTS = 512
+# A batch's days of history at most, beyond one product's, and the products that
+# are worth a batch of their own when cores are idle.
+BATCH_DAYS = 600_000
+BATCH_SMALLEST = 16
 
 # Minimum days of history for a forecast, season length in
 # days, band z for a confidence level of at least 0.95 and below it, and the
@@ -117,27 +121,52 @@ def densify(daily: DataFrame) -> DataFrame:
     )
 
 
-def _batched(daily: DataFrame) -> DataFrame:
-    """Tag each daily row with its batch and hash-partition by batch.
+def product_batches(daily: DataFrame, end_day: int | None = None) -> tuple[DataFrame, int]:
+    """(product_id, batch) of all products, and the number of batches.
 
-    The explicit partition count keeps the Python stage parallel: the daily
-    table is small in bytes, and AQE would otherwise coalesce it into a few
-    partitions, serialising the fits. The grouped UDF then needs no further
-    shuffle (the partitioning already clusters by batch). The package is
-    shipped to the workers first.
+    Cut by measured days of history, since that is what a fit costs: products
+    are ranked by their days and dealt in turn, so every batch gets as many
+    long and short series as the others and none holds more than about
+    ``BATCH_DAYS`` days (one product's history being the least there is). There are
+    batches for all cores even when few days would fill fewer.
     """
-    spark = daily.sparkSession
-    ship_package(spark)
-    # More partitions than cores, so the scheduler can even out batches of
-    # unequal cost (hashing few batch keys into as many partitions as cores
-    # leaves some tasks with twice the average work).
-    n = max(
-        4 * default_parallelism(spark),
-        int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
+    last = F.unix_date(F.max("ds"))
+    if end_day is not None:
+        last = F.greatest(last, F.lit(end_day))
+    spans = hold(
+        daily.groupBy("product_id").agg((last - F.unix_date(F.min("ds")) + 1).cast("long").alias("days"))
+    )
+    size = spans.agg(F.count("*").alias("products"), F.sum("days").alias("days")).first()
+    if not size.products:
+        return spans.select("product_id", F.lit(0).alias("batch")), 1
+    cores = default_parallelism(daily.sparkSession)
+    batches = max(-(-size.days // BATCH_DAYS), min(-(-size.products // BATCH_SMALLEST), 2 * cores))
+    ranked = with_dense_rank(spans, ["days", "product_id"])
+    return ranked.select("product_id", (F.col("rank") % batches).cast("int").alias("batch")), batches
+
+
+def _per_batch(daily: DataFrame, run, schema: str, end_day: int | None = None) -> DataFrame:
+    """``run`` over the daily rows of each batch of products.
+
+    A batch is one partition, named by its number, so that no two batches meet
+    in a task and AQE does not merge them (they are small in bytes, dear in
+    time). The package is shipped to the workers first.
+    """
+    ship_package(daily.sparkSession)
+    daily = hold(daily)
+    batches, n = product_batches(daily, end_day)
+
+    def whole(parts):
+        frames = list(parts)
+        if frames:
+            yield run(pd.concat(frames, ignore_index=True))
+
+    return (
+        daily.join(batches, "product_id")
+        .repartitionById(n, F.col("batch"))
+        .select("product_id", "ds", "y")
+        .mapInPandas(whole, schema)
     )
-    return daily.withColumn(
-        "batch", F.floor(F.col("product_id") / F.lit(BATCH_PRODUCTS)).cast("long")
-    ).repartition(n, "batch")
 
 
 def _dense(g: pd.DataFrame, end_day: int | None = None):
@@ -252,10 +281,8 @@ def forecast_rows_from(
 ) -> DataFrame:
     """``forecast_rows`` over ``daily_sales`` that other branches may share."""
     end_day = None if align_end is None else (align_end - date(1970, 1, 1)).days
-    return _batched(daily).groupBy("batch").applyInPandas(
-        _forecast_batch(horizon_days, test_days, min_history_days, seasonal_periods, end_day),
-        ROWS_SCHEMA,
-    )
+    run = _forecast_batch(horizon_days, test_days, min_history_days, seasonal_periods, end_day)
+    return _per_batch(daily, run, ROWS_SCHEMA, end_day)
 
 
 def mean_forecast_rows(
@@ -452,38 +479,59 @@ def fixed_parameter_fit(
 ) -> DataFrame:
     """F3 with given α, β, γ: the one-step fitted value of every day of every
     product's dense series (product_id, t, ds, y, fitted)."""
-    return _batched(daily_sales(df, ids)).groupBy("batch").applyInPandas(
-        _fixed_batch(alpha, beta, gamma), FIXED_SCHEMA
-    )
+    return _per_batch(daily_sales(df, ids), _fixed_batch(alpha, beta, gamma), FIXED_SCHEMA)
 
 
-STATE_SCHEMA = "product_id long, days int, level double, trend double, sse double, demand double"
+STATE_SCHEMA = (
+    "product_id long, days int, level double, trend double, sse double, sigma double, demand double"
+)
+GRID_SCHEMA = f"{STATE_SCHEMA}, alpha double, beta double, gamma double"
 
 
-def fixed_parameter_state(
-    df: DataFrame, alpha: float = 0.3, beta: float = 0.05, gamma: float = 0.1,
-    horizon_days: int = 14, ids: DataFrame | None = None,
-) -> DataFrame:
-    """F3 with given α, β, γ: one row per product, the state after its last
-    day, the sum of squared one-step errors and the demand ahead (unclipped)."""
+def _states(fit_of, horizon_days: int, schema: str):
+    """A batch function: one row per product with the fit's end state."""
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         series = _dense(g)
         if not series:
-            return pd.DataFrame({c.split()[0]: [] for c in STATE_SCHEMA.split(", ")})
-        _, fit = run_fixed([y for _, _, y in series], alpha, beta, gamma, SEASON)
-        return pd.DataFrame({
+            return pd.DataFrame({c: [] for c in columns})
+        fit = fit_of([y for _, _, y in series])
+        out = pd.DataFrame({
             "product_id": [p for p, _, _ in series], "days": fit.n.astype("int32"),
-            "level": fit.level, "trend": fit.trend, "sse": fit.sse,
+            "level": fit.level, "trend": fit.trend, "sse": fit.sse, "sigma": fit.sigma,
             "demand": fit.forecast(horizon_days).sum(axis=1),
+            "alpha": fit.alpha, "beta": fit.beta, "gamma": fit.gamma,
         })
+        return out[columns]
+
+    return run
+
+
+def fixed_parameter_state(
+    df: DataFrame, alpha: float = 0.3, beta: float = 0.05, gamma: float = 0.1,
+    horizon_days: int = 14, ids: DataFrame | None = None,
+) -> DataFrame:
+    """F3 with given α, β, γ: one row per product, the state after its last
+    day, the sum of squared one-step errors, their population deviation (G9)
+    and the demand ahead (unclipped)."""
+
+    def fit(series):
+        return run_fixed(series, alpha, beta, gamma, SEASON)[1]
+
+    return _per_batch(daily_sales(df, ids), _states(fit, horizon_days, STATE_SCHEMA), STATE_SCHEMA)
+
 
-    return _batched(daily_sales(df, ids)).groupBy("batch").applyInPandas(run, STATE_SCHEMA)
+def grid_fit_state(df: DataFrame, horizon_days: int = 14, ids: DataFrame | None = None) -> DataFrame:
+    """F3 in the form any SQL engine can repeat: per product the cell of the
+    fixed grid of (α, β, γ) with the least squared error, and the state that it
+    ends in, as in ``fixed_parameter_state``."""
+    return _per_batch(daily_sales(df, ids), _states(grid_fit, horizon_days, GRID_SCHEMA), GRID_SCHEMA)
 
 
 __all__ = [
     "top_skus_by_revenue", "top_skus_with_labels", "daily_sales", "daily_units", "densify",
     "forecast_rows", "forecast_rows_from", "mean_forecast_rows", "forecast_many", "forecast_product",
     "forecasts", "backtest", "forecast_accuracy", "history_and_forecast",
-    "fixed_parameter_fit", "fixed_parameter_state",
+    "fixed_parameter_fit", "fixed_parameter_state", "grid_fit_state", "product_batches",
 ]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shelfwise.functions.holtwinters import GRID as HW_GRID
 from shelfwise.operators import cohort as C
 from shelfwise.operators import descriptive as D
 from shelfwise.operators import forecast as FC
@@ -386,42 +387,62 @@ def q_hw_fixed_params(spark, sf_dir):
 
 
 # The recursion as a fold over each product's list of days: the state is level,
-# trend, the seven seasonal values (the next day's first) and the squared errors.
+# trend, the seven seasonal values (the next day's first), the squared errors and
+# the errors. {cells} names the parameters; a list element carries γ, αβ and α.
 HW_FOLD = """, lists AS (
   SELECT product_id, list(CAST(y AS DOUBLE) ORDER BY ds) AS ys FROM dense GROUP BY 1
 ), start AS (
   SELECT *, len(ys) AS n, len(ys) >= 14 AS seasonal, list_sum(ys[1:7]) / 7 AS first,
          (list_sum(ys[8:14]) / 7 - list_sum(ys[1:7]) / 7) / 7 AS slope FROM lists
+), cells AS (
+  SELECT * FROM (VALUES {cells}) AS c(cell, alpha, beta, gamma)
 ), init AS (
-  SELECT product_id, ys, n, CASE WHEN seasonal THEN 0.1 ELSE 0 END AS g,
-         CASE WHEN seasonal THEN {'l': first - slope * 4, 'b': slope,
-                's': [ys[i + 1] - (first + slope * (i - 3)) FOR i IN range(7)], 'q': 0.0::DOUBLE, 'y': 0.0::DOUBLE}
-              ELSE {'l': ys[1] - (CASE WHEN n > 1 THEN ys[2] - ys[1] ELSE 0 END),
+  SELECT product_id, ys, n, cell, alpha, beta, CASE WHEN seasonal THEN gamma ELSE 0 END AS gamma,
+         CASE WHEN seasonal THEN {{'l': first - slope * 4, 'b': slope,
+                's': [ys[i + 1] - (first + slope * (i - 3)) FOR i IN range(7)], 'q': 0.0::DOUBLE, 'y': 0.0::DOUBLE}}
+              ELSE {{'l': ys[1] - (CASE WHEN n > 1 THEN ys[2] - ys[1] ELSE 0 END),
                 'b': CASE WHEN n > 1 THEN ys[2] - ys[1] ELSE 0 END,
-                's': [0.0::DOUBLE FOR i IN range(7)], 'q': 0.0::DOUBLE, 'y': 0.0::DOUBLE} END AS st
-  FROM start
+                's': [0.0::DOUBLE FOR i IN range(7)], 'q': 0.0::DOUBLE, 'y': 0.0::DOUBLE}} END AS st
+  FROM start, cells
 ), fold AS (
-  SELECT product_id, n, list_reduce(
-    [{'l': g, 'b': 0.0::DOUBLE, 's': []::DOUBLE[], 'q': 0.0::DOUBLE, 'y': v} FOR v IN ys],
-    lambda a, x: {
-      'l': 0.3 * ((x.y - (a.l + a.b)) - a.s[1]) + (a.l + a.b),
-      'b': a.b + 0.3 * 0.05 * ((x.y - (a.l + a.b)) - a.s[1]),
+  SELECT product_id, n, cell, alpha, beta, gamma, list_reduce(
+    [{{'l': gamma, 'b': alpha * beta, 's': []::DOUBLE[], 'q': alpha, 'y': v}} FOR v IN ys],
+    lambda a, x: {{
+      'l': x.q * ((x.y - (a.l + a.b)) - a.s[1]) + (a.l + a.b),
+      'b': a.b + x.b * ((x.y - (a.l + a.b)) - a.s[1]),
       's': list_append(a.s[2:7], a.s[1] + x.l * ((x.y - (a.l + a.b)) - a.s[1])),
       'q': a.q + ((x.y - (a.l + a.b)) - a.s[1]) * ((x.y - (a.l + a.b)) - a.s[1]),
-      'y': 0.0::DOUBLE},
+      'y': a.y + ((x.y - (a.l + a.b)) - a.s[1])}},
     st) AS f
   FROM init
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY f.q, cell) AS place FROM fold
 )
 SELECT product_id, CAST(n AS INTEGER) AS days, round(f.l, 6) AS level, round(f.b, 6) AS trend,
-       round(f.q, 3) AS sse, round(14 * f.l + 105 * f.b + 2 * list_sum(f.s), 6) AS demand
-FROM fold"""
+       round(f.q, 3) AS sse, round(sqrt(greatest(f.q / n - (f.y / n) * (f.y / n), 0)), 6) AS sigma,
+       round(14 * f.l + 105 * f.b + 2 * list_sum(f.s), 6) AS demand{more}
+FROM best WHERE place = 1"""
 
 
-@query("hw_fixed_state", with_ctes(TX, DAILY) + HW_FOLD)
+def hw_fold(cells, more: str = "") -> str:
+    values = ", ".join(
+        f"({i}, {a}::DOUBLE, {b}::DOUBLE, {g}::DOUBLE)" for i, (a, b, g) in enumerate(cells)
+    )
+    return with_ctes(TX, DAILY) + HW_FOLD.format(cells=values, more=more)
+
+
+@query("hw_fixed_state", hw_fold([(0.3, 0.05, 0.1)]))
 def q_hw_fixed_state(spark, sf_dir):
-    """the state each product's recursion ends in, and what lies ahead."""
+    """the state each product's recursion ends in, σ, and what lies ahead."""
     got = FC.fixed_parameter_state(tpch.transactions(spark, sf_dir), 0.3, 0.05, 0.1, 14)
-    return rounded(rounded(got, 6, "level", "trend", "demand"), 3, "sse")
+    return rounded(rounded(got, 6, "level", "trend", "sigma", "demand"), 3, "sse")
+
+
+@query("hw_grid_fit", hw_fold(HW_GRID, ",\n       alpha, beta, gamma"))
+def q_hw_grid_fit(spark, sf_dir):
+    """each product's best cell of the fixed grid and the state it ends in."""
+    got = FC.grid_fit_state(tpch.transactions(spark, sf_dir), 14)
+    return rounded(rounded(got, 6, "level", "trend", "sigma", "demand"), 3, "sse")
 
 
 def _forecast_rows(spark, sf_dir, horizon=30):

@@ -262,3 +262,61 @@ def test_mean_forecast_by_hand(make_tx):
     assert np.allclose(fc.yhat, last.mean()) and np.allclose(fc.sigma, last.std())
     assert list(bt.actual) == units[-14:] and np.allclose(bt.yhat, train.mean())
     assert sorted(fc.ds)[0] == date(2023, 1, 1) + timedelta(days=70)
+
+
+def _given_series(spark, folder=SF_SMALL):
+    daily = FC.daily_units(tpch.transactions(spark, folder)).orderBy("product_id", "ds").toPandas()
+    return [g.to_numpy(float) for _, g in daily.groupby("product_id")["y"] if len(g) > 1]
+
+
+def test_fit_is_never_worse_than_the_grid_or_the_given_state(spark):
+    from shelfwise.functions.holtwinters import GRID, grid_fit
+
+    series = _given_series(spark)
+    fit, grid = fit_many(series), grid_fit(series)
+    assert (fit.sse <= grid.sse * (1 + 1e-9) + 1e-9).all()
+    assert (fit.sse <= fit_many(series, estimate=False).sse * (1 + 1e-9) + 1e-9).all()
+    for i in range(0, len(series), 17):  # the grid's choice, cell by cell in plain Python
+        cells = [(a, b, g if len(series[i]) >= 14 else 0.0) for a, b, g in GRID]
+        errors = [sum((y - f) ** 2 for y, f in zip(series[i], _brute_fitted(series[i], *c))) for c in cells]
+        best = int(np.argmin(errors))
+        assert (grid.alpha[i], grid.beta[i], grid.gamma[i]) == cells[best]
+        assert np.isclose(grid.sse[i], errors[best])
+
+
+def test_fit_is_settled(spark):
+    """No small move of the parameters, with the state projected anew, lowers the error much."""
+    from shelfwise.functions import holtwinters as H
+
+    series = [s for s in _given_series(spark) if len(s) > 100][:20]
+    fit = fit_many(series)
+    bt = H._Batch(series, 7)
+    order = bt.order
+    cube = np.stack([fit.alpha, fit.beta / fit.alpha, np.where(fit.alpha < 1, fit.gamma / (1 - fit.alpha), 0)], 1)[order]
+    for axis in range(3):
+        for step in (-0.01, 0.01):
+            near = cube.copy()
+            near[:, axis] = np.clip(near[:, axis] + step, 1e-3 if axis == 0 else 0, 1)
+            a, b, g = H._parameters(near[:, None, :], bt.seasonal)
+            seen = bt.responses(np.arange(len(series)), a, a * b, g, bt.given_state()[:, None, :], False)
+            assert (H._projected(seen[:, 0], 9)[1] >= fit.sse[order] * 0.98).all()
+
+
+def test_batches_cost_alike(make_tx, monkeypatch):
+    monkeypatch.setattr(FC, "BATCH_DAYS", 3_000)
+    rows = []
+    for pid in range(200):
+        for day in (0, 20 + 7 * (pid % 40)):
+            rows += [sale(f"I{pid}-{day}", 1, pid * 1000, str(date(2023, 1, 1) + timedelta(days=day)))]
+    daily = FC.daily_sales(make_tx(rows))
+    batches, n = FC.product_batches(daily)
+    span = F.datediff(F.max("ds"), F.min("ds")) + 1
+    days = daily.groupBy("product_id").agg(span.alias("days")).join(batches, "product_id")
+    cost = [r.cost for r in days.groupBy("batch").agg(F.sum("days").alias("cost")).collect()]
+    assert len(cost) == n > 8 and max(cost) <= 1.5 * sum(cost) / n and max(cost) <= 3_000 * 1.1
+    state = {r.product_id: r for r in FC.fixed_parameter_state(make_tx(rows)).collect()}
+    assert len(state) == 200 and all(state[p * 1000].days == 21 + 7 * (p % 40) for p in range(200))
+
+
+def test_batches_of_nothing(make_tx):
+    assert FC.forecast_rows(make_tx([]), None, 14, 30).collect() == []
