@@ -2,7 +2,7 @@
 
 Each document becomes its token ids and the closing id 0. One longer than the
 capacity is cut into full pieces after a first piece that takes the rest; no
-other is cut. Pieces are dealt to packing tasks by a hash of their key, sorted
+other is cut. Pieces are dealt to packing tasks by a hash of their row number, sorted
 there from long to short, and placed one after another: a piece goes into the
 open bin with the least free space that still holds it. Open bins are found by
 a bitset keyed by free space, and there are at most ``max_open`` of them: when
@@ -137,12 +137,18 @@ def pack_documents(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     pieces = stage(
-        texts.mapInArrow(lambda it: encode_pieces(it, tokenizer_path, capacity), PIECES), "pieces"
+        texts.mapInArrow(lambda it: encode_pieces(it, tokenizer_path, capacity), PIECES).withColumn(
+            "row", F.monotonically_increasing_id()
+        ),
+        "pieces",
     )
     size = pieces.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
     tasks = 1 + max(size.n // pieces_per_task, 2 * size.tokens // (max_open * capacity))
-    dealt = pieces.repartition(tasks, "id", "piece", "ids_crc32").sortWithinPartitions(
-        F.desc("length"), "id", "piece", "ids_crc32"
+    # The staged row number tells repeated rows apart, so they spread like others.
+    dealt = (
+        pieces.repartition(tasks, "row")
+        .sortWithinPartitions(F.desc("length"), "id", "piece", "ids_crc32")
+        .drop("row")
     )
     return dealt.mapInArrow(
         lambda it: pack_partition(it, capacity, max_open), PACKED

@@ -74,23 +74,27 @@ def count_tokens(
     rows = stage(keyed.drop("text"), "digests")
 
     stored = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).select("digest")
-    # One row of each missing digest stands for it; joining on the id as well
-    # spreads a text that very many rows share over all partitions.
+    # Each missing digest is encoded once: the least id that has it stands for it,
+    # and of rows that share that id and text, the first to arrive. Texts shared
+    # by very many rows are thinned out before they move, as their ids are known.
     missing = (
         rows.groupBy("digest")
         .agg(F.min("id").alias("rep"))
         .join(stored, "digest", "left_anti")
         .withColumnRenamed("digest", "miss")
     )
-    texts = keyed.join(
-        missing, (F.col("digest") == F.col("miss")) & F.col("id").eqNullSafe(F.col("rep")), "left_semi"
-    ).select("digest", "text")
-    counted = texts.mapInArrow(
-        lambda it: encode_counts(it, tokenizer_path), "digest binary, n_tokens long"
+    texts = (
+        keyed.groupBy("digest", "id")
+        .agg(F.first("text").alias("text"))
+        .join(
+            missing, (F.col("digest") == F.col("miss")) & F.col("id").eqNullSafe(F.col("rep")), "left_semi"
+        )
+        .select("digest", "text")
     )
     (
-        counted.groupBy("digest")
-        .agg(F.max("n_tokens").alias("n_tokens"))
+        texts.mapInArrow(
+            lambda it: encode_counts(it, tokenizer_path), "digest binary, n_tokens long"
+        )
         .select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
         .write.mode("append")
         .parquet(cache_path)

@@ -4,7 +4,8 @@ Ids are those of the ``tokenizers`` library for the given ``.json`` file. A
 text whose characters all lie in long-settled Unicode ranges, where every
 version agrees on letters, digits and spaces, is encoded by ``tiktoken`` with
 the same vocabulary and merge order, which yields the same ids in a quarter of
-the time. A text with other characters or with a special token, and every text
+the time. A text with other characters or with a special token, one whose blanks
+run on for longer than tiktoken's splitter can follow, and every text
 for files of another shape (no byte-level BPE without normaliser, ids that do
 not follow the merge order), goes through ``tokenizers`` itself.
 """
@@ -15,6 +16,7 @@ import hashlib
 import json
 import os
 import re
+from functools import cached_property
 
 import numpy as np
 
@@ -83,25 +85,34 @@ class Encoder:
         return cls._made[path]
 
     def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self._library = Tokenizer.from_file(path)
-        self._library.no_truncation()
-        self._library.no_padding()
+        self._path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self._special = [t["content"] for t in spec.get("added_tokens", [])]
         self._fast = _fast_encoding(spec)
 
+    @cached_property
+    def _library(self):
+        """The reference itself, loaded by the first text that needs it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self._path)
+        library.no_truncation()
+        library.no_padding()
+        return library
+
     def ids(self, text: str) -> np.ndarray:
         """The token ids of a text, as little-endian unsigned 32-bit numbers."""
         if not text:
             return np.empty(0, "<u4")
         if (
-            self._fast is None
-            or any(s in text for s in self._special)
-            or not text.isascii() and _UNSETTLED.search(text)
+            self._fast is not None
+            and not any(s in text for s in self._special)
+            and (text.isascii() or not _UNSETTLED.search(text))
         ):
-            return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4")
-        return self._fast.encode_to_numpy(text, disallowed_special=())
+            try:
+                return self._fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # its splitter gives up on very long runs of blanks
+                pass
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4")

@@ -119,3 +119,30 @@ def test_no_bin_closes_before_the_small_pieces_come(make_docs):
     total = sum(r.length for r in rows)
     assert len(rows) == 800
     assert len({r.sequence_id for r in rows}) <= 1.1 * -(-total // 100)
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", " \n"])
+def test_very_long_runs_of_blanks(library, make_docs, blank):
+    texts = [blank * 2_000_000, "a@b.c 12" + blank * 1_000_000 + "+3 end"]
+    want = [np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4") for t in texts]
+    docs = make_docs(texts)
+    assert {r.doc_id: r.n_tokens for r in count_tokens(docs, PATH).collect()} == {
+        i: len(ids) - 1 for i, ids in enumerate(want)
+    }
+    for r in pack_documents(docs, PATH).collect():
+        assert r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes())
+
+
+def test_repeated_rows_are_spread_and_encoded_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    same = spark.range(0, 200_000, 1, 8).select(
+        F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.lit("again and again").alias("text")
+    )
+    cache = str(tmp_path / "cache")
+    counted = count_tokens(same, PATH, cache)
+    assert counted.groupBy("n_tokens").count().collect()[0]["count"] == 200_000
+    assert spark.read.parquet(cache).count() == 1  # each encoded text is one appended row
+    packed = pack_documents(same, PATH, pieces_per_task=10_000)
+    tasks = [r["count"] for r in packed.groupBy(F.shiftright("sequence_id", 40).alias("task")).count().collect()]
+    assert sum(tasks) == 200_000 and len(tasks) >= 15 and max(tasks) <= 2 * 200_000 / len(tasks)
