@@ -18,14 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+# Rows that are worth a task of their own, and the tasks that small tables get.
+TASK_ROWS = 50_000
+LEAST_TASKS = 16
+
+
+def stage(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and reread it.
 
     Cuts the lineage in a way that outlives any executor: the files lie where
     ``spark.checkpoint.dir`` says, which every executor and the driver share.
+    ``rows``, where a bound is known, keeps a small table from being worked out
+    and written by as many tasks as the session has shuffle partitions; the
+    tasks grow with it, so a large table has them all.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm/{label}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(LEAST_TASKS + rows // TASK_ROWS)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

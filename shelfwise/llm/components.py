@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm.common import stage
 
 
-def _star(pairs: DataFrame) -> DataFrame:
+def _star(pairs: DataFrame, rows: int) -> DataFrame:
     """(u, v, m) with m the least of u and all v of the same u, each pair once.
 
     The minima are staged, so that the join stands on plain shuffles, which
@@ -19,18 +19,19 @@ def _star(pairs: DataFrame) -> DataFrame:
         .agg(F.min("v").alias("w"))
         .select(F.col("u").alias("of"), F.least("u", "w").alias("m")),
         "least",
+        rows,
     )
     return pairs.join(least, F.col("u") == F.col("of")).select("u", "v", "m")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _star(both, 2 * rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v")
-    starred = _star(down)
+    starred = _star(down, rows)
     return (
         starred.select(F.col("v").alias("u"), F.col("m").alias("v"))
         .union(starred.select("u", F.col("m").alias("v")))
@@ -39,27 +40,40 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether a node has two neighbours below it, or one both below and above.
+
+    With every edge from a node to a smaller one, none of either means that
+    each component is a star around its least node.
+    """
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
+        edges.select("v", F.lit(0), F.lit(1))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return not nodes.filter("below > 1 or (below = 1 and above = 1)").isEmpty()
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``(node, component)`` for every node of ``edges (u, v)``, where the
     component is its least node.
 
-    Large-star and small-star rounds alternate until the edges stay the same;
+    Large-star and small-star rounds alternate until every component is a star;
     the number of rounds grows with the logarithm of the longest chain. Each
     round is a partial minimum and a join on the node, staged in the checkpoint
-    folder; the driver sees a count and a checksum only. Loops, repeated edges
-    and an empty table are fine; null ends are ignored.
+    folder with tasks by the number of edges; the driver sees a count and a
+    verdict only. Loops, repeated edges and an empty table are fine; null ends
+    are ignored.
     """
-    edges = edges.select("u", "v").filter("u is not null and v is not null and u != v")
-    current = stage(edges.distinct(), "edges")
-    mark = None
+    edges = edges.filter("u is not null and v is not null and u != v").select(
+        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
+    )
+    current = stage(edges.distinct(), "edges", edges.count())
     for _ in range(max_rounds):
-        current = stage(_small_star(_large_star(current)), "edges")
-        now = current.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if now == mark:
+        if not _unsettled(current):
             break
-        mark = now
+        rows = current.count()
+        large = stage(_large_star(current, rows).distinct(), "edges", rows)
+        current = stage(_small_star(large, rows), "edges", 2 * rows)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     least = current.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -45,8 +45,10 @@ from shelfwise.session import ship_package
 
 PLACES = 1 << 20
 SHINGLE = 5
+# Ids (8 bytes each, some 50 in a hash table) that are sent to every executor.
+BROADCAST_ROWS = 1_000_000
 _CHUNK = 256
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 150_000
 
 
 class _WordHashes(dict):
@@ -150,13 +152,14 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         )
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of the pairs (u, v)."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, rows: int | None = None) -> DataFrame:
+    """The linked ones of the pairs (u, v); ``rows`` bounds the pairs."""
     return stage(
         pairs.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("a_set")), "u")
         .join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("b_set")), "v")
         .mapInArrow(lambda it: _confirm(it, percent), "u long, v long"),
         "links",
+        rows,
     )
 
 
@@ -169,10 +172,10 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(shingles)], ["rep", "shingle"])
 
 
-def _hub_pairs(shared: DataFrame) -> DataFrame:
+def _hub_pairs(shared: DataFrame, rows: int) -> DataFrame:
     """Each representative with the most central member of its buckets: (u, v)."""
     central = shared.groupBy("rep").agg(F.sum("n").alias("central"))
-    ranked = stage(shared.join(central, "rep"), "ranked")
+    ranked = stage(shared.join(central, "rep"), "ranked", rows)
     hub = F.struct("central", (-F.col("rep")).alias("order"), F.col("rep").alias("id"))
     hubs = ranked.groupBy("key").agg(F.max(hub).alias("hub"))
     best = (
@@ -184,12 +187,13 @@ def _hub_pairs(shared: DataFrame) -> DataFrame:
     return best.select(F.least("rep", "hub.id").alias("u"), F.greatest("rep", "hub.id").alias("v")).distinct()
 
 
-def _prefix_pairs(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(sets: DataFrame, component: DataFrame, percent: int, rows: int) -> DataFrame:
     """Pairs (u, v) of sets in different components that may be alike; exact.
 
-    ``component`` lists the sets to compare, ``(rep, component)``.
+    ``component`` lists the sets to compare, ``(rep, component)``; there are at
+    most ``rows`` of them.
     """
-    own = stage(sets.join(component, "rep"), "apart")
+    own = stage(sets.join(component, "rep"), "apart", rows)
     tokens = own.mapInArrow(_tokens, "rep long, shingle long")
     # A shingle of one set only leads nowhere; it just takes its place in front.
     common = tokens.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1")
@@ -260,21 +264,25 @@ def near_duplicates(
             F.min("id").alias("rep"), F.max("n_shingles").alias("size"), F.first("keys").alias("keys")
         ),
         "classes",
+        signed.count(),
     )
     members = classes.select("rep", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = stage(members.join(buckets, "key"), "buckets")
+    pairs = shared.count()  # of representatives and buckets; at least as many as representatives
 
-    # The sets of all candidates, made once. Hashing the few ids spares sorting
-    # the texts.
-    needed = shared.select(F.col("rep").alias("needed")).distinct().hint("shuffle_hash")
+    # The sets of all candidates, made once. As long as their ids fit a task's
+    # memory by count they go to the texts; else the texts are dealt by id, where
+    # hashing the few ids spares sorting the texts.
+    needed = shared.select(F.col("rep").alias("needed")).distinct()
+    needed = F.broadcast(needed) if pairs <= BROADCAST_ROWS else needed.hint("shuffle_hash")
     sets = stage(
         texts.join(needed, F.col("id") == F.col("needed"), "left_semi")
         .mapInArrow(_sets, "id long, shingles binary")
         .withColumnRenamed("id", "rep"),
         "sets",
     )
-    groups = components(_confirmed(_hub_pairs(shared), sets, percent))
+    groups = components(_confirmed(_hub_pairs(shared, pairs), sets, percent, pairs))
 
     placed = shared.join(groups, F.col("rep") == F.col("node"), "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("component")
@@ -286,7 +294,7 @@ def near_duplicates(
         .select("key")
     )
     apart = placed.join(mixed, "key", "left_semi").select("rep", "component").distinct()
-    more = _confirmed(_prefix_pairs(sets, apart, percent), sets, percent)
+    more = _confirmed(_prefix_pairs(sets, apart, percent, pairs), sets, percent)
     if not more.isEmpty():
         spans = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
         groups = components(spans.union(more))
