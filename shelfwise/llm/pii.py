@@ -11,7 +11,13 @@ kind ``id`` beside the seeds.
 
 All of it is native expressions, joins and partial aggregations. Matches are
 located in code points by splitting the text at them, with two-level running
-sums, so the cost stays near the text's length however many there are.
+sums; a match is looked up among others by halving, and pieces of a text are
+taken from chunks of it, so the cost stays near the text's length however many
+matches there are and however long it is. Contexts are whole words.
+
+``redact`` replaces exactly the spans that ``personal_data`` reports: spans that
+overlap, of any kind, go together under the kind of the one that starts first (of
+equal starts, the kind listed first).
 
 Edge cases: a null text counts as empty; repeated rows get the same spans; a
 null id is a row like any other (joins on the id are null-safe); no seeds means
@@ -22,6 +28,8 @@ null.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +129,30 @@ def _may_hold(kind: str, text: Column) -> Column:
 
 
 SPANS = "array<struct<start:int,end:int>>"
+_HALVES = [1 << bit for bit in range(27, -1, -1)]
+_CHUNK = 1024
+
+
+def _count_up_to(spans: Column, end: str, limit: Column) -> Column:
+    """How many of these spans, sorted and apart, start or end at or before ``limit``."""
+
+    def further(at: Column, step: Column) -> Column:
+        return F.when(F.get(spans, at + step - 1)[end] <= limit, at + step).otherwise(at)
+
+    halving = F.aggregate(F.array(*map(F.lit, _HALVES)), F.lit(0), further)
+    return F.when(F.size(spans) == 0, 0).otherwise(halving)
+
+
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+
+
+def _taken(chunks: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to before ``end`` of a text in chunks."""
+    first = F.floor(start / _CHUNK).cast("int")
+    last = F.floor((end - 1) / _CHUNK).cast("int")
+    near = F.array_join(F.slice(chunks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(end <= start, "").otherwise(near.substr(start - first * _CHUNK + 1, end - start))
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -141,49 +173,51 @@ def base_spans(text: Column, kind: str) -> Column:
     )
 
 
-def _mentions(text: Column, seeds: Column) -> Column:
+def _mentions(text: Column, seeds: list[Column]) -> Column:
     """Words with a digit or "@": place, value, context and whether a seed covers it."""
 
     def word(x: Column, back: bool) -> Column:
         """The words of a context nearest to the mention, one or two."""
-        near = F.right(x, F.lit(60)) if back else F.left(x, F.lit(60))
-        spaced = F.lower(F.regexp_replace(near, WHITE_SPACE_RUN, " "))
+        spaced = F.lower(F.regexp_replace(x, WHITE_SPACE_RUN, " "))
         return F.substring_index(spaced, " ", -2 if back else 1)
 
-    def located(parts: Column, found: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            lead = F.length(F.regexp_extract(x["m"], "^[^A-Za-z0-9+]*", 0))
-            value = F.regexp_extract(x["m"], r"^[^A-Za-z0-9+]*(.*?)[^A-Za-z0-9]*$", 1)
-            left = word(F.btrim(parts[i], F.lit(WHITE_SPACE)), True)
-            right = word(F.btrim(parts[i + 1], F.lit(WHITE_SPACE)), False)
-            start = x["start"] + lead
-            # A word of a longer seed stands for the whole of it.
-            covering = F.get(
-                F.filter(seeds, lambda s: (s["start"] < start + F.length(value)) & (s["end"] > start)), F.lit(0)
-            )
-            return bind(
-                covering,
-                lambda seed: F.struct(
-                    start.alias("start"),
-                    (start + F.length(value)).alias("end"),
-                    F.lower(
-                        F.when(seed.isNull(), value).otherwise(
-                            text.substr(seed["start"] + 1, seed["end"] - seed["start"])
-                        )
-                    ).alias("value"),
-                    left.alias("left"),
-                    right.alias("right"),
-                    seed.isNotNull().alias("seed"),
-                ),
-            )
-
-        return F.transform(F.arrays_zip(_starts(parts, found).alias("start"), found.alias("m")), one)
+    def covering(start: Column, end: Column) -> Column:
+        """The first kind's seed that shares a character with the range."""
+        firsts = [F.get(s, _count_up_to(s, "end", start)) for s in seeds]
+        return F.coalesce(*(bind(f, lambda f: F.when(f["start"] < end, f)) for f in firsts))
+
+    def located(chunks: Column) -> Column:
+        def placed(parts: Column, found: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                lead = F.length(F.regexp_extract(x["m"], "^[^A-Za-z0-9+]*", 0))
+                value = F.regexp_extract(x["m"], r"^[^A-Za-z0-9+]*(.*?)[^A-Za-z0-9]*$", 1)
+                left = word(F.btrim(parts[i], F.lit(WHITE_SPACE)), True)
+                right = word(F.btrim(parts[i + 1], F.lit(WHITE_SPACE)), False)
+                start = x["start"] + lead
+                # A word of a longer seed stands for the whole of it.
+                return bind(
+                    covering(start, start + F.length(value)),
+                    lambda seed: F.struct(
+                        start.alias("start"),
+                        (start + F.length(value)).alias("end"),
+                        F.lower(
+                            F.when(seed.isNull(), value).otherwise(_taken(chunks, seed["start"], seed["end"]))
+                        ).alias("value"),
+                        left.alias("left"),
+                        right.alias("right"),
+                        seed.isNotNull().alias("seed"),
+                    ),
+                )
+
+            return F.transform(F.arrays_zip(_starts(parts, found).alias("start"), found.alias("m")), one)
+
+        return _cut(text, _MENTION, placed)
 
     kind = (
         "array<struct<start:int,end:int,value:string,left:string,right:string,seed:boolean>>"
     )
     return F.when(
-        text.rlike("[0-9@]"), F.filter(_cut(text, _MENTION, located), lambda m: m["value"] != "")
+        text.rlike("[0-9@]"), F.filter(bind(_chunks(text), located), lambda m: m["value"] != "")
     ).otherwise(F.array().cast(kind))
 
 
@@ -197,13 +231,12 @@ def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         *(base_spans(text, k).alias(k) for k in KINDS),
     )
     return found.select(
-        "id", "text_hash", *KINDS, _mentions(F.col("text"), F.concat(*KINDS)).alias("mentions")
+        "id", "text_hash", *KINDS, _mentions(F.col("text"), [F.col(k) for k in KINDS]).alias("mentions")
     )
 
 
 def accepted_mentions(
     found: DataFrame,
-    max_rounds: int = 50,
     min_support: int = 5,
     min_confidence: float = 0.8,
 ) -> DataFrame:
@@ -237,7 +270,7 @@ def accepted_mentions(
     )
     known = stage(edges.filter("seed").select(F.col("value").alias("known")).distinct(), "known")
     size = known.count()
-    for _ in range(max_rounds):
+    while True:
         scored = edges.join(known, F.col("value") == F.col("known"), "left")
         is_known = F.col("known").isNotNull()
         trusted = (
@@ -256,8 +289,6 @@ def accepted_mentions(
         if now == size:
             break
         size = now
-    else:
-        raise RuntimeError(f"known values did not settle in {max_rounds} rounds")
     new = mentions.filter(like_id & ~F.col("seed")).join(
         known, F.col("value") == F.col("known"), "left_semi"
     )
@@ -298,8 +329,55 @@ def span_text(kinds: dict[str, str]) -> Column:
     return F.array_join(F.concat(*(listed(k, c) for k, c in kinds.items())), ",")
 
 
+def _redacted(text: Column, kinds: dict[str, Column]) -> Column:
+    """``text`` with the spans of each kind (name -> sorted spans) replaced."""
+    names = list(kinds)
+
+    def marked(k: int, spans: Column) -> Column:
+        return F.transform(
+            spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"))
+        )
+
+    every = F.array_sort(F.concat(*(marked(k, spans) for k, spans in enumerate(kinds.values()))))
+
+    def is_first(x: Column) -> Column:
+        """Whether no span that starts before, or that comes before at the same start, reaches it."""
+
+        def by(k: int, spans: Column) -> Column:
+            first = F.get(spans, _count_up_to(spans, "end", x["start"]))["start"]
+            same = (F.lit(k) < x["kind"]).cast("int")
+            return F.coalesce(first < x["start"] + same, F.lit(False))
+
+        return ~reduce(Column.__or__, (by(k, spans) for k, spans in enumerate(kinds.values())))
+
+    def replaced(heads: Column) -> Column:
+        def last_end(i: Column) -> Column:
+            """Where the spans that start before the next head end."""
+            limit = F.coalesce(F.get(heads, i + 1)["start"], F.lit(1 << 30)) - 1
+            ends = [F.get(s, _count_up_to(s, "start", limit) - 1)["end"] for s in kinds.values()]
+            return F.greatest(*ends, F.lit(0))
+
+        def rebuilt(bound: Column) -> Column:
+            chunks, ends = bound["chunks"], bound["ends"]
+            shown = F.array(*(F.lit(f"<{n.upper()}>") for n in names))
+            pieces = F.transform(
+                heads,
+                lambda x, i: F.concat(
+                    _taken(chunks, F.when(i == 0, 0).otherwise(F.get(ends, i - 1)), x["start"]),
+                    F.get(shown, x["kind"]),
+                ),
+            )
+            rest = _taken(chunks, F.element_at(ends, -1), F.length(text))
+            return F.concat(F.array_join(pieces, ""), rest)
+
+        ends = F.transform(heads, lambda _, i: last_end(i))
+        return bind(F.struct(_chunks(text).alias("chunks"), ends.alias("ends")), rebuilt)
+
+    return F.when(F.size(every) > 0, bind(F.filter(every, is_first), replaced)).otherwise(text)
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind in capitals, as ``<EMAIL>``."""
+    """``docs`` with every reported span replaced by its kind in capitals, as ``<EMAIL>``."""
     added = _added(stage(find_base(docs, id_col, text_col), "base"))
     names = docs.columns
     body, key = F.col(f"_d{names.index(text_col)}"), F.col(f"_d{names.index(id_col)}")
@@ -307,38 +385,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = _with_added(
         rows.withColumns({"id": key, "text_hash": F.xxhash64(F.coalesce(body, F.lit("")))}), added
     )
-    ends = F.concat(F.array(F.lit(0)), F.transform("added", lambda s: s["end"]))
-    pieces = F.transform(
-        F.col("added"), lambda s, i: F.concat(body.substr(ends[i] + 1, s["start"] - ends[i]), F.lit("<ID>"))
-    )
-    last = body.substr(F.element_at(ends, -1) + 1, F.length(body))
-    text = F.when(F.size("added") == 0, body).otherwise(
-        F.concat(F.array_join(pieces, ""), last)
-    )
-
-    def replaced(kind: str, text: Column) -> Column:
-        def rebuilt(parts: Column, found: Column) -> Column:
-            shown = F.transform(
-                parts,
-                lambda p, i: F.when(i == F.size(found), p).otherwise(
-                    F.concat(
-                        p,
-                        F.when(_valid(kind, F.get(found, i)), F.lit(f"<{kind.upper()}>")).otherwise(
-                            F.get(found, i)
-                        ),
-                    )
-                ),
-            )
-            return F.array_join(shown, "")
-
-        return F.when(_may_hold(kind, text), _cut(text, PATTERNS[kind], rebuilt)).otherwise(text)
-
-    rows = rows.withColumn("_text", text)
-    for kind in KINDS:
-        rows = rows.withColumn("_text", replaced(kind, F.col("_text")))
+    rows = rows.withColumns({k: base_spans(F.coalesce(body, F.lit("")), k) for k in KINDS})
+    clean = _redacted(body, {k: F.col(k) for k in KINDS} | {"id": F.col("added")})
     return rows.select(
-        *(
-            (F.col("_text") if c == text_col else F.col(f"_d{i}")).alias(c)
-            for i, c in enumerate(names)
-        )
+        *((clean if c == text_col else F.col(f"_d{i}")).alias(c) for i, c in enumerate(names))
     )

@@ -105,3 +105,50 @@ def test_rounds_go_on_until_nothing_is_added(make_docs):
         texts += [text(c, value(k + 1, j)) for j in range(5)]
     got = {r.doc_id: r["all"] for r in spans(make_docs(texts)).collect()}
     assert all(got[i].startswith("id:" if "4711" in t else "email:") for i, t in enumerate(texts))
+
+
+def redacted_by_hand(text, listed):
+    """Overlapping spans together, under the kind of the first."""
+    order = [*KINDS, "id"]
+    found = sorted((int(a), order.index(k), int(b)) for k, a, b in (s.split(":") for s in listed.split(",") if s))
+    out, at, end = "", 0, 0
+    for a, k, b in found:
+        if a >= end:
+            out += text[at:a] if a > at else ""
+            out += f"<{order[k].upper()}>"
+        at = end = max(end, b)
+    return out + text[at:]
+
+
+def test_redaction_takes_the_reported_spans(make_docs, given):
+    rng = random.Random(3)
+    bits = ["+1.2.3.4", ".5678901234", "4111111111111111", " ", " ", "é", "a@b.cc", "+1 (743) 555-3824", "10.0.0.1 ", "9", "😀", "-"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(600)]
+    texts += ["+1.2.3.4.5678901234", "10.0.0.1 41111111111111 11", "é" * 1023 + " a@b.cc " + "x" * 1020 + " 10.0.0.1", None]
+    texts += [r[1] for r in given["documents"]]
+    docs = make_docs(texts)
+    listed = {r.doc_id: r["all"] for r in spans(docs).collect()}
+    clean = {r.doc_id: r.text for r in redact(docs).collect()}
+    wrong = [i for i, t in enumerate(texts) if clean[i] != (t if t is None else redacted_by_hand(t, listed[i]))]
+    assert not wrong, (texts[wrong[0]][:200], clean[wrong[0]][:200], listed[wrong[0]][:200])
+    assert clean[600] == "<PHONE>" or "1.2.3.4" not in clean[600]
+
+
+def test_very_many_matches_in_one_text(make_docs):
+    import time
+
+    text = " ".join(f"user{i}@mail{i % 7}.example.com x{i}" for i in range(100_000))
+    began = time.perf_counter()
+    row = personal_data(make_docs([text])).collect()[0]
+    assert [tuple(s) for s in row.email[:2]] == [(0, 23), (27, 50)] and len(row.email) == 100_000
+    clean = redact(make_docs([text])).collect()[0].text
+    assert clean == " ".join(f"<EMAIL> x{i}" for i in range(100_000))
+    assert time.perf_counter() - began < 60
+
+
+def test_contexts_are_whole_words(make_docs):
+    long = "w" * 100
+    texts = [f"{long}{k} {long}{k} user{j}@mail.example.com end" for k in "ab" for j in range(6)]
+    texts += [f"{long}a {long}a x471199 end", f"{long}z {long}z x471188 end"]
+    got = {r.doc_id: r["all"] for r in spans(make_docs(texts)).collect()}
+    assert got[12].startswith("id:") and got[13] == ""
