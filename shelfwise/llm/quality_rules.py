@@ -30,6 +30,8 @@ from shelfwise.llm.common import bind, stage, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
+# Labelled ids (8 bytes each, some 50 in a hash table) that are sent to every executor.
+BROADCAST_ROWS = 1_000_000
 LOW, KEEP = 0, 1
 
 
@@ -231,9 +233,9 @@ def learn_rules(
             .alias("prune"),
         )
         .groupBy("bins", "y", "prune")
-        .agg(F.count("*").alias("n"))
-        .repartition(8),
+        .agg(F.count("*").alias("n")),
         "bins",
+        rows.count(),
     )
 
     # A condition on bins: (feature number, above, cut number); bin b holds the
@@ -300,6 +302,15 @@ def learn_rules(
     return DecisionList(rules)
 
 
+def labelled_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents that ``labels`` names, so that only their statistics are
+    made before the list is learned. The ids go to the documents while they fit
+    by count; beyond, both are dealt by id."""
+    named = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_labelled")).distinct()
+    named = F.broadcast(named) if labels.count() <= BROADCAST_ROWS else named.hint("shuffle_hash")
+    return docs.join(named, docs[id_col] == named["_labelled"], "left_semi")
+
+
 def judge(stats: DataFrame, rules: DecisionList) -> DataFrame:
     """``stats`` with base_failed, the number of the rule that fired, and kept."""
     return stats.withColumns({"base_failed": base_failed(), "rule": rules.fired()}).withColumn(
