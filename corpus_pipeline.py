@@ -16,15 +16,20 @@ from shelfwise.llm.decontaminate import clean_documents
 from shelfwise.llm.minhash_dedup import keep_one_of_each
 from shelfwise.llm.packing import pack_documents
 from shelfwise.llm.pii import redact
-from shelfwise.llm.quality_rules import kept_documents, learn_rules, with_statistics
+from shelfwise.llm.quality_rules import (
+    kept_documents,
+    labelled_documents,
+    learn_rules,
+    with_statistics,
+)
 from shelfwise.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the learned list rejects."""
-    statistics = with_statistics(docs, ["doc_id"])
-    rules = learn_rules(statistics, table(spark, sf_dir, "labels"))
-    return kept_documents(docs, rules)
+    labels = table(spark, sf_dir, "labels")
+    statistics = with_statistics(labelled_documents(docs, labels), ["doc_id"])
+    return kept_documents(docs, learn_rules(statistics, labels))
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +60,8 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-# Learned rules, MinHash and packing have no SQL; tests hold each stage against
-# a brute-force version.
+# Learned rules, MinHash and packing have no SQL; tests hold each operator against
+# a brute-force version and the stages against planted cases.
 ORACLE_SQL = None
 
 
