@@ -8,6 +8,7 @@ Spark result one to one.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,10 @@ from shelfwise.plans.oracle import (
     cohort_pivot_sql,
     with_ctes,
 )
-from shelfwise.sources import enrich, tpch
+from shelfwise.session import checkpoint_dir
+from shelfwise.sources import enrich, load_customers, load_products, load_transactions, tpch
+from shelfwise.sources.schemas import TRANSACTIONS_SCHEMA
+from shelfwise.sources.sinks import write_transactions
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -466,6 +470,49 @@ def q_history_and_forecast(spark, sf_dir):
     return FC.history_and_forecast(FC.densify(daily), fc)
 
 
+# ---------------------------------------------------------- sink and loaders
+
+
+@query(
+    "sink_round_trip",
+    with_ctes(TX)
+    + """SELECT count(*) AS rows,
+       count(DISTINCT customer_id) AS customers,
+       count(DISTINCT product_id) AS products,
+       count(DISTINCT invoice_id) AS orders,
+       CAST(coalesce(sum(net_revenue), 0) AS DOUBLE) AS gross_revenue,
+       CAST(coalesce(sum(profit), 0) AS DOUBLE) AS gross_profit,
+       min(purchase_date) AS first_day,
+       max(purchase_date) AS last_day,
+       (SELECT count(*) FROM customer) AS customer_rows,
+       (SELECT count(*) FROM part) AS product_rows,
+       count(*) FILTER (WHERE year(purchase_date) = 1996 AND month(purchase_date) = 3) AS month_rows,
+       true AS skips_files
+FROM tx""",
+)
+def q_sink_round_trip(spark, sf_dir):
+    """The tables written by the sink and read back by the loaders;
+    the rows of one month must lie in fewer files than were written."""
+    folder = f"{checkpoint_dir(spark)}/round-trip-{uuid.uuid4().hex}"
+    tx = tpch.transactions(spark, sf_dir)
+    write_transactions(tx.select(*TRANSACTIONS_SCHEMA.names), f"{folder}/transactions", 24)
+    tpch.customers(spark, sf_dir).write.parquet(f"{folder}/customers")
+    tpch.products(spark, sf_dir).write.parquet(f"{folder}/products")
+    back = load_transactions(spark, f"{folder}/transactions")
+    first, last = (F.lit(t).cast("timestamp_ntz") for t in ("1996-03-01 00:00:00", "1996-03-31 23:59:59"))
+    month = back.filter(F.col("purchase_ts").between(first, last)).agg(
+        F.count("*").alias("rows"), F.count_distinct("_metadata.file_path").alias("files")
+    ).first()
+    return D.dataset_summary(back).withColumns(
+        {
+            "customer_rows": F.lit(load_customers(spark, f"{folder}/customers").count()).cast("long"),
+            "product_rows": F.lit(load_products(spark, f"{folder}/products").count()).cast("long"),
+            "month_rows": F.lit(month.rows).cast("long"),
+            "skips_files": F.lit(month.files < len(back.inputFiles())),
+        }
+    )
+
+
 # --------------------------------------------------------------- prescriptive
 
 

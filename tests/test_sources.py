@@ -137,3 +137,25 @@ def test_held_frames_are_released(spark):
     df = hold(spark.range(5))
     assert df.count() == 5 and df.is_cached
     assert release() >= 1 and not df.is_cached
+
+
+def test_sink_spreads_one_timestamp_and_bounds_files(make_tx, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from shelfwise.sources.sinks import write_transactions
+    from tests.conftest import sale
+
+    rows = [sale(f"I{i}", i, i % 50, "2023-06-01") for i in range(2_000)]
+    rows += [sale("same", 1, 1, "2023-06-02")] * 500 + [sale(f"L{i}", i, 2, "2023-07-01") for i in range(500)]
+    tx = make_tx(rows)
+    write_transactions(tx, str(tmp_path / "out"), 8, rows_per_file=300)
+    files = glob.glob(str(tmp_path / "out" / "*.parquet"))
+    tables = [pq.read_table(f, columns=["invoice_id", "purchase_ts"]).to_pydict() for f in files]
+    assert sum(len(t["invoice_id"]) for t in tables) == 3_000 and max(len(t["invoice_id"]) for t in tables) <= 300
+    assert all(t["purchase_ts"] == sorted(t["purchase_ts"]) for t in tables)
+    tasks = {f.split("part-")[1][:5] for f, t in zip(files, tables) if "I0" <= min(t["invoice_id"]) < "J"}
+    assert len(tasks) >= 4  # one day's rows lie in several tasks
+    july = [f for f, t in zip(files, tables) if any(str(x) >= "2023-07" for x in t["purchase_ts"])]
+    assert len(july) < len(files) / 2
