@@ -17,7 +17,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import stage
@@ -45,6 +45,12 @@ def encode_counts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
         )
 
 
+def _key(doc_id: Column, digest: Column) -> Column:
+    """Id and digest in one; the digest's fixed length keeps pairs apart."""
+    shown = F.coalesce(F.concat(F.lit("#"), doc_id.cast("string")), F.lit(""))
+    return F.concat(shown.cast("binary"), digest)
+
+
 def count_tokens(
     docs: DataFrame,
     tokenizer_path: str,
@@ -75,20 +81,20 @@ def count_tokens(
 
     stored = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).select("digest")
     # Each missing digest is encoded once: the least id that has it stands for it,
-    # and of rows that share that id and text, the first to arrive. Texts shared
-    # by very many rows are thinned out before they move, as their ids are known.
+    # and of rows that share that id and text, the first to arrive. Texts move
+    # once, dealt by id and digest in one column, so a text that very many rows
+    # share is spread over all partitions.
     missing = (
         rows.groupBy("digest")
         .agg(F.min("id").alias("rep"))
         .join(stored, "digest", "left_anti")
-        .withColumnRenamed("digest", "miss")
+        .select("digest", _key(F.col("rep"), F.col("digest")).alias("key"))
     )
     texts = (
-        keyed.groupBy("digest", "id")
+        keyed.select(_key(F.col("id"), F.col("digest")).alias("key"), "text")
+        .groupBy("key")
         .agg(F.first("text").alias("text"))
-        .join(
-            missing, (F.col("digest") == F.col("miss")) & F.col("id").eqNullSafe(F.col("rep")), "left_semi"
-        )
+        .join(missing, "key")
         .select("digest", "text")
     )
     (
