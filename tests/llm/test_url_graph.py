@@ -112,3 +112,16 @@ def test_links_without_a_scheme_name_a_host_too(spark):
     assert {(e.src, e.dst, e.n) for e in edges} == {
         ("p.org", "farm.net", 1), ("p.org", "good.org", 1), ("p.org", "x.org", 1),
     }
+
+
+def test_sql_takes_links_without_a_scheme(spark, tmp_path):
+    rows = [(r[0], r[1], None if r[2] is None else r[2].replace('"http://', '"//')) for r in ROWS]
+    assert any(r[2] and '"//' in r[2] for r in rows)
+    path = f"{tmp_path}/pages.parquet"
+    spark.createDataFrame(rows, PAGES).coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = {tuple(map(str, r)) for r in con.execute(oracle_sql(URL_RULES)).fetchall()}
+    names = [d[0] for d in con.execute(oracle_sql(URL_RULES)).description]
+    got = judge_urls(spark.read.parquet(path), URL_RULES).select(*names).collect()
+    assert {tuple(map(str, r)) for r in got} == want
