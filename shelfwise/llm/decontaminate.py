@@ -1,31 +1,41 @@
 """Benchmark decontamination by question templates (operator 3).
 
-Texts become lower-cased words. Numbers, names (capitalised words inside a
-sentence) and units after a number are slots: in the template each is its type
-only. Every window of eight template words of every document is joined by its
-hash to the windows of the benchmark items, so a question asked again with
-other numbers and names still meets its item. The slots of the windows that
-meet are then compared: along one alignment of a document with an item, equal
-item slots must hold equal document values and the other way round, or the
-alignment is dropped.
-
-A document is contaminated by an item if consistent alignments cover half of
+Texts become lower-cased words. Numbers, names and units after a number are
+slots: in the template each is its type only. A name is a capitalised word
+inside a sentence, and a capitalised word elsewhere that is a name inside some
+sentence of the same text. Every window of eight words of every document is joined to the windows of
+the benchmark items by two hashes: of its template, so a question asked again
+with other numbers and names still meets its item, and of its lower-cased words
+as they are, so a copy meets it in any case. A window without slots has one hash
+for both.
+
+The slots of windows that meet by template are then compared along each
+alignment of a document with an item: slots map one to one, each item value to
+the document value that most of the alignment's windows pair it with and the
+other way round (of equal counts the least value). A window with a pair outside
+this mapping is dropped, unless its slots equal the item's.
+
+A document is contaminated by an item if the windows that remain cover half of
 the item's windows, or six of them (13 words in a row). A window with fewer
-than four plain words is no evidence. Items shorter than eight words are one
-window of their length. An item is read twice where its first word would be a
-slot after a word or a number; each reading has alignments of its own.
+than four plain words meets by its words alone. Items shorter than eight words
+are one window of their length, so an item of one word marks every document
+that holds it. An item is read up to four times, as a document may hold
+its first words otherwise: as it stands, after a number, and with the capitals
+that begin its sentences all plain or all names; each reading has alignments of
+its own.
 
 Edge cases: null and empty texts are never contaminated; items that are null
 or hold no word are skipped; repeated rows get equal
 answers and rows with null ids are answered like any other; repeated items
-count once an id; an empty benchmark or empty documents give all-clean or
+count once an id; very long texts are taken whole, at a cost near their length;
+an empty benchmark or empty documents give all-clean or
 empty results; only id and text columns are read, and ``clean_documents``
 returns the input's columns as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import bind, stage
@@ -42,86 +52,149 @@ UNITS = (
     "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "usd", "euro",
     "euros", "eur", "cent", "cents", "percent", "degrees", "mph", "kmh",
 )
-_NAME, _UNIT = "\x01", "\x03"
+_NAME, _BEGIN, _UNIT = "\x01", "\x02", "\x03"
+_CAPITAL = rf"(?<![\p{{L}}\p{{N}}\p{{M}}{_NAME}])(?=\p{{Lu}}\p{{Ll}})"
 _INSIDE_SENTENCE = r"(?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{Ll})"
-# All but letters, digits, marks, and points or commas between digits.
-_NOISE = rf"(?:[^\p{{L}}\p{{N}}\p{{M}}{_NAME}.,]|[.,](?!\p{{N}})|(?<!\p{{N}})[.,])+"
-_UNIT_WORD = rf"(?<=[0-9] )(?:{'|'.join(UNITS)})(?= |$)"
+# All but letters, digits, marks, and points or commas between digits. No group is
+# repeated, as Java would recurse once a character on a long run.
+_NOISE = rf"[^\p{{L}}\p{{N}}\p{{M}}{_NAME}{_BEGIN}.,]+|[.,](?!\p{{N}})|(?<!\p{{N}})[.,]"
+_UNIT_WORD = rf"(?<=[0-9] ){_BEGIN}?({'|'.join(UNITS)})(?= |$)"
 # Windows of the benchmark that may be broadcast: about 100 bytes each.
 BROADCAST_WINDOWS = 500_000
 
 
-def words(text: Column) -> Column:
-    """Lower-cased words; names and units begin with a mark, numbers with a digit."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), _INSIDE_SENTENCE, _NAME)
-    plain = F.btrim(F.lower(F.regexp_replace(marked, _NOISE, " ")))
-    typed = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _UNIT_WORD, f"{_UNIT}$0")).otherwise(plain)
-    return F.when(typed == "", F.array().cast("array<string>")).otherwise(F.split(typed, " ", -1))
+def words(text: Column, begun: str | None = None) -> Column:
+    """Lower-cased words; names and units begin with a mark, numbers with a digit.
+
+    Capitals that begin a sentence are names if the text holds them as such
+    elsewhere; ``begun`` makes them all plain (``""``) or all names (``_NAME``).
+    """
+    inside = F.regexp_replace(F.coalesce(text, F.lit("")), _INSIDE_SENTENCE, _NAME)
+    if begun is None:
+        marked = F.when(F.contains(inside, F.lit(_NAME)), F.regexp_replace(inside, _CAPITAL, _BEGIN)).otherwise(inside)
+    else:
+        marked = F.regexp_replace(inside, _CAPITAL, begun) if begun else inside
+    spaced = F.regexp_replace(F.regexp_replace(marked, _NOISE, " "), " {2,}", " ")
+    plain = F.btrim(F.lower(spaced))
+    typed = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _UNIT_WORD, f"{_UNIT}$1")).otherwise(plain)
+
+    def split(typed: Column) -> Column:
+        found = F.split(typed, " ", -1)
+        return (
+            F.when(typed == "", F.array().cast("array<string>"))
+            .when(F.contains(typed, F.lit(_BEGIN)), bind(found, _named))
+            .otherwise(found)
+        )
+
+    return bind(typed, split)
+
+
+_HALVES = [1 << bit for bit in range(27, -1, -1)]
+
+
+def _named(words: Column) -> Column:
+    """Words that begin a sentence as names, if they are among the names, or plain."""
+
+    def by(names: Column) -> Column:
+        def one(word: Column) -> Column:
+            def among(name: Column) -> Column:
+                def further(at: Column, step: Column) -> Column:
+                    return F.when(F.get(names, at + step - 1) <= name, at + step).otherwise(at)
+
+                last = F.aggregate(F.array(*map(F.lit, _HALVES)), F.lit(0), further)
+                return F.when(F.get(names, last - 1) == name, name).otherwise(F.substr(name, F.lit(2)))
+
+            name = F.concat(F.lit(_NAME), F.substr(word, F.lit(2)))
+            return F.when(F.ascii(word) == ord(_BEGIN), bind(name, among)).otherwise(word)
+
+        return F.transform(words, one)
+
+    return bind(F.array_sort(F.array_distinct(F.filter(words, lambda w: F.ascii(w) == ord(_NAME)))), by)
 
 
 def _is_slot(word: Column) -> Column:
     return F.ascii(word) <= F.lit(ord("9"))
 
 
-def _template(words: Column) -> Column:
-    """A number for each word: its hash, or its type if it is a slot."""
+def _numbers(words: Column) -> Column:
+    """``{typed, exact}`` of each word: its type if it is a slot, and its hash without a mark."""
 
     def one(word: Column) -> Column:
-        return bind(
-            F.ascii(word),
-            lambda a: F.when(a > ord("9"), F.xxhash64(word))
-            .when(a == ord(_NAME), F.lit(-1).cast("long"))
-            .when(a == ord(_UNIT), F.lit(-2).cast("long"))
-            .otherwise(F.lit(-3).cast("long")),
-        )
+        def by_first(a: Column) -> Column:
+            kind = F.when(a == ord(_NAME), -1).when(a == ord(_UNIT), -2).otherwise(-3).cast("long")
+            exact = F.xxhash64(F.when(a < ord(" "), F.substr(word, F.lit(2))).otherwise(word))
+            return bind(
+                exact, lambda e: F.struct(F.when(a > ord("9"), e).otherwise(kind).alias("typed"), e.alias("exact"))
+            )
+
+        return bind(F.ascii(word), by_first)
 
     return F.transform(words, one)
 
 
+_KEYS = "array<struct<hash:bigint,at:int,slots:array<string>,plain:boolean>>"
+
+
 def _windows(words: Column, width: int) -> Column:
-    """``{hash, at, slots, literal}`` of every window; slots are null if it has none.
+    """``{hash, at, slots, plain}`` of every window: by its template and, without slots, by its words.
 
-    One with too few plain words is literal: its hash is of its slots as well.
+    ``plain`` tells whether it has enough plain words; if not, it has no template.
     """
     enough = min(MIN_PLAIN, width)
 
-    def of(words: Column, template: Column, slotted: Column) -> Column:
-        def window(at: Column) -> Column:
-            typed = F.xxhash64(F.lit(width), *(template[at + k] for k in range(width)))
-
-            def built(slots: Column) -> Column:
-                literal = F.size(slots) > width - enough
-                return F.struct(
-                    F.when(literal, F.xxhash64(typed, slots)).otherwise(typed).alias("hash"),
-                    at.alias("at"),
-                    F.when(F.size(slots) > 0, slots).alias("slots"),
-                    literal.alias("literal"),
+    def key(hash: Column, at: Column, slots: Column, plain: Column) -> Column:
+        return F.struct(hash.alias("hash"), at.alias("at"), slots.alias("slots"), plain.alias("plain"))
+
+    none, sure = F.lit(None).cast("array<string>"), F.lit(True)
+
+    def of(words: Column, typed: Column, exact: Column, slotted: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(words) - width)
+
+        def over(numbers: Column, at: Column) -> Column:
+            return F.xxhash64(F.lit(width), *(numbers[at + k] for k in range(width)))
+
+        def both(at: Column) -> Column:
+            def keys(hashes: Column) -> Column:
+                t, e = hashes[0], hashes[1]
+                slots = F.filter(F.slice(words, at + 1, width), _is_slot)
+                return F.when(t == e, F.array(key(e, at, none, sure))).otherwise(
+                    bind(
+                        slots,
+                        lambda s: F.when(
+                            F.size(s) > width - enough, F.array(key(e, at, none, F.lit(False)))
+                        ).otherwise(F.array(key(t, at, s, sure), key(e, at, none, sure))),
+                    )
                 )
 
-            bare = F.struct(
-                typed.alias("hash"), at.alias("at"), F.lit(None).cast("array<string>").alias("slots"), F.lit(False).alias("literal")
-            )
-            return F.when(slotted, bind(F.filter(F.slice(words, at + 1, width), _is_slot), built)).otherwise(bare)
+            return bind(F.array(over(typed, at), over(exact, at)), keys)
 
-        return F.transform(F.sequence(F.lit(0), F.size(words) - width), window)
+        return F.when(slotted, F.flatten(F.transform(places, both))).otherwise(
+            F.transform(places, lambda at: key(over(exact, at), at, none, sure))
+        )
 
-    none = F.array().cast("array<struct<hash:bigint,at:int,slots:array<string>,literal:boolean>>")
-    return F.when(F.size(words) < width, none).otherwise(
+    return F.when(F.size(words) < width, F.array().cast(_KEYS)).otherwise(
         bind(
             words,
-            lambda w: bind(_template(w), lambda t: bind(F.exists(w, _is_slot), lambda s: of(w, t, s))),
+            lambda w: bind(
+                _numbers(w),
+                lambda n: bind(
+                    F.struct(n["typed"].alias("t"), n["exact"].alias("e")),
+                    lambda x: of(w, x["t"], x["e"], F.exists(w, _is_slot)),
+                ),
+            ),
         )
     )
 
 
 def _readings(text: Column) -> Column:
-    """The words of an item as it stands and, if they differ, after a word.
-
-    What precedes an item in a document decides whether its first word is a
-    slot there: a capital after a word is a name, a unit after a number a unit.
-    """
+    """The words of an item as it stands, after a number, and with sentences begun plainly or by names."""
     after = words(F.concat(F.lit("1 "), F.btrim(F.coalesce(text, F.lit("")))))
-    return bind(after, lambda w: F.array_distinct(F.array(words(text), F.slice(w, F.lit(2), F.size(w)))))
+    return bind(
+        after,
+        lambda w: F.array_distinct(
+            F.array(words(text), F.slice(w, F.lit(2), F.size(w)), words(text, ""), words(text, _NAME))
+        ),
+    )
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -135,15 +208,16 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     for width in range(1, WINDOW + 1):
         by_width = F.when(F.col("width") == width, _windows(F.col("w"), width)).otherwise(by_width)
     found = sized.select("item", "reading", "width", F.explode(by_width).alias("x")).select(
-        "item", "reading", "width", "x.*"
+        "item", "width", F.when(F.col("x.slots").isNotNull(), F.col("reading")).otherwise(0).alias("reading"), "x.*"
     )
+    found = found.groupBy("item", "width", "reading", "hash", "at", "slots").agg(F.max("plain").alias("plain"))
     sizes = found.groupBy(F.col("item").alias("of")).agg(
         F.countDistinct("at").alias("n_windows"),
-        F.countDistinct(F.when(~F.col("literal"), F.col("at"))).alias("n_plain"),
+        F.countDistinct(F.when(F.col("plain"), F.col("at"))).alias("n_plain"),
     )
-    return found.distinct().join(sizes, F.col("item") == F.col("of")).select(
+    return found.join(sizes, F.col("item") == F.col("of")).select(
         "item", "n_windows", "n_plain", "reading", "hash", F.col("at").alias("item_at"),
-        F.col("slots").alias("item_slots"), F.col("literal").alias("item_literal"), "width",
+        F.col("slots").alias("item_slots"), F.col("plain").alias("item_plain"), "width",
     )
 
 
@@ -177,37 +251,43 @@ def contamination(
     met = stage(
         meetings(docs, items, id_col, text_col)
         .select(
-            "id", "text_hash", "item", "n_windows", "n_plain", "reading", "item_at", "item_literal",
+            "id", "text_hash", "item", "n_windows", "n_plain", "reading", "item_at", "item_plain",
             (F.col("at") - F.col("item_at")).alias("shift"), "slots", "item_slots",
         )
         .distinct(),
         "meetings",
     )
     alignment = ["id", "text_hash", "item", "reading", "shift"]
-    # Slots of a type map one to one along an alignment, or it is dropped. The
-    # type is the value's first character, digits being numbers.
-    # Literal windows hold equal slots and need no alignment.
-    slot_pairs = met.filter(F.col("slots").isNotNull() & ~F.col("item_literal")).select(
-        *alignment, F.explode(F.arrays_zip("item_slots", "slots")).alias("p")
+    # The type of a slot is its first character, digits being numbers. Windows
+    # that meet by their words hold no slots and need no mapping.
+    pairs = (
+        met.filter(F.col("slots").isNotNull())
+        .select(*alignment, "item_at", F.explode(F.arrays_zip("item_slots", "slots")).alias("p"))
+        .select(*alignment, "item_at", F.col("p.item_slots").alias("asked"), F.col("p.slots").alias("given"))
     )
-    clashing = (
-        slot_pairs.groupBy(*alignment)
-        .agg(
-            F.countDistinct("p").alias("pairs"),
-            F.countDistinct("p.item_slots").alias("asked"),
-            F.countDistinct("p.slots").alias("given"),
-        )
-        .filter("pairs != asked or pairs != given")
+    counted = pairs.groupBy(*alignment, "asked", "given").agg(F.count("*").alias("n"))
+    best = [
+        F.row_number().over(Window.partitionBy(*alignment, one).orderBy(F.desc("n"), other)) == 1
+        for one, other in (("asked", "given"), ("given", "asked"))
+    ]
+    outside = counted.select(*alignment, "asked", "given", (best[0] & best[1]).alias("kept")).filter("not kept")
+
+    def same(keys: list[str]) -> list[Column]:
+        return [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys]
+
+    dropped = (
+        pairs.alias("l")
+        .join(outside.alias("r"), same([*alignment, "asked", "given"]), "left_semi")
+        .select(*alignment, "item_at")
+        .distinct()
     )
-    here, there = met.alias("m"), clashing.alias("c")
-    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"c.{c}")) for c in alignment]
-    good = here.join(there, [*same, ~F.col("m.item_literal")], "left_anti")
-    plain = ~F.col("item_literal")
+    by_template = F.col("l.slots").isNotNull() & (F.col("l.slots") != F.col("l.item_slots"))
+    good = met.alias("l").join(dropped.alias("r"), [*same([*alignment, "item_at"]), by_template], "left_anti")
     hits = (
         good.groupBy("id", "text_hash", "item")
         .agg(
             F.countDistinct("item_at").alias("covered"),
-            F.countDistinct(F.when(plain, F.col("item_at"))).alias("covered_plain"),
+            F.countDistinct(F.when(F.col("item_plain"), F.col("item_at"))).alias("covered_plain"),
             F.max("n_windows").alias("n_windows"),
             F.max("n_plain").alias("n_plain"),
         )
@@ -255,59 +335,98 @@ def clean_documents(
 
 def oracle_sql(min_share: float = 0.5, min_windows: int = 6) -> str:
     """DuckDB SQL for ``contamination_report`` (items comma-joined) over tables
-    ``documents`` and ``benchmark``. Look-behinds are written as groups applied
-    twice, as a match may take the character that the next one needs."""
-    name = r"'([\p{L}\p{N},;:] )(\p{Lu}\p{Ll})', '\1' || chr(1) || '\2', 'g')"
+    ``documents`` and ``benchmark``. Look-behinds are written as groups, applied
+    twice where a match may take the character that the next one needs."""
+    capital = r"'(^|[^\p{L}\p{N}\p{M}\x01\x02])(\p{Lu}\p{Ll})', '\1' || chr(2) || '\2', 'g')"
+    inside = r"'([\p{L}\p{N},;:] )(\p{Lu}\p{Ll})', '\1' || chr(1) || '\2', 'g')"
     point = r"'(\p{N})\.(\p{N})', '\1' || chr(4) || '\2', 'g')"
     comma = r"'(\p{N}),(\p{N})', '\1' || chr(5) || '\2', 'g')"
-    text = "coalesce(text, '')"
-    for step in (name, point, comma):
-        text = f"regexp_replace(regexp_replace({text}, {step}, {step}"
-    plain = rf"regexp_replace({text}, '[^\p{{L}}\p{{N}}\p{{M}}\x01\x04\x05]+', ' ', 'g')"
-    plain = f"trim(lower(replace(replace({plain}, chr(4), '.'), chr(5), ',')))"
     units = ", ".join(f"'{u}'" for u in UNITS)
 
-    def windows(table: str, key: str) -> str:
-        return f"""{table}_p AS (SELECT {key} AS id, hash(text) AS th, {plain} AS t FROM {table}),
-{table}_s AS (SELECT id, th, CASE WHEN t = '' THEN [] ELSE string_split(t, ' ') END AS w FROM {table}_p),
-{table}_w AS (
-  SELECT id, th, [CASE WHEN i > 1 AND w[i] IN ({units}) AND regexp_matches(w[i - 1], '[0-9]$')
-                       THEN chr(3) || w[i] ELSE w[i] END FOR i IN range(1, len(w) + 1)] AS w
-  FROM {table}_s
-), {table}_t AS (
+    def plain(text: str) -> str:
+        for step in (inside, capital, point, comma):
+            text = f"regexp_replace(regexp_replace({text}, {step}, {step}"
+        spaced = rf"regexp_replace({text}, '[^\p{{L}}\p{{N}}\p{{M}}\x01\x02\x04\x05]+', ' ', 'g')"
+        return f"trim(lower(replace(replace({spaced}, chr(4), '.'), chr(5), ',')))"
+
+    whole = "coalesce(text, '')"
+
+    def windows(table: str, readings: str) -> str:
+        return f"""{table}_p AS ({readings}),
+{table}_s AS (
+  SELECT id, th, reading, CASE WHEN t = '' THEN [] ELSE string_split(t, ' ') END AS w FROM {table}_p
+), {table}_n AS (
+  SELECT *, list_filter(w, lambda x: unicode(x) = 1) AS names,
+         [CASE WHEN unicode(x) = 2 THEN substr(x, 2) ELSE x END FOR x IN w] AS v FROM {table}_s
+), {table}_u AS (
+  SELECT id, th, reading,
+         [CASE WHEN i > 1 AND v[i] IN ({units}) AND regexp_matches(v[i - 1], '[0-9]$') THEN chr(3) || v[i]
+               WHEN unicode(w[i]) = 2 AND (reading = 3 OR reading < 2 AND list_contains(names, chr(1) || v[i]))
+               THEN chr(1) || v[i] ELSE v[i] END FOR i IN range(1, len(w) + 1)] AS w
+  FROM {table}_n
+), {table}_w AS (SELECT id, th, reading, CASE WHEN reading = 1 THEN w[2:] ELSE w END AS w FROM {table}_u),
+{table}_t AS (
   SELECT *, [CASE WHEN unicode(x) > 57 THEN x WHEN unicode(x) = 1 THEN chr(1) WHEN unicode(x) = 3 THEN chr(3)
-                  ELSE chr(2) END FOR x IN w] AS tpl FROM {table}_w
+                  ELSE chr(2) END FOR x IN w] AS tpl,
+         [CASE WHEN unicode(x) < 32 THEN substr(x, 2) ELSE x END FOR x IN w] AS lit FROM {table}_w
 )"""
 
-    def spread(table: str, width: str, source: str) -> str:
-        return f"""SELECT id, th, {width} AS width, unnest(
-    [{{'h': array_to_string(tpl[i:i + {width} - 1], ' '), 'at': i - 1,
-       'slots': list_filter(w[i:i + {width} - 1], lambda x: unicode(x) <= 57)}}
-     FOR i IN range(1, len(w) - {width} + 2)]) AS x FROM {source}"""
+    def keys(table: str, width: str, source: str) -> str:
+        return f"""{table}_x AS (
+  SELECT id, th, reading, {width} AS width, unnest(
+    [{{'t': array_to_string(tpl[i:i + {width} - 1], ' '), 'e': array_to_string(lit[i:i + {width} - 1], ' '),
+       'pos': i - 1, 'slots': list_filter(w[i:i + {width} - 1], lambda x: unicode(x) <= 57)}}
+     FOR i IN range(1, len(w) - {width} + 2)]) AS x FROM {source}
+), {table}_k AS (
+  SELECT id, th, width, reading, x.t AS h, x.pos AS pos, x.slots AS slots, true AS plain FROM {table}_x
+  WHERE len(x.slots) > 0 AND width - len(x.slots) >= least({MIN_PLAIN}, width)
+  UNION ALL
+  SELECT id, th, width, 0, x.e, x.pos, NULL, width - len(x.slots) >= least({MIN_PLAIN}, width) FROM {table}_x
+)"""
+
+    docs = f"SELECT doc_id AS id, hash(text) AS th, 0 AS reading, {plain(whole)} AS t FROM documents"
+    after = f"'1 ' || trim({whole})"
+    items = " UNION ALL ".join(
+        f"SELECT item_id AS id, hash(text) AS th, {n} AS reading, {plain(text)} AS t FROM benchmark"
+        for n, text in enumerate((whole, after, whole, whole))
+    )
+    alignment = "id, th, item, reading, shift"
+
+    def same(more: str) -> str:
+        return " AND ".join(f"l.{c} IS NOT DISTINCT FROM r.{c}" for c in f"{alignment}, {more}".split(", "))
 
-    alignment = "id, th, item, shift"
-    same = " AND ".join(f"m.{c} IS NOT DISTINCT FROM c.{c}" for c in alignment.split(", "))
-    return f"""WITH {windows("documents", "doc_id")}, {windows("benchmark", "item_id")},
-bi AS ({spread("benchmark", f"least(len(w), {WINDOW})", "benchmark_t WHERE id IS NOT NULL AND len(w) > 0")}),
+    return f"""WITH {windows("documents", docs)}, {windows("benchmark", items)},
+{keys("benchmark", f"least(len(w), {WINDOW})", "benchmark_t WHERE id IS NOT NULL AND len(w) > 0")},
 bu AS (
-  SELECT DISTINCT id AS item, width, x.h AS h, x.at AS item_at, x.slots AS item_slots FROM bi
-  WHERE width - len(x.slots) >= least({MIN_PLAIN}, width)
-), bn AS (SELECT item, count(DISTINCT item_at) AS n_windows FROM bu GROUP BY item),
-widths AS (SELECT DISTINCT width AS k FROM bu),
-dw AS ({spread("documents", "k", "documents_t, widths WHERE len(w) >= k")}),
+  SELECT id AS item, width, reading, h, pos AS item_at, slots AS item_slots, max(plain) AS plain
+  FROM benchmark_k GROUP BY ALL
+), bn AS (
+  SELECT item, count(DISTINCT item_at) AS n_windows, count(DISTINCT item_at) FILTER (plain) AS n_plain
+  FROM bu GROUP BY item
+), widths AS (SELECT DISTINCT width AS k FROM bu),
+{keys("documents", "k", "documents_t, widths WHERE len(w) >= k")},
 met AS (
-  SELECT DISTINCT d.id, d.th, b.item, n_windows, item_at, d.x.at - item_at AS shift, d.x.slots AS slots, item_slots
-  FROM dw d JOIN bu b ON d.x.h = b.h AND d.width = b.width JOIN bn USING (item)
+  SELECT DISTINCT d.id, d.th, b.item, n_windows, n_plain, b.reading, item_at, plain, d.pos - item_at AS shift,
+         d.slots, item_slots
+  FROM (SELECT id, th, width, h, pos, slots FROM documents_k) d
+  JOIN bu b ON d.h = b.h AND d.width = b.width JOIN bn USING (item)
 ), pr AS (
-  SELECT {alignment}, unnest(range(1, len(slots) + 1)) AS i, slots, item_slots FROM met WHERE len(slots) > 0
-), c AS (
-  SELECT {alignment} FROM pr GROUP BY ALL
-  HAVING count(DISTINCT {{'a': item_slots[i], 'b': slots[i]}}) != count(DISTINCT item_slots[i])
-      OR count(DISTINCT {{'a': item_slots[i], 'b': slots[i]}}) != count(DISTINCT slots[i])
-), good AS (SELECT * FROM met m WHERE NOT EXISTS (SELECT 1 FROM c WHERE {same})),
-hits AS (
+  SELECT {alignment}, item_at, unnest(item_slots) AS asked, unnest(slots) AS given FROM met WHERE slots IS NOT NULL
+), cn AS (SELECT {alignment}, asked, given, count(*) AS n FROM pr GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY {alignment}, asked ORDER BY n DESC, given) AS by_asked,
+         row_number() OVER (PARTITION BY {alignment}, given ORDER BY n DESC, asked) AS by_given FROM cn
+), dropped AS (
+  SELECT DISTINCT {", ".join(f"l.{c}" for c in alignment.split(", "))}, item_at
+  FROM pr l JOIN ranked r ON {same("asked, given")} WHERE by_asked > 1 OR by_given > 1
+), good AS (
+  SELECT * FROM met l WHERE slots IS NULL OR slots = item_slots
+    OR NOT EXISTS (SELECT 1 FROM dropped r WHERE {same("item_at")})
+), hits AS (
   SELECT id, th, item FROM good GROUP BY id, th, item
   HAVING count(DISTINCT item_at) >= {min_share} * max(n_windows) OR count(DISTINCT item_at) >= {min_windows}
+      OR (count(DISTINCT item_at) FILTER (plain) > 0
+          AND count(DISTINCT item_at) FILTER (plain) >= {min_share} * max(n_plain))
 ), per AS (SELECT id, th, list(item ORDER BY item) AS items FROM hits GROUP BY id, th)
 SELECT doc_id, items IS NOT NULL AS contaminated, coalesce(len(items), 0) AS n_items,
        coalesce(array_to_string(items, ','), '') AS items

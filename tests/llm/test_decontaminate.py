@@ -51,12 +51,43 @@ def test_equals_brute_force_on_the_test_table(spark, make_docs, given):
 
 
 def test_other_values_are_caught_and_must_be_consistent(make_docs, items):
+    """Windows that fit the alignment's majority, or that equal the item's, count."""
     asked = ITEM.replace("Alice", "Carol").replace("3", "71").replace("Bob", "Dave").replace("km", "miles")
     mixed = asked.replace("71 of", "9 of")  # one number became two
     merged = ITEM.replace("Bob", "Alice")  # two names became one
-    texts = ["intro. " + asked + " more", mixed, merged, ITEM.upper().lower(), "market day " * 30]
+    texts = ["intro. " + asked + " more", mixed, merged, ITEM.upper().lower(), "market day " * 30, ITEM.upper(), ITEM.title()]
     got = {r.doc_id: r.contaminated for r in contamination_report(make_docs(texts), items).collect()}
-    assert got == {0: True, 1: False, 2: False, 3: False, 4: False}
+    assert got == {0: True, 1: True, 2: True, 3: True, 4: False, 5: True, 6: True}
+
+
+LOSSES = {
+    1: (
+        "The census of 2010 counted many more people in the valley than the one before did and so the year 2010 "
+        "was called a good one by all who lived there for long"
+    ),
+    2: "Tom has 3 apples. Tom buys 5 more. How many apples does Tom have?",
+    3: "Sue paid 9 euros to the baker for bread and 300 euros to the old farmer for a cow.",
+    4: "box 3 is red and box 3 is blue and box 3 is green and box 3 is black and box 3 is white today",
+}
+
+
+def lossy_texts():
+    one = LOSSES[1].replace("2010", "2011", 1)
+    anna = LOSSES[2].replace("Tom", "Anna")
+    equal = LOSSES[3].replace("300", "200").replace("9", "200").replace("Sue", "Ann")
+    spread = LOSSES[4]
+    for k in range(5):
+        spread = spread.replace(" 3 ", f" {50 + k} ", 1)  # one number became five
+    return [
+        f"As said: {one}", anna, f"x\n{anna}", anna.replace(". ", ".  "), equal, spread, LOSSES[2].lower(),
+        f"so {LOSSES[3].replace('Sue', 'sue')}", LOSSES[3].upper(), "Tom has a dog. Anna buys it.",
+    ]
+
+
+def test_edited_recased_and_renamed_passages_are_found(spark, make_docs):
+    bench = spark.createDataFrame(list(LOSSES.items()), "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in contamination_report(make_docs(lossy_texts()), bench).collect()}
+    assert got == {0: [1], 1: [2], 2: [2], 3: [2], 4: [3], 5: [], 6: [2], 7: [3], 8: [3], 9: []}
 
 
 def test_literal_and_short_items(make_docs, items):
@@ -77,22 +108,14 @@ def test_awkward_rows(awkward, items, make_docs, spark):
     assert contamination_report(make_docs([]), items).count() == 0
 
 
-def test_sql_agrees_on_slots_and_awkward_texts(make_docs, items):
+def check_sql(texts, ids, got, bench):
     import duckdb
     import pandas as pd
 
     from shelfwise.llm.decontaminate import oracle_sql
 
-    asked = ITEM.replace("Alice", "Carol").replace("3", "1,250.5").replace("Bob", "Dave").replace("km", "miles")
-    texts = [
-        asked, asked.replace("1,250.5 of", "9 of"), ITEM.replace("Bob", "Alice"), ITEM, None, "", "Bo Ca Da Ed.",
-        "a very short item", "1.2.3 km, 4.,5 m", f"{ITEM}\n{asked}", "ÉTÉ à Paris, Été",
-    ]
-    ids = [*range(9), None, 10]
-    got = contamination_report(make_docs(texts, ids), items).collect()
     con = duckdb.connect()
     con.register("documents", pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "text": pd.array(texts, "string")}))
-    bench = [(r.item_id, r.text) for r in items.collect()]
     con.register(
         "benchmark",
         pd.DataFrame({"item_id": pd.array([i for i, _ in bench], "Int64"), "text": pd.array([t for _, t in bench], "string")}),
@@ -100,7 +123,49 @@ def test_sql_agrees_on_slots_and_awkward_texts(make_docs, items):
     want = con.sql(oracle_sql()).fetchall()
     mine = [(r.doc_id, r.contaminated, r.n_items, ",".join(map(str, r["items"]))) for r in got]
     assert sorted(map(str, mine)) == sorted(map(str, want))
-    assert sum(r.contaminated for r in got) == 4
+
+
+def test_sql_agrees_on_slots_and_awkward_texts(make_docs, items):
+    asked = ITEM.replace("Alice", "Carol").replace("3", "1,250.5").replace("Bob", "Dave").replace("km", "miles")
+    texts = [
+        asked, asked.replace("1,250.5 of", "9 of"), ITEM.replace("Bob", "Alice"), ITEM, None, "", "Bo Ca Da Ed.",
+        "a very short item", "1.2.3 km, 4.,5 m", f"{ITEM}\n{asked}", "ÉTÉ à Paris, Été", ITEM.lower(), ITEM.title(),
+    ]
+    ids = [*range(9), None, 10, 11, 12]
+    got = contamination_report(make_docs(texts, ids), items).collect()
+    check_sql(texts, ids, got, [(r.item_id, r.text) for r in items.collect()])
+    assert sum(r.contaminated for r in got) == 8
+
+
+def test_sql_agrees_on_readings_mappings_and_windows_of_few_plain_words(spark, make_docs):
+    bench = list(LOSSES.items()) + [
+        (5, "What is 12 + 30 * 4 - 7 ?"), (6, "minutes pass slowly here today"), (7, "Anna likes green tea here"),
+        (8, "the farmer sells many good pears here 1 2 3 4 5 6 7 8 9 10 11 12"),
+    ]
+    texts = lossy_texts() + [
+        "say What is 12 + 30 * 4 - 7 ?", "what is 12 + 31 * 4 - 7 ?", "after 5 minutes pass slowly here today",
+        "after 5 hours pass slowly here today", "so Carl likes green tea here.", "so anna likes green tea here",
+        "x the farmer sells many good pears here 7 8 9 y", "The farmer sells many good pears here 1 2 3",
+        *LOSSES.values(),
+    ]
+    ids = list(range(len(texts)))
+    got = contamination_report(make_docs(texts, ids), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    check_sql(texts, ids, got, bench)
+    assert {i for r in got for i in r["items"]} == set(range(1, 9))
+
+
+def test_a_large_benchmark_is_shuffled_to_the_same_rows(spark, make_docs, items, monkeypatch):
+    from shelfwise.llm import decontaminate
+
+    docs = make_docs([ITEM, f"x {ITEM.lower()}", "fine", None])
+    want = sorted(map(str, contamination_report(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    assert sorted(map(str, contamination_report(docs, items).collect())) == want
+
+
+def test_very_long_texts_are_taken_whole(make_docs, items):
+    long = ("Word 12 km of Text, a@b.cc " * 20_000) + ITEM + ("\n" * 100_000) + "7 " * 50_000
+    assert [r.contaminated for r in contamination_report(make_docs([long]), items).collect()] == [True]
 
 
 def test_an_item_after_a_word_is_found_though_its_first_capital_becomes_a_name(spark, make_docs):
