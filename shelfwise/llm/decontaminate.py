@@ -147,11 +147,15 @@ def _windows(words: Column, width: int) -> Column:
 
     none, sure = F.lit(None).cast("array<string>"), F.lit(True)
 
-    def of(words: Column, typed: Column, exact: Column, slotted: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(words) - width)
+    def over(numbers: Column, at: Column) -> Column:
+        return F.xxhash64(F.lit(width), *(numbers[at + k] for k in range(width)))
+
+    def without_slots(exact: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(exact) - width)
+        return F.transform(places, lambda at: key(over(exact, at), at, none, sure))
 
-        def over(numbers: Column, at: Column) -> Column:
-            return F.xxhash64(F.lit(width), *(numbers[at + k] for k in range(width)))
+    def with_slots(words: Column, typed: Column, exact: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(words) - width)
 
         def both(at: Column) -> Column:
             def keys(hashes: Column) -> Column:
@@ -168,20 +172,21 @@ def _windows(words: Column, width: int) -> Column:
 
             return bind(F.array(over(typed, at), over(exact, at)), keys)
 
-        return F.when(slotted, F.flatten(F.transform(places, both))).otherwise(
-            F.transform(places, lambda at: key(over(exact, at), at, none, sure))
-        )
+        return F.flatten(F.transform(places, both))
 
     return F.when(F.size(words) < width, F.array().cast(_KEYS)).otherwise(
         bind(
             words,
-            lambda w: bind(
-                _numbers(w),
-                lambda n: bind(
-                    F.struct(n["typed"].alias("t"), n["exact"].alias("e")),
-                    lambda x: of(w, x["t"], x["e"], F.exists(w, _is_slot)),
+            lambda w: F.when(
+                F.exists(w, _is_slot),
+                bind(
+                    _numbers(w),
+                    lambda n: bind(
+                        F.struct(n["typed"].alias("t"), n["exact"].alias("e")),
+                        lambda x: with_slots(w, x["t"], x["e"]),
+                    ),
                 ),
-            ),
+            ).otherwise(bind(F.transform(w, lambda x: F.xxhash64(x)), without_slots)),
         )
     )
 
