@@ -53,12 +53,13 @@ UNITS = (
     "euros", "eur", "cent", "cents", "percent", "degrees", "mph", "kmh",
 )
 _NAME, _BEGIN, _UNIT = "\x01", "\x02", "\x03"
-_CAPITAL = rf"(?<![\p{{L}}\p{{N}}\p{{M}}{_NAME}])(?=\p{{Lu}}\p{{Ll}})"
-_INSIDE_SENTENCE = r"(?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{Ll})"
+# What fails at most characters stands first: a capital, and a digit before a unit.
+_CAPITAL = rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{N}}\p{{M}}{_NAME}])"
+_INSIDE_SENTENCE = r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;:] )"
 # All but letters, digits, marks, and points or commas between digits. No group is
 # repeated, as Java would recurse once a character on a long run.
 _NOISE = rf"[^\p{{L}}\p{{N}}\p{{M}}{_NAME}{_BEGIN}.,]+|[.,](?!\p{{N}})|(?<!\p{{N}})[.,]"
-_UNIT_WORD = rf"(?<=[0-9] ){_BEGIN}?({'|'.join(UNITS)})(?= |$)"
+_UNIT_WORD = rf"([0-9] ){_BEGIN}?({'|'.join(UNITS)})(?= |$)"
 # Windows of the benchmark that may be broadcast: about 100 bytes each.
 BROADCAST_WINDOWS = 500_000
 
@@ -70,13 +71,14 @@ def words(text: Column, begun: str | None = None) -> Column:
     elsewhere; ``begun`` makes them all plain (``""``) or all names (``_NAME``).
     """
     inside = F.regexp_replace(F.coalesce(text, F.lit("")), _INSIDE_SENTENCE, _NAME)
-    if begun is None:
-        marked = F.when(F.contains(inside, F.lit(_NAME)), F.regexp_replace(inside, _CAPITAL, _BEGIN)).otherwise(inside)
-    else:
-        marked = F.regexp_replace(inside, _CAPITAL, begun) if begun else inside
-    spaced = F.regexp_replace(F.regexp_replace(marked, _NOISE, " "), " {2,}", " ")
-    plain = F.btrim(F.lower(spaced))
-    typed = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _UNIT_WORD, f"{_UNIT}$1")).otherwise(plain)
+
+    def begins(inside: Column) -> Column:
+        marked = F.regexp_replace(inside, _CAPITAL, _BEGIN)
+        return F.when(F.contains(inside, F.lit(_NAME)), marked).otherwise(inside)
+
+    def typed(plain: Column) -> Column:
+        units = F.regexp_replace(plain, _UNIT_WORD, f"$1{_UNIT}$2")
+        return F.when(plain.rlike("[0-9]"), units).otherwise(plain)
 
     def split(typed: Column) -> Column:
         found = F.split(typed, " ", -1)
@@ -86,7 +88,12 @@ def words(text: Column, begun: str | None = None) -> Column:
             .otherwise(found)
         )
 
-    return bind(typed, split)
+    if begun is None:
+        marked = bind(inside, begins)
+    else:
+        marked = F.regexp_replace(inside, _CAPITAL, begun) if begun else inside
+    spaced = F.regexp_replace(F.regexp_replace(marked, _NOISE, " "), " {2,}", " ")
+    return bind(bind(F.btrim(F.lower(spaced)), typed), split)
 
 
 _HALVES = [1 << bit for bit in range(27, -1, -1)]
@@ -116,77 +123,73 @@ def _is_slot(word: Column) -> Column:
     return F.ascii(word) <= F.lit(ord("9"))
 
 
-def _numbers(words: Column) -> Column:
-    """``{typed, exact}`` of each word: its type if it is a slot, and its hash without a mark."""
-
-    def one(word: Column) -> Column:
-        def by_first(a: Column) -> Column:
-            kind = F.when(a == ord(_NAME), -1).when(a == ord(_UNIT), -2).otherwise(-3).cast("long")
-            exact = F.xxhash64(F.when(a < ord(" "), F.substr(word, F.lit(2))).otherwise(word))
-            return bind(
-                exact, lambda e: F.struct(F.when(a > ord("9"), e).otherwise(kind).alias("typed"), e.alias("exact"))
-            )
+def _exact(words: Column) -> Column:
+    """The hash of each word without its mark."""
+    marked = lambda w: F.ascii(w) < F.lit(ord(" "))
+    return F.transform(words, lambda w: F.xxhash64(F.when(marked(w), F.substr(w, F.lit(2))).otherwise(w)))
 
-        return bind(F.ascii(word), by_first)
 
-    return F.transform(words, one)
+def _typed(words: Column, exact: Column) -> Column:
+    """The type of each word that is a slot, the hash of any other."""
+    kind = lambda a: F.when(a == ord(_NAME), -1).when(a == ord(_UNIT), -2).otherwise(-3).cast("long")
+    return F.transform(words, lambda w, i: F.when(_is_slot(w), kind(F.ascii(w))).otherwise(exact[i]))
 
 
 _KEYS = "array<struct<hash:bigint,at:int,slots:array<string>,plain:boolean>>"
 
 
-def _windows(words: Column, width: int) -> Column:
-    """``{hash, at, slots, plain}`` of every window: by its template and, without slots, by its words.
+def _windows(words: Column, width: int, flagged: bool = False) -> Column:
+    """``{hash, at, slots, plain}`` of every window by its words, and of those with slots by their template.
 
-    ``plain`` tells whether it has enough plain words; if not, it has no template.
+    A window with too few plain words has no template; if ``flagged``, ``plain``
+    tells which these are, else it is true.
     """
     enough = min(MIN_PLAIN, width)
-
-    def key(hash: Column, at: Column, slots: Column, plain: Column) -> Column:
-        return F.struct(hash.alias("hash"), at.alias("at"), slots.alias("slots"), plain.alias("plain"))
-
     none, sure = F.lit(None).cast("array<string>"), F.lit(True)
 
     def over(numbers: Column, at: Column) -> Column:
-        return F.xxhash64(F.lit(width), *(numbers[at + k] for k in range(width)))
+        return F.xxhash64(F.lit(width), F.slice(numbers, at + 1, width))
 
-    def without_slots(exact: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(exact) - width)
-        return F.transform(places, lambda at: key(over(exact, at), at, none, sure))
+    def slots(at: Column) -> Column:
+        return F.filter(F.slice(words, at + 1, width), _is_slot)
 
-    def with_slots(words: Column, typed: Column, exact: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(words) - width)
+    def by_words(exact: Column, plain) -> Column:
+        def key(at: Column) -> Column:
+            return F.struct(
+                over(exact, at).alias("hash"), at.alias("at"), none.alias("slots"), plain(at).alias("plain")
+            )
 
-        def both(at: Column) -> Column:
-            def keys(hashes: Column) -> Column:
-                t, e = hashes[0], hashes[1]
-                slots = F.filter(F.slice(words, at + 1, width), _is_slot)
-                return F.when(t == e, F.array(key(e, at, none, sure))).otherwise(
-                    bind(
-                        slots,
-                        lambda s: F.when(
-                            F.size(s) > width - enough, F.array(key(e, at, none, F.lit(False)))
-                        ).otherwise(F.array(key(t, at, s, sure), key(e, at, none, sure))),
-                    )
-                )
+        return F.transform(F.sequence(F.lit(0), F.size(exact) - width), key)
 
-            return bind(F.array(over(typed, at), over(exact, at)), keys)
+    def by_template(words: Column, exact: Column) -> Column:
+        last = F.size(words) - width
+        at_slots = F.filter(
+            F.transform(words, lambda w, i: F.when(_is_slot(w), i)), lambda i: i.isNotNull()
+        )
+        around = F.transform(
+            at_slots, lambda i: F.sequence(F.greatest(i - width + 1, F.lit(0)), F.least(i, last), F.lit(1))
+        )
+        held = F.transform(
+            F.array_distinct(F.flatten(around)), lambda at: F.struct(at.alias("at"), slots(at).alias("slots"))
+        )
 
-        return F.flatten(F.transform(places, both))
+        def keys(typed: Column) -> Column:
+            return F.transform(
+                F.filter(held, lambda x: F.size(x["slots"]) <= width - enough),
+                lambda x: F.struct(
+                    over(typed, x["at"]).alias("hash"), x["at"].alias("at"), x["slots"].alias("slots"), sure.alias("plain")
+                ),
+            )
+
+        return bind(_typed(words, exact), keys)
+
+    def with_slots(exact: Column) -> Column:
+        plain = (lambda at: F.size(slots(at)) <= width - enough) if flagged else (lambda at: sure)
+        return F.concat(by_words(exact, plain), by_template(words, exact))
 
     return F.when(F.size(words) < width, F.array().cast(_KEYS)).otherwise(
-        bind(
-            words,
-            lambda w: F.when(
-                F.exists(w, _is_slot),
-                bind(
-                    _numbers(w),
-                    lambda n: bind(
-                        F.struct(n["typed"].alias("t"), n["exact"].alias("e")),
-                        lambda x: with_slots(w, x["t"], x["e"]),
-                    ),
-                ),
-            ).otherwise(bind(F.transform(w, lambda x: F.xxhash64(x)), without_slots)),
+        F.when(F.exists(words, _is_slot), bind(_exact(words), with_slots)).otherwise(
+            bind(F.transform(words, lambda w: F.xxhash64(w)), lambda e: by_words(e, lambda at: sure))
         )
     )
 
@@ -211,7 +214,7 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     sized = split.withColumn("width", F.least(F.size("w"), F.lit(WINDOW)))
     by_width = F.lit(None)
     for width in range(1, WINDOW + 1):
-        by_width = F.when(F.col("width") == width, _windows(F.col("w"), width)).otherwise(by_width)
+        by_width = F.when(F.col("width") == width, _windows(F.col("w"), width, flagged=True)).otherwise(by_width)
     found = sized.select("item", "reading", "width", F.explode(by_width).alias("x")).select(
         "item", "width", F.when(F.col("x.slots").isNotNull(), F.col("reading")).otherwise(0).alias("reading"), "x.*"
     )
