@@ -75,3 +75,41 @@ def test_nothing_to_learn_and_empty(make_docs):
     assert learn_profiles(make_docs([])) == {}
     assert [r.lang_pred for r in identify(make_docs(["abc"]), {}).collect()] == ["und"]
     assert identify(make_docs([]), {}).count() == 0
+
+
+def test_equals_brute_force_on_the_test_table(spark, make_docs, given):
+    from tests.llm.conftest import DOCS
+
+    def counted(text):
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        if not letters.strip(" "):
+            return Counter()
+        s = f" {' '.join(letters.split())} "
+        found = Counter(s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1))
+        del found[" "]
+        return found
+
+    def ordered(counts, size):
+        return sorted(counts, key=lambda g: (-counts[g], gram(g)))[:size]
+
+    size, sums = 400, {}
+    for doc_id, text, lang, *_ in given["documents"]:
+        if lang is not None and zlib.crc32(str(doc_id).encode()) % 3 != 1:
+            sums.setdefault(lang, Counter()).update(counted(text))
+    ranks = {lang: {g: i for i, g in enumerate(ordered(c, size))} for lang, c in sums.items()}
+    learned = learn_profiles(spark.createDataFrame(given["documents"], DOCS), size, rows_per_language=10**9)
+    assert learned == {lang: [gram(g) for g in r] for lang, r in ranks.items()}
+
+    def predicted(text):
+        own = ordered(counted(text), size)
+        if not own:
+            return "und", 0.0
+        apart = {x: sum(abs(r[g] - i) if g in r else size for i, g in enumerate(own)) for x, r in ranks.items()}
+        best = min(sorted(apart), key=apart.get)
+        return best, 1 - apart[best] / (size * len(own))
+
+    texts = [r[1] for r in given["documents"]] + [None, "", "7 @ 7", "1" * 100_000, " \n" * 100_000, "a1@b " * 20_000]
+    got = {r.doc_id: r for r in identify(make_docs(texts), learned, size).collect()}
+    for i, text in enumerate(texts):
+        lang, score = predicted(text)
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=1e-12)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -53,3 +55,21 @@ def test_a_hot_key_and_empty(make_docs):
     by = got.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m"))
     assert all(r.n == r.d == r.m + 1 for r in by.collect())
     assert assign_shards(make_docs([]), tree(40)).count() == 0
+
+
+def test_the_descent_is_recomputed_in_plain_python(make_docs):
+    def drawn(key, node):
+        bits = int(hashlib.md5(f"{key}/{node.name}".encode()).hexdigest()[:13], 16)
+        return -math.log((bits + 0.5) / 2**52) / node.weight
+
+    def descend(key, node):
+        while node.shard is None:
+            node = min(node.children, key=lambda c: drawn(key, c))
+        return node.shard
+
+    root = tree(37, weights={3: 3.0, 17: 0.25})
+    more = grown(root, 37, weight=2.0)
+    ids = [*range(-50, 1500), 2**60, None]
+    got = assign_shards(make_docs(["t"] * len(ids), ids), root, more).collect()
+    want = {i: (descend("null" if i is None else i, root), descend("null" if i is None else i, more)) for i in ids}
+    assert {r.doc_id: (r.shard, r.grown_shard) for r in got} == want
