@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.holtwinters import fit_many, run_fixed
 from shelfwise.operators import forecast as FC
+from shelfwise.plans.catalog import QUERIES
 from shelfwise.sources import tpch
 from tests.conftest import SF_SMALL, sale
 
@@ -50,6 +51,12 @@ def test_daily_units_densifies(make_tx):
         (2, "2023-02-01", 1)]
 
 
+def test_history_is_not_rounded_row_by_row(spark):
+    plan = QUERIES["history_and_forecast_mean"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan()
+    history = [x for x in plan.toString().splitlines() if "history AS series" in x]
+    assert len(history) == 1 and "round(" not in history[0]
+
+
 def test_fixed_parameters_match_brute_force(make_tx):
     rng = np.random.default_rng(1)
     units = [list(rng.poisson(3, n) + 1) for n in (10, 13, 14, 40)]
