@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, timedelta
 
 import numpy as np
@@ -51,6 +52,21 @@ def test_daily_units_densifies(make_tx):
         (2, "2023-02-01", 1)]
 
 
+def _planned(df) -> str:
+    """The physical plan as one session without re-planning would run it."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dense_rows_are_made_in_generated_code(spark, make_tx):
+    tx = make_tx(_daily_rows(1, "2023-01-01", [2, 0, 0, 5]))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _planned(FC.daily_units(tx))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert re.search(r"\*\(\d+\) Generate explode", plan), plan
+
+
 def test_history_is_not_rounded_row_by_row(spark):
     plan = QUERIES["history_and_forecast_mean"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan()
     history = [x for x in plan.toString().splitlines() if "history AS series" in x]
