@@ -6,6 +6,7 @@ import re
 from datetime import date, timedelta
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.holtwinters import fit_many, run_fixed
@@ -67,6 +68,23 @@ def test_dense_rows_are_made_in_generated_code(spark, make_tx):
     assert re.search(r"\*\(\d+\) Generate explode", plan), plan
 
 
+def test_lag_of_the_dense_series(spark, make_tx):
+    rows = _daily_rows(1, "2023-01-01", [2, 0, 0, 5, 1, 0, 0, 0, 7, 0, 0, 0, 0, 0, 0, 0, 0, 0, 3])
+    rows += _daily_rows(2, "2023-02-01", [1]) + _daily_rows(3, "2023-02-01", [4, 4, 4])
+    unknown = with_null_units(make_tx(rows), "I1-3")
+    dense = FC.daily_units(unknown, lag_days=2)
+    w = Window.partitionBy("product_id").orderBy("ds")
+    got = dense.withColumn("want", F.lag("y", 2).over(w)).collect()
+    assert len(got) == 23 and all(r.y_lag == r.want for r in got)
+    assert sum(r.y_lag is None for r in got) == 2 + 1 + 1 + 2  # the unknown units, and three beginnings
+    plan = _planned(dense)
+    assert plan.count("Generate explode") == 1 and "Sort" not in plan.split("Generate explode")[0]
+
+
+def with_null_units(tx, invoice):
+    return tx.withColumn("quantity", F.when(F.col("invoice_id") != invoice, F.col("quantity")))
+
+
 def test_history_is_not_rounded_row_by_row(spark):
     plan = QUERIES["history_and_forecast_mean"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan()
     history = [x for x in plan.toString().splitlines() if "history AS series" in x]
