@@ -6,9 +6,11 @@ import re
 from datetime import date, timedelta
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shelfwise.functions import holtwinters as H
 from shelfwise.functions.holtwinters import fit_many, run_fixed
 from shelfwise.operators import forecast as FC
 from shelfwise.plans.catalog import QUERIES
@@ -361,3 +363,11 @@ def test_batches_cost_alike(make_tx, monkeypatch):
 
 def test_batches_of_nothing(make_tx):
     assert FC.forecast_rows(make_tx([]), None, 14, 30).collect() == []
+
+
+def test_dates_reach_arrow_without_objects(make_tx):
+    run = FC._fixed_batch(0.3, 0.05, 0.1)
+    got = run(pd.DataFrame({"product_id": [1, 1], "ds": [date(2023, 1, 1), date(2023, 1, 4)], "y": [2, 3]}))
+    assert got["ds"].dtype == "datetime64[D]" and list(got["t"]) == [0, 1, 2, 3]
+    out = FC.fixed_parameter_fit(make_tx(_daily_rows(1, "2023-01-01", [2, 0, 0, 3]))).orderBy("t").collect()
+    assert [str(r.ds) for r in out] == ["2023-01-01", "2023-01-02", "2023-01-03", "2023-01-04"]
