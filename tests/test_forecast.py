@@ -365,6 +365,59 @@ def test_batches_of_nothing(make_tx):
     assert FC.forecast_rows(make_tx([]), None, 14, 30).collect() == []
 
 
+def test_columns_of_the_errors_match_runs_of_their_own():
+    """The products come of three runs; here each column is run by itself."""
+    rng = np.random.default_rng(8)
+    series = [rng.poisson(2.0, n).astype(float) for n in (150, 129, 128, 64, 40, 13, 9)]
+    bt = H._Batch(series, 7)
+    p, d = len(series), 9
+    alpha, gamma = rng.uniform(0.05, 0.9, p), rng.uniform(0.0, 0.1, p) * bt.seasonal
+    ab = alpha * rng.uniform(0.0, 0.5, p)
+    state = bt.given_state()
+    seen = bt.responses(np.arange(p), *(x[:, None] for x in (alpha, ab, gamma)), state[:, None, :], True)[:, 0]
+    for i in range(p):
+        n = int(bt.n[i])
+
+        def errors(y, l, b, s, add=(None, None, None)):
+            out, s = [], list(s)
+            for t in range(n):
+                e = y[t] - (l + b + s[t % 7])
+                out.append(e)
+                l, b = l + b + alpha[i] * e, b + ab[i] * e
+                s[t % 7] += gamma[i] * e
+                if add[0] is not None:
+                    l, b = l + add[0][t], b + add[1][t]
+                    s[t % 7] += add[2][t]
+            return np.array(out)
+
+        zero = np.zeros(n)
+        e = errors(bt.y[i], state[i, 0], state[i, 1], state[i, 2:])
+        units = np.eye(d)
+        columns = [e] + [errors(zero, *u[:2], u[2:]) * (bt.seasonal[i] or j < 2) for j, u in enumerate(units)]
+        columns += [errors(zero, 0, 0, units[0][2:], add) for add in ((e, zero, zero), (zero, e, zero), (zero, zero, e))]
+        want = np.array(columns) @ np.array(columns).T
+        if not bt.seasonal[i]:  # no season: what γ changes is not used
+            want[-1], want[:, -1] = seen[i, -1], seen[i, :, -1]
+        size = np.sqrt(np.outer(np.diag(want), np.diag(want))) + 1e-9
+        assert (np.abs(seen[i] - want) / size).max() < 1e-9, (i, n)
+
+
+def test_a_fit_costs_fewer_array_elements(monkeypatch):
+    """Three runs carry all error columns of a pass; thirteen were carried before."""
+    asked = []
+
+    def zeros(shape, *more):
+        asked.append(int(np.prod(shape)))
+        return make(shape, *more)
+
+    make = np.zeros
+    bt = H._Batch([np.arange(200.0) % 5 for _ in range(50)], 7)
+    at = np.full((50, 1), 0.2)
+    monkeypatch.setattr(H.np, "zeros", zeros)
+    bt.responses(np.arange(50), at, at * 0.1, at, bt.given_state()[:, None, :], True)
+    assert max(asked) <= 3 * (14 + 64) * 50
+
+
 def test_dates_reach_arrow_without_objects(make_tx):
     run = FC._fixed_batch(0.3, 0.05, 0.1)
     got = run(pd.DataFrame({"product_id": [1, 1], "ds": [date(2023, 1, 1), date(2023, 1, 4)], "y": [2, 3]}))
