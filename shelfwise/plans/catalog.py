@@ -144,7 +144,7 @@ SELECT category, CAST(revenue_x AS DOUBLE) AS revenue, CAST(profit_x AS DOUBLE)
 FROM g ORDER BY revenue DESC""",
 )
 def q_revenue_by_category(spark, sf_dir):
-    t = tpch.retail_tables(spark, sf_dir)
+    t = tpch.retail_tables(spark, sf_dir, by_order=True)
     return D.revenue_by_category(enrich(t.transactions, products=t.products))
 
 
@@ -193,7 +193,7 @@ def q_top_products(spark, sf_dir):
 FROM tx JOIN prod USING (product_id) GROUP BY category ORDER BY rev DESC""",
 )
 def q_category_join_rollup(spark, sf_dir):
-    t = tpch.retail_tables(spark, sf_dir)
+    t = tpch.retail_tables(spark, sf_dir, by_order=True)
     return D.category_join_rollup(t.transactions, t.products)
 
 
@@ -235,7 +235,7 @@ def _rounded_tiers(df: DataFrame) -> DataFrame:
 
 
 def _rfm(spark, sf_dir):
-    return R.compute_rfm(tpch.transactions(spark, sf_dir))
+    return R.compute_rfm(tpch.transactions(spark, sf_dir, by_order=True))
 
 
 @query("reference_date", with_ctes(TX) + "SELECT max(purchase_date) AS reference_date FROM tx")

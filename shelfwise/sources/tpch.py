@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.measures import padded_id
+from shelfwise.session import default_parallelism
 from shelfwise.sources.schemas import CUSTOMERS_SCHEMA, PRODUCTS_SCHEMA, TRANSACTIONS_SCHEMA
 from shelfwise.sources.tables import check_schema, with_calendar
 
@@ -53,6 +54,7 @@ STOCK_MULT = 7919
 SIGNUP_FROM = "1994-01-01"
 SIGNUP_SPAN = 1500
 SIGNUP_MULT = 131
+LINES_A_TASK = 1_000_000  # where memory goes by the orders of a task
 
 
 def margin_pct_points(product_id) -> F.Column:
@@ -80,10 +82,22 @@ def _path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _by_order(li: DataFrame) -> DataFrame:
+    """The lines dealt by order to tasks of about ``LINES_A_TASK``; left to AQE
+    where it makes as many tasks anyway. The count reads file footers only."""
+    tasks = -(-li.count() // LINES_A_TASK)
+    return li.repartition(tasks, "l_orderkey") if tasks > default_parallelism(li.sparkSession) else li
+
+
+def transactions(spark: SparkSession, sf_dir: str, by_order: bool = False) -> DataFrame:
+    """The fact table. With ``by_order``, for queries that count distinct orders of
+    a key: they hold each (key, order) of a task in memory, in the tasks of the join,
+    and AQE would merge those by bytes of compressed lines, some 3 M a task."""
     li = spark.read.parquet(_path(sf_dir, "lineitem")).select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"
     )
+    if by_order:
+        li = _by_order(li)
     orders = spark.read.parquet(_path(sf_dir, "orders")).select(
         "o_orderkey", "o_custkey", "o_orderdate"
     )
@@ -140,9 +154,9 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def retail_tables(spark: SparkSession, sf_dir: str) -> RetailTables:
+def retail_tables(spark: SparkSession, sf_dir: str, by_order: bool = False) -> RetailTables:
     return RetailTables(
-        transactions(spark, sf_dir), customers(spark, sf_dir), products(spark, sf_dir)
+        transactions(spark, sf_dir, by_order), customers(spark, sf_dir), products(spark, sf_dir)
     )
 
 

@@ -60,3 +60,23 @@ def test_no_cross_joins_or_row_udfs_in_any_query(spark):
             assert bad not in plan, (name, bad)
         if "FlatMapGroupsInPandas" in plan or "ArrowEvalPython" in plan:
             assert "ArrowEvalPython" not in plan, name
+
+
+def test_orders_of_a_task_are_bounded_by_rows(spark, monkeypatch):
+    """Queries that count distinct orders get tasks by rows, in the join's own shuffle."""
+    from shelfwise.plans.catalog import QUERIES
+
+    monkeypatch.setattr(tpch, "LINES_A_TASK", 500)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = QUERIES["category_join_rollup"](spark, SF_SMALL)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        for query in ("category_join_rollup", "revenue_by_category", "rfm_sample"):
+            assert QUERIES[query](spark, SF_SMALL).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+    tasks = -(-lines // 500)
+    assert tasks > 8 and "hashpartitioning(l_orderkey#" in plan
+    by_key = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "_orderkey#" in x.split(",")[0]]
+    assert len(by_key) == 2 and all(f", {tasks})" in x for x in by_key), plan
