@@ -7,6 +7,7 @@ from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -424,3 +425,66 @@ def test_dates_reach_arrow_without_objects(make_tx):
     assert got["ds"].dtype == "datetime64[D]" and list(got["t"]) == [0, 1, 2, 3]
     out = FC.fixed_parameter_fit(make_tx(_daily_rows(1, "2023-01-01", [2, 0, 0, 3]))).orderBy("t").collect()
     assert [str(r.ds) for r in out] == ["2023-01-01", "2023-01-02", "2023-01-03", "2023-01-04"]
+
+
+def _lengths(*ns, seed=4):
+    rng = np.random.default_rng(seed)
+    return [rng.poisson(2.0, n) * (rng.random(n) < 0.5) + np.sin(np.arange(n)) ** 2 for n in ns]
+
+
+def test_two_fits_share_one_run_of_the_grid(monkeypatch):
+    """Both fits of a batch start from one pass of the grid's cells, which took two
+    passes and two more for the projections before; only the last passes are runs."""
+    calls = {"run": [], "responses": 0, "judge": 0}
+    run, responses, judge = H._Batch.run, H._Batch.responses, H._Batch.judge
+
+    def counted(self, alpha, *more, **named):
+        calls["run"].append(alpha.shape[1])
+        return run(self, alpha, *more, **named)
+
+    def passes(self, rows, alpha, *more):
+        calls["responses"] += 1
+        assert alpha.shape[1] == 1
+        return responses(self, rows, alpha, *more)
+
+    def judged(self, cells, ends):
+        calls["judge"] += 1
+        return judge(self, cells, ends)
+
+    for name, to in (("run", counted), ("responses", passes), ("judge", judged)):
+        monkeypatch.setattr(H._Batch, name, to)
+    days = pd.date_range("2023-01-01", periods=150).date
+    rows = [(pid, d, 1 + (i * pid) % 5) for pid in (1, 2, 3) for i, d in enumerate(days[: 150 - 20 * pid])]
+    FC._forecast_batch(7, 30, 60, 7, None)(pd.DataFrame(rows, columns=["product_id", "ds", "y"]))
+    assert calls["judge"] == 1 and calls["run"] == [1, 1] and 2 <= calls["responses"] <= 2 * H.PASSES
+
+
+@pytest.mark.parametrize("m", [1, 5, 7, 70])
+def test_fit_twice_gives_the_fits_of_each_length(m):
+    series = _lengths(400, 333, 190, 127, 126, 91, 61, 60, 60)
+    held = np.array([30, 30, 30, 1, 63, 30, 30, 12, 7])
+    got = H.fit_twice(series, held, m)
+    for fit, each in zip(got, ([y[:-h] for y, h in zip(series, held)], series)):
+        for i, y in enumerate(each):  # alone, so that no other series is in the arrays
+            one = fit_many([y], m)
+            assert fit.n[i] == len(y)
+            assert np.isclose(fit.sse[i], one.sse[0], rtol=1e-7) and np.isclose(fit.sigma[i], one.sigma[0], rtol=1e-6)
+            assert np.allclose(fit.forecast(9)[i], one.forecast(9)[0], rtol=1e-5, atol=1e-6)
+
+
+def test_the_grid_is_judged_as_by_passes_of_its_cells():
+    series = _lengths(300, 189, 150, 126, 64, 63, 20)
+    bt = H._Batch(series, 7)
+    p = len(series)
+    cells = np.array([(a, a * b, g) for a, b, g in H.GRID])
+    ends = [bt.n, np.maximum(bt.n - np.array([30, 63, 1, 7, 30, 30, 6]), 14)]
+    for end, (sse, products) in zip(ends, bt.judge(cells, ends)):
+        short = H._Batch([bt.y[i, :n] for i, n in enumerate(end)], 7)
+        first = bt.given_state()[short.order]
+        for c, cell in enumerate(cells):
+            rates = (np.full((p, 1), x) for x in cell)
+            want = short.unpack(short.responses(np.arange(p), *rates, first[:, None, :], False)[:, 0])
+            seen = products(np.arange(p), np.full(p, c))
+            size = np.sqrt(np.einsum("px,py->pxy", *2 * [np.einsum("pxx->px", want)])) + 1e-9
+            assert (np.abs(seen - want) / size).max() < 1e-9
+            assert np.allclose(sse[:, c], want[:, 0, 0])
