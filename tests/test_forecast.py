@@ -472,6 +472,16 @@ def test_fit_twice_gives_the_fits_of_each_length(m):
             assert np.allclose(fit.forecast(9)[i], one.forecast(9)[0], rtol=1e-5, atol=1e-6)
 
 
+def test_unknown_units_of_the_test_days_do_not_reach_the_fit_without_them():
+    series = _lengths(200, 150, 130)
+    known = [y.copy() for y in series]
+    series[1][-3] = np.nan
+    train, whole = H.fit_twice(series, np.full(3, 30))
+    want = fit_many([y[:-30] for y in known])
+    assert np.allclose(train.forecast(30), want.forecast(30), rtol=1e-6) and np.allclose(train.sse, want.sse)
+    assert np.isnan(whole.forecast(5)[1]).all() and not np.isnan(whole.forecast(5)[[0, 2]]).any()
+
+
 def test_the_grid_is_judged_as_by_passes_of_its_cells():
     series = _lengths(300, 189, 150, 126, 64, 63, 20)
     bt = H._Batch(series, 7)
